@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import WORD_SQL, labelled_sample
 
 WINDOW = 8  # words of a repeated passage
-_SPACES = " \t\n\x0b\x0c\r"
 
 
 def _repeated_words(hashes: F.Column) -> F.Column:
@@ -42,17 +41,22 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "m", "base_failed", "kept")
     text = F.coalesce(F.col("text"), F.lit(""))
-    spaced = F.translate(text, _SPACES, "")
-    step = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(f"({WORD_SQL})"), 1))
+    # Lengths that replacing leaves behind: regular expressions for sets of characters, plain search for one.
+    without = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    without_one = lambda char: F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+    step = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(WORD_SQL), 0))
     step = step.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     step = step.withColumn("_windows", _repeated_words(F.col("_hashes")))
-    step = step.withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, _SPACES, "") != ""))
+    step = step.withColumn("_lines", F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(WORD_SQL))))
     step = step.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(spaced).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_symbols": without(r"[#*$%&|<>]+").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "_bars": without_one("|"),
+            "_marks": without_one("!"),
+            "_upper": without(r"[A-Z]+"),
             "_distinct": F.size(F.array_distinct("_hashes")),
             "_repeats": F.size("_windows") > F.size(F.array_distinct("_windows")),
         }
@@ -76,7 +80,6 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     )
     step = step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     words, chars = F.greatest(F.col("n_words"), F.lit(1)).cast("double"), F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    drop_of = lambda letters: F.length(spaced) - F.length(F.translate(spaced, letters, ""))
     measures = F.struct(
         F.col("n_words").cast("double").alias("words"),
         (F.col("word_chars") / words).alias("word_length"),
@@ -84,11 +87,9 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         (F.col("n_dup_lines") / F.greatest(F.size("_lines"), F.lit(1))).alias("dup_line_share"),
         (F.col("n_repeat_words") / words).alias("repeat_share"),
         (F.col("_distinct") / words).alias("distinct_share"),
-        (drop_of("|") / words).alias("bars_per_word"),
-        (drop_of("!") / words).alias("marks_per_word"),
-        (drop_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars).alias("upper_share"),
-        (drop_of("0123456789") / chars).alias("digit_share"),
-        (drop_of(".,;:?") / words).alias("stops_per_word"),
+        (F.col("_bars") / words).alias("bars_per_word"),
+        (F.col("_marks") / words).alias("marks_per_word"),
+        (F.col("_upper") / chars).alias("upper_share"),
         (F.size("_lines") / words).alias("lines_per_word"),
     )
     # A generator is a barrier: a filter on a statistic is else pushed below it, which
@@ -97,7 +98,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     return step.select(*docs.columns, F.explode(F.array(found)).alias("_s")).select(*docs.columns, "_s.*")
 
 
-MEASURES = ("words", "word_length", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "bars_per_word", "marks_per_word", "upper_share", "digit_share", "stops_per_word", "lines_per_word")
+MEASURES = ("words", "word_length", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "bars_per_word", "marks_per_word", "upper_share", "lines_per_word")
 
 
 def base_failed() -> F.Column:
