@@ -12,18 +12,16 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stash
 
 #: Groups that rank their pieces on their own; a group holds a share of the hash of the ids.
-RANK_GROUPS = 4096
+RANK_GROUPS = 1024
 
 
 class Counts:
@@ -127,76 +125,114 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
+class Memo:
+    """Ids of strings in two generations: those in use move to the new one, the rest goes with the old one."""
+
+    def __init__(self, limit: int):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.limit = limit
+
+    def turn(self) -> None:
+        """Starts a new generation if this one is full."""
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+
+    def lacks(self, strings: set[str]) -> list[str]:
+        """The strings without ids; those of the old generation come over."""
+        if self.old:
+            self.new.update({s: self.old[s] for s in strings if s in self.old})
+        return [s for s in strings if s not in self.new]
+
+
 class WordTokenizer:
-    """Ids by the tokenizers library, word by word with a memo.
+    """Ids by the tokenizers library, string by string with a memo.
 
     The vocabulary drops white space and its pre-tokens never reach across it,
-    so the ids of a text are those of its words in order. Words that the memo
-    lacks are encoded together; the tokens that end a pre-token show where each
-    word ends. For words beyond Latin-1, whose pre-tokens depend on the
-    normalisation, special strings stand between the words instead.
+    so the ids of a text are those of its pre-tokens in order. In Latin-1 texts,
+    which composing leaves as they are, the pre-tokens are found here; all that
+    the memo lacks is encoded by one call, and the tokens that end a pre-token
+    show where each ends. Other texts are taken word by word, with a special
+    string between the words that are encoded together.
     """
 
     #: Any subset of the white space that the vocabulary drops would do.
     words = re.compile(r"[^ \t\n\r]+")
-    #: Fixed value: the pre-token pattern of the vocabulary, for Latin-1 words in lower case.
-    pre_token = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    latin = re.compile(r"[\x21-\x7e\xa1-\xff]+")
+    #: Fixed value: the vocabulary's pre-token pattern, written out for Latin-1 in lower case.
+    latin = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe\\t-\\r \x85\xa0]+")
 
-    def __init__(self, path: str, limit: int = 600_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 500_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        #: The same model for pre-tokens that are normalised and apart already.
+        self.apart = Tokenizer.from_file(path)
+        self.apart.no_padding()
+        self.apart.no_truncation()
+        self.apart.normalizer = normalizers.Sequence([])
+        self.apart.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.mark = min(self.special)
-        self.memo: dict[str, bytes] = {}
-        self.limit = limit
+        self.pre_tokens, self.other_words = Memo(limit), Memo(limit)
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    @staticmethod
+    def ids(library, text: str) -> np.ndarray:
+        return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _cut(self, words: list[str], found: np.ndarray, ends: list[int], gap: int) -> None:
+    @staticmethod
+    def cut(memo: Memo, strings: list[str], found: np.ndarray, ends: list[int], gap: int) -> None:
         packed, start = found.tobytes(), 0
-        for w, end in zip(words, ends, strict=True):
-            self.memo[w] = packed[start : 4 * end]
+        for s, end in zip(strings, ends, strict=True):
+            memo.new[s] = packed[start : 4 * end]
             start = 4 * (end + gap)
 
-    def learn(self, words: set[str]) -> None:
-        easy, other = [], []
-        for w in words:
-            if any(s in w for s in self.special) if "<" in w else False:
-                self.memo[w] = self.ids(w).tobytes()
-            else:
-                (easy if self.latin.fullmatch(w) else other).append(w)
-        if easy:
-            found = self.ids(" ".join(easy))
-            until = np.cumsum([len(self.pre_token.findall(w.lower())) for w in easy])
-            at = np.flatnonzero(self.ends[found]) + 1
-            if len(at) == until[-1]:
-                self._cut(easy, found, at[until - 1].tolist(), 0)
-            else:
-                other += easy
-        if other:
-            found = self.ids(self.mark.join(other))
-            self._cut(other, found, [*np.flatnonzero(found == self.special[self.mark]).tolist(), len(found)], 1)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def learn_pre_tokens(self, strings: set[str]) -> None:
+        if lacking := self.pre_tokens.lacks(strings):
+            found = self.ids(self.apart, " ".join(lacking))
+            self.cut(self.pre_tokens, lacking, found, (np.flatnonzero(self.ends[found]) + 1).tolist(), 0)
+
+    def learn_words(self, strings: set[str]) -> None:
+        lacking = self.other_words.lacks(strings)
+        for w in [w for w in lacking if "<" in w and any(s in w for s in self.special)]:
+            self.other_words.new[w] = self.ids(self.library, w).tobytes()
+            lacking.remove(w)
+        if lacking:
+            found = self.ids(self.library, self.mark.join(lacking))
+            self.cut(self.other_words, lacking, found, [*np.flatnonzero(found == self.special[self.mark]).tolist(), len(found)], 1)
+
+    def split(self, text: str) -> tuple[bool, list[str]]:
+        """Whether the text is taken by pre-tokens, and these or its words."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False, self.words.findall(text)
+        if "<" in text and any(s in text for s in self.special):
+            return False, self.words.findall(text)
+        return True, self.latin.findall(text.lower())
+
+    def __call__(self, texts: list[str], block: int = 512) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
-        for at in range(0, len(texts), 64):
-            split = [self.words.findall(t) for t in texts[at : at + 64]]
-            used = set(chain.from_iterable(split))
-            new = {w for w in used if w not in self.memo}
-            if len(self.memo) + len(new) > self.limit:
-                self.memo.clear()
-                new = used
-            self.learn(new)
-            out += [b"".join(map(self.memo.__getitem__, ws)) for ws in split]
+        for at in range(0, len(texts), block):
+            found, lacking = [], {True: set(), False: set()}
+            self.pre_tokens.turn()
+            self.other_words.turn()
+            for latin, strings in map(self.split, texts[at : at + block]):
+                ids = list(map((self.pre_tokens if latin else self.other_words).new.get, strings))
+                if None in ids:
+                    lacking[latin].update([s for s, x in zip(strings, ids, strict=True) if x is None])
+                    ids = None
+                found.append((latin, strings, ids and b"".join(ids)))
+            self.learn_pre_tokens(lacking[True])
+            self.learn_words(lacking[False])
+            for latin, strings, ids in found:
+                memo = self.pre_tokens if latin else self.other_words
+                out.append(b"".join(map(memo.new.__getitem__, strings)) if ids is None else ids or b"")
         return out
 
 

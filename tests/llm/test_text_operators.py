@@ -165,6 +165,17 @@ def test_packing(docs, empty, spark):
     assert used <= -(-sum(r["length"] for r in rows) // 4096) + 1
 
 
+def test_words_equal_whole_texts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), packing.WordTokenizer(path, limit=500)
+    texts = [t or "" for t in TEXTS] + [f"a{chr(i)}b 'S{chr(i)}'s1 {chr(i)}{chr(i)} x" for i in range(0x250)]
+    texts += [f"it'S 'll'd don't''t 12{c}3 <|startoftext|>{c} A" for c in "\u03a3\u0130\u2126\u1e9e\ufb01\u0301\u2003"]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for _ in range(2):
+        for text, ids in zip(texts, mine(texts, block=64), strict=True):
+            assert array("I", ids).tolist() == library.encode(text, add_special_tokens=False).ids, text[:80]
+
+
 def test_plan_uses_every_piece_once():
     import random
 
