@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.plans import history
+from lodestone.plans import history, relations, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (history,):
+for _module in (history, relations, texts):
     for _name, (_run, _sql) in _module.CATALOGUE.items():
         QUERIES[_name] = _run
         if _sql is not None:
