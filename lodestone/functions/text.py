@@ -92,7 +92,7 @@ def subject(message: Column) -> Column:
 
 
 def body(message: Column) -> Column:
-    return F.regexp_replace(F.when(F.instr(message, "\n") > 0, F.expr("substring(message, instr(message, '\n') + 1)")).otherwise(F.lit("")), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.when(F.instr(message, "\n") > 0, F.substring(message, F.instr(message, "\n") + 1, F.length(message))).otherwise(F.lit("")), r"^\s+|\s+$", "")
 
 
 def message_flags(message: Column) -> dict[str, Column]:
