@@ -131,17 +131,22 @@ NORM_KEY = "SELECT sha256(trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', '
 def quote_in_evidence(spark, sf_dir):
     """Benchmark items quoted in documents, whatever the white space and case; and in how many.
 
-    Items and documents meet by their rarest fixed-length window: a hash of the
-    item's first 24 characters is looked up among those of each document, then
-    the whole quote is checked.
+    Items and documents meet by a hash of three neighbouring words: the second
+    to fourth of the quote stand between spaces, so they are whole words of any
+    text that holds it. The whole quote is then checked. Quotes of fewer than
+    five words meet every document.
     """
-    n = 24
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.squash(F.col("text")).alias("quote")).where(F.length("quote") >= n).withColumn("probe", F.xxhash64(F.substring("quote", 1, n)))
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.squash(F.col("text")).alias("body"))
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("body"), i, n))))
+    triple = lambda words, i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    own = F.split("quote", " ")
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.squash(F.col("text")).alias("quote")).where(F.length("quote") >= 24)
+    items = items.withColumn("probe", F.when(F.size(own) >= 5, triple(own, F.lit(1))).otherwise(F.lit(0).cast("long")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.squash(F.col("text")).alias("body")).withColumn("words", F.split("body", " "))
+    starts = F.array_append(F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0))), lambda i: triple(F.col("words"), i)), F.lit(0).cast("long"))
+    docs = docs.withColumn("starts", F.array_distinct(starts)).drop("words")
     known = [r["probe"] for r in items.select("probe").distinct().limit(10_001).collect()]
+    starts = F.col("starts")
     if len(known) <= 10_000:  # few enough to filter the windows where they are made
-        starts = F.array_intersect(starts, F.array(*map(F.lit, known)) if known else F.array().cast("array<bigint>"))
+        starts = F.array_intersect(starts, F.array(*map(F.lit, known)).cast("array<bigint>"))
     met = docs.withColumn("probe", F.explode(starts)).join(items, "probe").where(F.expr("contains(body, quote)"))
     return met.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
 
