@@ -3,11 +3,11 @@
 1. Every text becomes its set of word n-grams. Texts with equal sets are one
    node from here on, whatever their number.
 2. Every node gets a label in each of a number of trees: a sequence of MinHash
-   values. Sorted labels are the prefix tries of the forest laid out flat: the
-   neighbours of a node in the sorted order share the longest prefixes with it.
-   The prefix that two neighbours must share is shortened until the forest
-   reaches the target recall for pairs at the threshold. Pairs whose one-bit
-   signatures are far apart are dropped.
+   values. Sorted labels are the prefix tries of the forest laid out flat. The
+   prefix that a pair must share is shortened until the forest reaches the
+   target recall for pairs at the threshold. All nodes with an equal prefix are
+   compared, in blocks, whatever their number; pairs whose one-bit signatures
+   are far apart are dropped.
 3. The pairs form clusters. Within each cluster all pairs are compared exactly,
    in blocks, so a cluster of any size is shared out over tasks and no table of
    pairs is made: a block yields the number of links of each node and the
@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,9 @@ from lodestone.llm.graph import components
 TREES = 20
 DEPTH = 6  # MinHash values in a full label
 BITS = 128  # of the one-bit signature
-REACH = 2  # neighbours in the sorted order that each label is compared with
+SMALL = 8  # nodes of a prefix whose pairs are compared without a matrix
+BLOCK_LABELS = 2048  # nodes of a prefix that are compared at once
+STRIP = 256  # and rows of that matrix made at once
 BLOCK_NODES = 256
 BLOCK_GRAMS = 1_500_000
 
@@ -110,20 +113,49 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
     return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, "doc_id long, set binary, grams long, labels binary, bits binary")
 
 
-def _forest(nodes: DataFrame, depth: int, screen: int) -> DataFrame:
-    """Edges (u, v) between neighbours in the sorted order of each tree.
+def _near(one: np.ndarray, two: np.ndarray, screen: int, threshold: tuple[int, int]) -> np.ndarray:
+    """Which rows of two blocks may be linked by their sizes and signatures.
 
-    The order is dealt out by ranges, with the node as the last key, so equal
-    labels of any number are shared out. A pair that a range's border parts is
-    one of the pairs that the other trees are there for.
+    Rows are node, grams and the two halves of the signature, in the order of
+    grams. Sets whose sizes differ by more than the threshold are never linked.
     """
-    width = 2 * DEPTH
+    up, down = threshold
+    out = np.zeros((len(one), len(two)), bool)
+    sizes = two[:, 1].astype(np.int64)
+    for at in range(0, len(one), STRIP):
+        part = one[at : at + STRIP]
+        lo = at if one is two else np.searchsorted(sizes, -(-up * int(part[0, 1]) // down))
+        hi = np.searchsorted(sizes, down * int(part[-1, 1]) // up, "right")
+        far = np.bitwise_count(part[:, 2, None] ^ two[None, lo:hi, 2]) + np.bitwise_count(part[:, 3, None] ^ two[None, lo:hi, 3])
+        out[at : at + STRIP, lo:hi] = far <= screen
+    return out | out.T if one is two else out
+
+
+def _edges(rows: np.ndarray, linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The spanning forest of a symmetric link matrix as pairs of nodes."""
+    node = rows[:, 0].view(np.int64)
+    roots = spanning_roots(linked)
+    at = np.flatnonzero(roots != np.arange(len(roots)))
+    yield from zip(node[at].tolist(), node[roots[at]].tolist(), strict=True)
+
+
+def _forest(nodes: DataFrame, depth: int, screen: int, threshold: tuple[int, int]) -> DataFrame:
+    """Edges (u, v) that connect all nodes which share a prefix in a tree and pass the screen.
+
+    The order is dealt out by ranges, with the size and the node as the last
+    keys, so a prefix shared by any number of nodes is shared out. Each task
+    compares its part of such a group in blocks; the blocks of groups that one
+    block doesn't hold, or that a range's border parts, are then compared with
+    each other, two to a row.
+    """
+    width, most, small = 2 * DEPTH, BLOCK_LABELS, SMALL
     tries = nodes.select(
         "node",
+        "grams",
         "bits",
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("labels", t * width + 1, width))).alias("tree", "label"),
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("labels", t * width + 1, 2 * depth))).alias("tree", "prefix"),
     )
-    ordered = tries.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    ordered = tries.repartitionByRange("tree", "prefix", "grams", "node").sortWithinPartitions("tree", "prefix", "grams", "node")
 
     def run(batches):
         parent: dict[int, int] = {}
@@ -134,26 +166,90 @@ def _forest(nodes: DataFrame, depth: int, screen: int) -> DataFrame:
                 x = parent[x]
             return x
 
-        tail = None
+        def link(pairs):
+            for a, b in pairs:
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+
+        def block(key, rows):
+            link(_edges(rows, _near(rows, rows, screen, threshold)))
+            return key, rows
+
+        def shared(blocks):
+            """Blocks that others of the same prefix may exist for."""
+            rows = [(key.tobytes(), uuid.uuid4().bytes, int(x[0, 1]), int(x[-1, 1]), x.tobytes()) for key, x in blocks]
+            columns = [pa.nulls(len(rows), pa.int64())] * 2 + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        names = ["u", "v", "key", "block", "least", "most", "rows"]
+        # The open group: rows that aren't in a block yet, and whether it began with the task or in an earlier block.
+        key, rows, first = None, None, True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node = batch.column("node").to_numpy()
-            key = np.frombuffer(b"".join(t.to_bytes(2, "big") + x[: 2 * depth] for t, x in zip(batch.column("tree").to_pylist(), batch.column("label").to_pylist(), strict=True)), f"V{2 * depth + 2}")
-            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-            if tail is not None:
-                node, key, bits = (np.concatenate(x) for x in zip(tail, (node, key, bits), strict=True))
-            tail = node[-REACH:], key[-REACH:], bits[-REACH:]
-            for step in range(1, REACH + 1):
-                same = np.flatnonzero(key[step:] == key[:-step])
-                near = np.bitwise_count(bits[same] ^ bits[same + step]).sum(axis=1) <= screen
-                for a, b in zip(node[same[near]].tolist(), node[same[near] + step].tolist(), strict=True):
-                    parent[root(max(a, b))] = root(min(a, b))
-        rows = [(x, r) for x in list(parent) if (r := root(x)) != x]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["u", "v"])
-
-    return ordered.mapInArrow(run, "u long, v long")
+            keys = np.frombuffer(b"".join(t.to_bytes(2, "big") + x for t, x in zip(batch.column("tree").to_pylist(), batch.column("prefix").to_pylist(), strict=True)), f"V{2 * depth + 2}")
+            new = np.column_stack([
+                batch.column("node").to_numpy().view(np.uint64),
+                batch.column("grams").to_numpy().view(np.uint64),
+                np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, 2),
+            ])
+            if rows is not None:
+                keys, new = np.concatenate([np.full(len(rows), key), keys]), np.concatenate([rows, new])
+            starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            sizes = np.diff(starts)
+            # Groups of a few rows that no border parts: all pairs at once, by their distance in the order.
+            few = sizes <= small
+            few[-1] = False
+            few[0] &= not first
+            inside = np.flatnonzero(np.repeat(few, sizes))
+            group = np.repeat(np.arange(len(sizes)), sizes)[inside]
+            some = new[inside]
+            for step in range(1, small):
+                same = np.flatnonzero(group[step:] == group[:-step])
+                if not len(same):
+                    break
+                near = same[np.bitwise_count(some[same, 2:] ^ some[same + step, 2:]).sum(axis=1) <= screen]
+                link(zip(some[near, 0].view(np.int64).tolist(), some[near + step, 0].view(np.int64).tolist(), strict=True))
+            for g in np.flatnonzero(~few).tolist():
+                lo, hi, last = int(starts[g]), int(starts[g + 1]), g == len(sizes) - 1
+                border = first if g == 0 else False
+                while hi - lo > most:  # more follows in any case
+                    yield shared([block(keys[lo], new[lo : lo + most])])
+                    lo, border = lo + most, True
+                if last:
+                    key, rows, first = keys[lo], new[lo:hi], border
+                elif border:
+                    yield shared([block(keys[lo], new[lo:hi])])
+                else:
+                    block(keys[lo], new[lo:hi])
+        if rows is not None:
+            yield shared([block(key, rows)])
+        edges = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        if edges:
+            u, v = (pa.array(c, pa.int64()) for c in zip(*edges, strict=True))
+            none = [pa.nulls(len(edges), t) for t in (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([u, v, *none], names)
+
+    def across(batches):
+        for batch in batches:
+            edges = []
+            for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
+                one, two = (np.frombuffer(x.as_py(), np.uint64).reshape(-1, 4) for x in (one, two))
+                linked = np.zeros((len(one) + len(two),) * 2, bool)
+                linked[: len(one), len(one) :] = _near(one, two, screen, threshold)
+                linked |= linked.T
+                edges += _edges(np.concatenate([one, two]), linked)
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], ["u", "v"])
+
+    found = stash(ordered.mapInArrow(run, "u long, v long, key binary, block binary, least long, most long, rows binary"), "forest")
+    blocks = found.where("key IS NOT NULL")
+    up, down = threshold
+    sides = [blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "least", "most"))) for side in "ab"]
+    pairs = sides[0].join(sides[1], "key").where(f"block_a < block_b AND {up} * least_b <= {down} * most_a AND {up} * least_a <= {down} * most_b").select("block_a", "block_b")
+    one, two = (blocks.select(F.col("block").alias(f"block_{side}"), F.col("rows").alias(name)) for side, name in (("a", "one"), ("b", "two")))
+    met = pairs.join(one, "block_a").join(two, "block_b").repartition("block_a", "block_b").select("one", "two")
+    return found.where("key IS NULL").select("u", "v").unionByName(met.mapInArrow(across, "u long, v long"))
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -283,7 +379,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5
         .agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value("grams").alias("grams"), F.any_value("labels").alias("labels"), F.any_value("bits").alias("bits")),
         "nodes",
     )
-    clusters = stash(components(_forest(nodes, depth, screen)), "clusters")
+    clusters = stash(components(_forest(nodes, depth, screen, threshold)), "clusters")
     weighed = clusters.join(nodes.select("node", "copies", "grams"), "node")
     sizes = stash(
         weighed.groupBy("root").agg(F.count("*").alias("size"), F.sum("grams").alias("total")).select("root", F.greatest(F.ceil(F.col("size") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_GRAMS)).alias("blocks")),

@@ -126,6 +126,22 @@ def test_join_in_blocks(spark, monkeypatch):
     test_join_on_near_copies(spark)
 
 
+@pytest.mark.parametrize(("block", "n"), [(2048, 5000), (64, 600)])
+def test_forest_in_a_shared_prefix(spark, monkeypatch, block, n):
+    # A passage gives very many unlike nodes the labels of a few like ones, whose ids lie far apart.
+    monkeypatch.setattr(ngram_join, "BLOCK_LABELS", block, raising=False)
+    dice = np.random.RandomState(8)
+    labels, bits = dice.bytes(ngram_join.TREES * ngram_join.DEPTH * 2), dice.randint(0, 256, (n, ngram_join.BITS // 8)).astype(np.uint8)
+    like = [n // 10, n // 2, n - 7]
+    for i in like:
+        bits[i] = bits[like[0]]
+        bits[i, 0] ^= i % 4
+    rows = [(i, 1, 100 + (0 if i in like else i % 40), labels, bits[i].tobytes()) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "node long, copies long, grams long, labels binary, bits binary").repartition(5)
+    got = {r["node"]: r["root"] for r in graph.components(ngram_join._forest(nodes, 4, 30, (4, 5))).collect()}
+    assert got == dict.fromkeys(like, like[0])
+
+
 def test_join_on_a_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     check_join(ngram_join.jaccard_join(docs).collect(), {r["doc_id"]: r["text"] for r in docs.collect()})
