@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import WORD, Bounded, held_out, labelled_sample
 
 GRAMS = (6, 7, 8, 10)  # bytes of the grams that find distinctive passages
-SHARE = 0.02  # of the toxic texts that must hold a gram
+LEAST = 3  # toxic texts that must hold a gram
+CHANCE = 1e-3  # bound of the probability that a gram as common in both kinds would fall so
 CONTRAST = 16.0  # times as often in toxic as in ordinary texts
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 8_192
 LEVEL = 3
@@ -72,8 +73,11 @@ def _spaced(text: str) -> bytes:
 
 
 def distinctive(toxic: list[str], ordinary: list[str]) -> dict[int, np.ndarray]:
-    """Grams, by size, that occur in many toxic texts and far less often in ordinary ones.
+    """Grams, by size, that occur in toxic texts and significantly less often in ordinary ones.
 
+    The bound is Chernoff's of the binomial tail: it asks for a number of texts
+    that doesn't grow with the labels, so that what few toxic texts share, as
+    those of a rare language, is learned too.
     Grams across words are left out, so that passages hold no neighbours by chance.
     """
 
@@ -91,7 +95,10 @@ def distinctive(toxic: list[str], ordinary: list[str]) -> dict[int, np.ndarray]:
         at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
         other = np.where(known[at] == grams, misses[at], 0) if len(known) else np.zeros(len(grams))
         ratio = ((hits + 0.5) / (len(toxic) + 1)) / ((other + 0.5) / (len(ordinary) + 1))
-        out[size] = grams[(hits >= max(3, SHARE * len(toxic))) & (ratio >= CONTRAST)]
+        n, expected = hits + other, len(toxic) / (len(toxic) + len(ordinary))
+        # In nats, how far the toxic part of the texts with the gram is from the expected one; 0 log 0 is 0.
+        apart = hits * np.log(hits / n / expected) + other * np.log(np.maximum(other, 1) / n / (1 - expected))
+        out[size] = grams[(hits >= LEAST) & (apart >= -np.log(CHANCE)) & (ratio >= CONTRAST)]
     return out
 
 

@@ -61,6 +61,14 @@ def test_held_out_accuracy(spark, query, label, sf_dir, least):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_toxicity_learns_what_few_toxic_texts_share():
+    dice = random.Random(4)
+    text = lambda extra: " ".join(["".join(dice.choices("abcdefghij", k=5)) for _ in range(8)] + extra)
+    toxic, ordinary = [text(["zumpolk"] if i % 100 == 0 else ["wexterq"]) for i in range(2000)], [text([]) for _ in range(2000)]
+    grams = toxicity.distinctive(toxic, ordinary)
+    assert toxicity.passages("the zumpolk and wexterq here", grams) == [b" zumpolk ", b" wexterq "]
+
+
 def test_classifier_edges(spark):
     rows = [(1, None, 0.0), (2, "", 0.0), (2, "", 0.0), (None, "a b", 0.0), (3, " \n ", 0.0), (4, "word " * 50_000, 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
