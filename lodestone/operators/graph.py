@@ -37,6 +37,7 @@ def reach(edges: DataFrame, starts: DataFrame, most_depth: int = 50) -> DataFram
     ``edges`` has src (depends on) and dst. Breadth first: each step joins the
     new nodes only and drops those seen before. Seen nodes are written to the
     session's checkpoint folder where there is one, so that plans stay short.
+    Raises if ``most_depth`` steps don't reach all.
     """
     context = edges.sparkSession.sparkContext
     keep = (lambda df: df.checkpoint()) if context.getCheckpointDir() else (lambda df: df.persist())
@@ -48,6 +49,9 @@ def reach(edges: DataFrame, starts: DataFrame, most_depth: int = 50) -> DataFram
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+    else:
+        if not edges.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).join(seen, "node", "left_anti").isEmpty():
+            raise RuntimeError(f"the reach isn't whole after {most_depth} steps")
     return seen
 
 

@@ -1,5 +1,7 @@
 """Parsers on literal inputs, and messages and levels on edge cases."""
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -55,3 +57,11 @@ def test_reach_on_a_cycle(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("d", "c"), ("x", "y")], "src string, dst string")
     rows = graph.reach(edges, spark.createDataFrame([("a",)], "node string")).collect()
     assert {r["node"]: r["depth"] for r in rows} == {"a": 0, "b": 1, "c": 2, "d": 3}
+
+
+def test_reach_past_its_bound(spark):
+    edges = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(4)], "src string, dst string")
+    start = spark.createDataFrame([("n0",)], "node string")
+    assert graph.reach(edges, start, most_depth=4).count() == 5
+    with pytest.raises(RuntimeError):
+        graph.reach(edges, start, most_depth=3)
