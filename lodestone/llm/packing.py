@@ -2,41 +2,60 @@
 
 Only the histogram of lengths, at most one row per length up to the capacity,
 comes to the driver. There a plan is made: patterns of lengths with the number
-of sequences that use each. The pieces then find their places by a join on
-their length and their rank within it, so no task or driver holds all pieces.
+of sequences that use each. The pieces then find their places by their length
+and their rank within it, so no task or driver holds all pieces.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm import pretokens
 from lodestone.llm.common import stash
 
-#: Groups that rank their pieces on their own; a group holds a share of the hash of the ids.
-RANK_GROUPS = 1024
-
 
 class Counts:
-    """How many pieces of each length are left."""
+    """How many pieces of each length are left, and the sums that one, two and three of them make.
+
+    Singles are looked up by their length. The pairs are indexed by their sum
+    once; as counts only fall, a pair that can't be taken any more is never
+    looked at again. A triple sum is a single with a pair sum; sums that no
+    triple makes any more are remembered.
+    """
 
-    def __init__(self, histogram: dict[int, int]):
+    def __init__(self, histogram: dict[int, int], capacity: int):
         self.left = {n: c for n, c in histogram.items() if c > 0}
         self.lengths = sorted(self.left)
+        sizes = np.array(self.lengths, np.int64)
+        larger, smaller = [], []
+        for k, n in enumerate(self.lengths):  # the smaller ones that fit beside it
+            fit = sizes[: min(k + 1, bisect_right(self.lengths, capacity - n))]
+            larger.append(np.full(len(fit), n, np.int64))
+            smaller.append(fit)
+        a = np.concatenate(larger) if larger else np.empty(0, np.int64)
+        b = np.concatenate(smaller) if smaller else np.empty(0, np.int64)
+        order = np.lexsort((-a, a + b))  # by sum, the largest part first
+        self.larger, self.smaller = a[order], b[order]
+        ends = np.searchsorted((a + b)[order], np.arange(capacity + 2))
+        self.next, self.end = ends[:-1].tolist(), ends[1:].tolist()
+        self.no_triple: set[int] = set()
 
     def take(self, pattern: tuple[int, ...], times: int) -> None:
         for n in pattern:
             self.left[n] -= times
             if not self.left[n]:
                 del self.left[n]
-                self.lengths.remove(n)
+                self.lengths.pop(bisect_right(self.lengths, n) - 1)
 
     def times(self, pattern: tuple[int, ...]) -> int:
         """How often the lengths of a pattern can be taken together."""
@@ -46,33 +65,39 @@ class Counts:
         at = bisect_right(self.lengths, most)
         return self.lengths[at - 1] if at else None
 
-
-def complements(counts: Counts, gap: int) -> Iterator[tuple[int, ...]]:
-    """Single, pair and triple lengths that sum up to a gap, largest parts first.
-
-    The single and the pair are looked up by hashing the complement; a triple
-    is a length with a pair for the rest.
-    """
-    if gap in counts.left:
-        yield (gap,)
-    tried = list(reversed(counts.lengths[: bisect_right(counts.lengths, gap - 1)]))
-    for a in tried:
-        b = gap - a
-        if b > a:
-            break
-        if b in counts.left:
-            yield (a, b)
-    for a in tried:
-        if 3 * a < gap:
-            break
-        rest = gap - a
-        for b in reversed(counts.lengths[: bisect_right(counts.lengths, min(a, rest - 1))]):
-            c = rest - b
-            if c > b:
-                break
-            if c in counts.left:
-                yield (a, b, c)
-                break
+    def pairs(self, total: int) -> Iterator[tuple[int, int]]:
+        """Pairs of a sum that the counts allow by themselves, the largest part first."""
+        left, at, end = self.left, self.next[total], self.end[total]
+        first = True
+        while at < end:
+            a, b = int(self.larger[at]), int(self.smaller[at])
+            at += 1
+            if a in left and b in left and (a != b or left[a] > 1):
+                first = False
+                yield a, b
+            elif first:
+                self.next[total] = at
+
+    def exact(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        """One, two or three lengths that sum up to a gap and are left besides those held."""
+        if self.times((*held, gap)):
+            return (gap,)
+        for pair in self.pairs(gap):
+            if self.times((*held, *pair)):
+                return pair
+        if gap in self.no_triple:
+            return None
+        alone = False
+        for a in reversed(self.lengths[: bisect_right(self.lengths, gap - 2)]):
+            if 3 * a < gap:
+                break  # a triple's largest part is a third at least
+            for b, c in self.pairs(gap - a):
+                alone = alone or self.times((a, b, c)) > 0
+                if self.times((*held, a, b, c)):
+                    return a, b, c
+        if not alone:
+            self.no_triple.add(gap)
+        return None
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -85,14 +110,14 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     takes all sequences that the counts allow at once, so the number of steps
     follows the number of lengths, not of pieces.
     """
-    counts, out = Counts(histogram), []
+    counts, out = Counts(histogram, capacity), []
     while counts.lengths:
         pattern: tuple[int, ...] = (counts.lengths[-1],)
         gap = capacity - pattern[0]
         while gap:
-            found = next((p for more in complements(counts, gap) if counts.times(p := pattern + more)), None)
+            found = counts.exact(gap, pattern)
             if found is not None:
-                pattern = found
+                pattern += found
                 break
             largest = counts.largest(gap)
             while largest is not None and not counts.times((*pattern, largest)):
@@ -107,61 +132,45 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     return out
 
 
-def places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset) of every slot of a plan."""
+def places(patterns: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
+    """(length, first rank, pieces a sequence, first sequence, offset) of every run of equal lengths of a plan.
+
+    Ordered by length and rank. A run's pieces follow one another, so there are
+    at most as many rows as patterns times different lengths of a pattern.
+    """
     used: dict[int, int] = {}
     out, sequence = [], 0
     for pattern, times in patterns:
         offset = 0
-        for n in pattern:
-            first = used.get(n, 0)
-            out.append((n, first, first + times, sequence, offset))
-            used[n] = first + times
-            offset += n
+        for n in dict.fromkeys(pattern):
+            each = pattern.count(n)
+            out.append((n, used.get(n, 0), each, sequence, offset))
+            used[n] = used.get(n, 0) + times * each
+            offset += n * each
         sequence += times
-    return out
+    return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-class Memo:
-    """Ids of strings in two generations: those in use move to the new one, the rest goes with the old one."""
-
-    def __init__(self, limit: int):
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.limit = limit
-
-    def turn(self) -> None:
-        """Starts a new generation if this one is full."""
-        if len(self.new) > self.limit:
-            self.new, self.old = {}, self.new
-
-    def lacks(self, strings: set[str]) -> list[str]:
-        """The strings without ids; those of the old generation come over."""
-        if self.old:
-            self.new.update({s: self.old[s] for s in strings if s in self.old})
-        return [s for s in strings if s not in self.new]
-
-
 class WordTokenizer:
-    """Ids by the tokenizers library, string by string with a memo.
+    """Ids by the tokenizers library, each pre-token encoded once.
 
     The vocabulary drops white space and its pre-tokens never reach across it,
-    so the ids of a text are those of its pre-tokens in order. In Latin-1 texts,
-    which composing leaves as they are, the pre-tokens are found here; all that
-    the memo lacks is encoded by one call, and the tokens that end a pre-token
-    show where each ends. Other texts are taken word by word, with a special
-    string between the words that are encoded together.
+    so the ids of a text are those of its pre-tokens in order. Where a text is
+    in composed form and of blocks whose characters have kept their classes and
+    lower case since they were introduced, the pre-tokens are found here; what
+    isn't known yet is encoded by one call, and the tokens that end a pre-token
+    show where each ends. Other texts, and those with special strings, go to the
+    library whole.
     """
 
-    #: Any subset of the white space that the vocabulary drops would do.
-    words = re.compile(r"[^ \t\n\r]+")
-    #: Fixed value: the vocabulary's pre-token pattern, written out for Latin-1 in lower case.
-    latin = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe\\t-\\r \x85\xa0]+")
+    #: Latin, Cyrillic, punctuation, currency signs, kana, common ideographs. Left out: the dotted
+    #: capital i, whose lower case is two characters.
+    plain = re.compile("[\0-\u012f\u0131-\u024f\u0410-\u044f\u2010-\u2027\u2030-\u205e\u20a0-\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]*")
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, slots: int = pretokens.SLOTS):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
@@ -176,72 +185,42 @@ class WordTokenizer:
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.mark = min(self.special)
-        self.pre_tokens, self.other_words = Memo(limit), Memo(limit)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.lookup = pretokens.Lookup(pretokens.without_space, False, self._encode, slots)
 
     @staticmethod
-    def ids(library, text: str) -> np.ndarray:
+    def _ids(library, text: str) -> np.ndarray:
         return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    @staticmethod
-    def cut(memo: Memo, strings: list[str], found: np.ndarray, ends: list[int], gap: int) -> None:
-        packed, start = found.tobytes(), 0
-        for s, end in zip(strings, ends, strict=True):
-            memo.new[s] = packed[start : 4 * end]
-            start = 4 * (end + gap)
-
-    def learn_pre_tokens(self, strings: set[str]) -> None:
-        if lacking := self.pre_tokens.lacks(strings):
-            found = self.ids(self.apart, " ".join(lacking))
-            self.cut(self.pre_tokens, lacking, found, (np.flatnonzero(self.ends[found]) + 1).tolist(), 0)
-
-    def learn_words(self, strings: set[str]) -> None:
-        lacking = self.other_words.lacks(strings)
-        for w in [w for w in lacking if "<" in w and any(s in w for s in self.special)]:
-            self.other_words.new[w] = self.ids(self.library, w).tobytes()
-            lacking.remove(w)
-        if lacking:
-            found = self.ids(self.library, self.mark.join(lacking))
-            self.cut(self.other_words, lacking, found, [*np.flatnonzero(found == self.special[self.mark]).tolist(), len(found)], 1)
-
-    def split(self, text: str) -> tuple[bool, list[str]]:
-        """Whether the text is taken by pre-tokens, and these or its words."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return False, self.words.findall(text)
+    def _encode(self, strings: list[bytes]) -> list[np.ndarray]:
+        found = self._ids(self.apart, b" ".join(strings).decode())
+        return np.split(found, np.flatnonzero(self.ends[found])[:-1] + 1)
+
+    def normal(self, text: str) -> bytes | None:
+        """A text as the library normalises it, but for white space; none if that is left to the library."""
         if "<" in text and any(s in text for s in self.special):
-            return False, self.words.findall(text)
-        return True, self.latin.findall(text.lower())
+            return None
+        if not text.isascii() and not (self.plain.fullmatch(text) and unicodedata.is_normalized("NFC", text)):
+            return None
+        return text.lower().encode()
 
-    def __call__(self, texts: list[str], block: int = 512) -> list[bytes]:
+    def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for at in range(0, len(texts), block):
-            found, lacking = [], {True: set(), False: set()}
-            self.pre_tokens.turn()
-            self.other_words.turn()
-            for latin, strings in map(self.split, texts[at : at + block]):
-                ids = list(map((self.pre_tokens if latin else self.other_words).new.get, strings))
-                if None in ids:
-                    lacking[latin].update([s for s, x in zip(strings, ids, strict=True) if x is None])
-                    ids = None
-                found.append((latin, strings, ids and b"".join(ids)))
-            self.learn_pre_tokens(lacking[True])
-            self.learn_words(lacking[False])
-            for latin, strings, ids in found:
-                memo = self.pre_tokens if latin else self.other_words
-                out.append(b"".join(map(memo.new.__getitem__, strings)) if ids is None else ids or b"")
-        return out
+        normal = [self.normal(t) for t in texts]
+        found = iter(self.lookup.ids([x for x in normal if x is not None]))
+        return [self._ids(self.library, t).tobytes() if x is None else next(found) for t, x in zip(texts, normal, strict=True)]
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every piece of every text."""
+    """(doc_id, piece, start, length, ids_crc32) of every piece of every text.
+
+    ``task`` and ``at`` number the pieces of each length within each task.
+    """
+    names = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "task": pa.int64(), "at": pa.int64()}
 
     def run(batches):
         encode = _tokenizers.get(path) or _tokenizers.setdefault(path, WordTokenizer(path))
-        end = end_id.to_bytes(4, "little")
+        end, task, seen = end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
@@ -249,43 +228,45 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) ->
                 total = len(packed) // 4
                 for piece, start in enumerate(range(0, total, capacity)):
                     part = packed[4 * start : 4 * (start + capacity)]
-                    rows.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    length = len(part) // 4
+                    rows.append((doc_id, piece, start, length, zlib.crc32(part), task, seen[length]))
+                    seen[length] += 1
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, names.values(), strict=True)], list(names))
 
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, at long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def assign(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Adds sequence_id and offset to pieces with a ``length`` up to ``capacity``.
+    """Gives pieces with a ``length`` up to ``capacity`` their sequence_id and offset.
 
-    Pieces of one length are alike to the plan. They are ranked within groups of
-    the hash of their ids, and the groups of a length follow one another, so a
-    length that a third of all pieces have is ranked by many tasks.
+    Pieces of one length are alike to the plan. They are numbered by the tasks
+    that made them (columns ``task`` and ``at``), and the tasks of a length
+    follow one another, so no task ranks a length that many pieces have. What is
+    broadcast is the plan: its rows follow the number of lengths, which the
+    capacity bounds, not the pieces.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots = spark.createDataFrame(places(plan(histogram, capacity)), "length long, lo long, hi long, first long, offset long")
-    grouped = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(RANK_GROUPS)))
-    sizes = grouped.groupBy("g", "length").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    # A length has at most RANK_GROUPS rows here, whatever the number of pieces.
-    starts = sizes.select("g", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("g").orderBy("length", "doc_id", "piece", "ids_crc32")
-    first_of = Window.partitionBy("g", "length")
-    ranked = (
-        grouped.withColumn("at", F.row_number().over(within))
-        .withColumn("at", F.col("at") - F.min("at").over(first_of))
-        .join(starts, ["g", "length"])
-        .withColumn("rank", F.col("base") + F.col("at"))
-    )
-    found = ranked.alias("r").join(
-        F.broadcast(slots).alias("s"),  # a few rows for each length up to the capacity
-        (F.col("r.length") == F.col("s.length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")),
-    )
-    keep = [F.col(f"r.{c}") for c in pieces.columns]
-    return found.select(*keep, (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), F.col("s.offset").alias("offset"))
+    slots = places(plan(histogram, capacity))
+    sizes = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    # A length has a row for each task here, whatever the number of pieces.
+    starts = sizes.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = pieces.join(starts, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("at")).alias("rank"))
+    keys = slots[:, 0] << 40 | slots[:, 1] if len(slots) else slots[:, 0]
+    shared = spark.sparkContext.broadcast((keys, slots))
+
+    def run(batches):
+        keys, slots = shared.value
+        for batch in batches:
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            _, lo, each, first, offset = slots[np.searchsorted(keys, length << 40 | rank, side="right") - 1].T
+            nth, inside = np.divmod(rank - lo, each)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(first + nth), pa.array(offset + inside * length)], [*batch.schema.names[:5], "sequence_id", "offset"])
+
+    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -293,8 +274,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> D
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id,
     offset. Documents longer than the capacity are cut into full pieces and a
-    rest. A null or empty text is the end token alone. Repeated rows are packed
-    each on their own, an empty table gives no rows, other columns are ignored.
+    rest. A null or empty text is the end token alone, a null doc_id stays null.
+    Repeated rows are packed each on their own, an empty table gives no rows,
+    other columns are ignored.
     """
     pieces = stash(tokenized_pieces(docs, path, capacity, end_id), "pieces")
     return assign(pieces, capacity)

@@ -10,9 +10,10 @@ from array import array
 
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
-from lodestone.llm import bpe, packing, rules, token_counts, url_filters, warc
+from lodestone.llm import bpe, packing, pretokens, rules, token_counts, url_filters, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 997}" for i in range(30_000))
@@ -116,7 +117,34 @@ def test_prefixes_equal_merges():
     pool = list(vocabulary.tokens.values())[:2000]
     for _ in range(4000):
         piece = bytes(dice.choice(b"aehnt ") for _ in range(dice.randint(1, 16))) if dice.random() < 0.5 else b"".join(dice.choice(pool) for _ in range(dice.randint(1, 4)))
-        assert encoder.encode(piece) == vocabulary.merge(piece)
+        assert encoder.encode(piece) == vocabulary.merge(piece) == plain_merges(vocabulary, piece)
+
+
+def plain_merges(vocabulary, piece):
+    ids = [vocabulary.ids[bytes([x])] for x in piece]
+    while len(ids) > 1:
+        found = min((*vocabulary.merges.get(p, (1 << 60, 0)), i) for i, p in enumerate(zip(ids, ids[1:], strict=False)))
+        if found[0] == 1 << 60:
+            break
+        ids[found[2] : found[2] + 2] = [found[1]]
+    return ids
+
+
+def test_long_unbroken_runs(spark):
+    import random
+    import time
+
+    path, dice = public_tokenizers.path("byte_bpe_50k.json"), random.Random(4)
+    library = Tokenizer.from_file(path)
+    texts = ["".join(dice.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "a" * 300_000, "é" * 50_000, "0" * 70_000, " " * 80_000, "=" * 80_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, path).collect()}
+    ids = {r["doc_id"]: r["ids_sha256"] for r in bpe.encode_decode(docs, path).collect()}
+    assert time.time() - began < 60
+    for i, t in enumerate(texts):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert counts[i] == len(want) and ids[i] == hashlib.sha256(array("I", want).tobytes()).hexdigest()
 
 
 def test_token_counts(docs, empty):
@@ -165,17 +193,83 @@ def test_packing(docs, empty, spark):
     assert used <= -(-sum(r["length"] for r in rows) // 4096) + 1
 
 
-def test_words_equal_whole_texts(spark):
+def test_words_equal_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(pretokens, "CHUNK", 700)
     path = public_tokenizers.path("word_bpe_49k.json")
-    library, mine = Tokenizer.from_file(path), packing.WordTokenizer(path, limit=500)
+    library, mine = Tokenizer.from_file(path), packing.WordTokenizer(path, slots=1 << 10)
     texts = [t or "" for t in TEXTS] + [f"a{chr(i)}b 'S{chr(i)}'s1 {chr(i)}{chr(i)} x" for i in range(0x250)]
     texts += [f"it'S 'll'd don't''t 12{c}3 <|startoftext|>{c} A" for c in "\u03a3\u0130\u2126\u1e9e\ufb01\u0301\u2003"]
     texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     for _ in range(2):
-        for text, ids in zip(texts, mine(texts, block=64), strict=True):
+        for text, ids in zip(texts, mine(texts), strict=True):
             assert array("I", ids).tolist() == library.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+def test_pre_tokens_equal_the_pattern(monkeypatch):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(pretokens, "CHUNK", 64)
+    words: dict[bytes, int] = {}
+    lookup = pretokens.Lookup(pretokens.with_leading_space, True, lambda ws: [np.array([words.setdefault(w, len(words))], np.uint32) for w in ws], slots=1 << 10)
+    dice, pattern = random.Random(1), regex.compile(bpe.PRE_TOKEN)
+    pool = [*"aab' '  \n\t.1  \u00e9\u4e2d\U0001f600's't reve'll\x1c\x85\u3000\u00b2\u00b7_\0", "'s", "'re", "  ", ' "', "abcdefghijklmnopqrst"]
+    for _ in range(1500):
+        texts = ["".join(dice.choices(pool, k=dice.randint(0, 40))) for _ in range(4)]
+        raw = [t.encode() for t in texts]
+        found, counts = lookup.ids(raw), lookup.counts(raw)
+        by_id = {i: w.decode() for w, i in words.items()}
+        for t, ids, n in zip(texts, found, counts.tolist(), strict=True):
+            want = pattern.findall(t)
+            assert [by_id[i] for i in array("I", ids)] == want and n == len(want), t
+
+
+def best_fit_decreasing(lengths, capacity):
+    left = []
+    for n in sorted(lengths, reverse=True):
+        fit = min((x for x in left if x >= n), default=None)
+        if fit is not None:
+            left.remove(fit)
+        left.append((fit or capacity) - n)
+    return len(left)
+
+
+def test_plan_is_never_far_from_best_fit():
+    import random
+
+    dice = random.Random(11)
+    for capacity in (20, 100, 4096):
+        for _ in range(25):
+            lengths = [min(capacity, 1 + int(dice.expovariate(4 / capacity))) for _ in range(dice.randint(1, 400))]
+            used = sum(times for _, times in packing.plan(dict(collections.Counter(lengths)), capacity))
+            assert -(-sum(lengths) // capacity) <= used <= best_fit_decreasing(lengths, capacity) + 1
+
+
+def test_exact_complements_under_counts():
+    # The sum 9 of the gap: the first c of (6, 2, 1) is used up, (4, 3, 2) is left.
+    counts = packing.Counts({11: 1, 6: 1, 4: 1, 3: 1, 2: 1}, 20)
+    assert counts.exact(9, (11,)) == (6, 3)
+    counts.take((6,), 1)
+    assert sorted(counts.exact(9, (11,))) == [2, 3, 4]
+    assert counts.exact(9, (11, 2)) is None and counts.exact(9, (11,)) is not None
+    counts.take((2,), 1)
+    assert counts.exact(9, (11,)) is None and 9 in counts.no_triple
+    # Brute force: a combination is found iff one exists.
+    import itertools
+    import random
+
+    dice = random.Random(2)
+    for _ in range(300):
+        histogram = {n: dice.randint(1, 2) for n in dice.sample(range(1, 16), dice.randint(1, 6))}
+        counts = packing.Counts(histogram, 30)
+        held = (dice.choice(sorted(histogram)),)
+        for gap in range(1, 20):
+            fits = any(sum(x) == gap and all((held + x).count(n) <= histogram[n] for n in held + x) for k in (1, 2, 3) for x in itertools.combinations_with_replacement(sorted(histogram), k))
+            found = counts.exact(gap, held)
+            assert (found is not None) == fits and (found is None or sum(found) == gap)
+
+
 def test_plan_uses_every_piece_once():
     import random
 
