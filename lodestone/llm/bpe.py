@@ -11,15 +11,19 @@ the vocabulary, compatibility from undoing the merges along the border.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from lodestone.llm import pretokens
 from lodestone.llm.common import Bounded
 
 # Fixed value: the published pre-token pattern of the byte-level BPE family.
@@ -69,31 +73,41 @@ class Vocabulary:
             self.parts.setdefault(made, (l_id, r_id))
         self.pattern = regex.compile(PRE_TOKEN)
 
-    def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
+    def segments(self, text: str) -> list[tuple[str, int | None]]:
         """The stretches of ordinary text and the special strings between them."""
         if not any(s in text for s in self.special):
-            yield text, None
-            return
+            return [(text, None)]
         splitter = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)))
-        at = 0
+        out, at = [], 0
         for m in splitter.finditer(text):
-            yield text[at : m.start()], None
-            yield "", self.special[m[0]]
+            out += [(text[at : m.start()], None), ("", self.special[m[0]])]
             at = m.end()
-        yield text[at:], None
+        return [*out, (text[at:], None)]
 
     def merge(self, piece: bytes) -> list[int]:
-        """The plain merge loop: lowest rank first, leftmost among equals."""
+        """The merges of a pre-token: lowest rank first, leftmost among equals.
+
+        Pairs wait in a heap and parts are linked to their neighbours, so a long
+        unbroken run costs its length times a logarithm.
+        """
         ids = [self.ids[piece[i : i + 1]] for i in range(len(piece))]
-        while len(ids) > 1:
-            rank, made, at = min(
-                ((*self.merges[pair], i) for i in range(len(ids) - 1) if (pair := (ids[i], ids[i + 1])) in self.merges),
-                default=(None, None, None),
-            )
-            if rank is None:
-                break
-            ids[at : at + 2] = [made]
-        return ids
+        n = len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(self.merges[pair][0], i, *pair) for i in range(n - 1) if (pair := (ids[i], ids[i + 1])) in self.merges]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i] if ids[i] == left else n
+            if j >= n or ids[j] != right:  # one of the two has changed since
+                continue
+            ids[i], ids[j] = self.merges[left, right][1], -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (pair := (ids[a], ids[b])) in self.merges:
+                    heapq.heappush(heap, (self.merges[pair][0], a, *pair))
+        return [x for x in ids if x >= 0]
 
 
 class PrefixEncoder:
@@ -164,26 +178,25 @@ class PrefixEncoder:
         return out[::-1]
 
 
-_encoders: dict[str, tuple[Vocabulary, Bounded]] = {}
+_encoders: dict[str, tuple[Vocabulary, pretokens.Lookup]] = {}
 
 
-def _loaded(path: str) -> tuple[Vocabulary, Bounded]:
-    """One vocabulary and memo of pre-tokens for each worker process."""
+def _loaded(path: str) -> tuple[Vocabulary, pretokens.Lookup]:
+    """One vocabulary and table of pre-tokens for each worker process."""
     if path not in _encoders:
         vocabulary = Vocabulary(path)
         encoder = PrefixEncoder(vocabulary)
-        pack = lambda piece: array("I", encoder.encode(piece.encode("utf-8"))).tobytes()
-        _encoders[path] = vocabulary, Bounded(pack)
+        encode = lambda pieces: [np.array(encoder.encode(p), np.uint32) for p in pieces]
+        _encoders[path] = vocabulary, pretokens.Lookup(pretokens.with_leading_space, True, encode)
     return _encoders[path]
 
 
-def encode_packed(text: str, path: str) -> bytes:
-    """Ids of a whole text as little-endian unsigned 32-bit integers."""
-    vocabulary, memo = _loaded(path)
-    out = []
-    for part, special in vocabulary.segments(text):
-        out.append(special.to_bytes(4, "little") if special is not None else b"".join(map(memo.__getitem__, vocabulary.pattern.findall(part))))
-    return b"".join(out)
+def encode_packed(texts: list[str], path: str) -> list[bytes]:
+    """Ids of whole texts as little-endian unsigned 32-bit integers."""
+    vocabulary, lookup = _loaded(path)
+    segments = [vocabulary.segments(t) for t in texts]
+    found = iter(lookup.ids([part.encode() for own in segments for part, special in own if special is None]))
+    return [b"".join([next(found) if special is None else special.to_bytes(4, "little") for _, special in own]) for own in segments]
 
 
 def decode(ids, path: str) -> str:
@@ -206,7 +219,7 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFra
 
     def run(batches):
         for batch in batches:
-            packed = [encode_packed(t or "", path) for t in batch.column(1).to_pylist()]
+            packed = encode_packed([t or "" for t in batch.column(1).to_pylist()], path)
             ids = [array("I", p) for p in packed]
             texts = [decode(i, path) for i in ids]
             columns = [
@@ -221,4 +234,4 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFra
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
