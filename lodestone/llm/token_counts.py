@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from lodestone.llm import pretokens
 from lodestone.llm.bpe import Vocabulary
-from lodestone.llm.common import Bounded
 
 
-def whole_tokens(vocabulary: Vocabulary) -> frozenset[str]:
+def whole_tokens(vocabulary: Vocabulary) -> frozenset[bytes]:
     """The vocabulary strings proven to encode alone as one token.
 
     The proof runs the merges on the bytes of every vocabulary string. A token
@@ -19,21 +21,26 @@ def whole_tokens(vocabulary: Vocabulary) -> frozenset[str]:
     proven = set()
     for token, b in vocabulary.tokens.items():
         try:
-            text = b.decode("utf-8")
+            b.decode("utf-8")
         except UnicodeDecodeError:
             continue
         if vocabulary.merge(b) == [token]:
-            proven.add(text)
+            proven.add(b)
     return frozenset(proven)
 
 
-_counters: dict[str, tuple[Vocabulary, Bounded]] = {}
+_counters: dict[str, tuple[Vocabulary, pretokens.Lookup]] = {}
 
 
-def _counter(path: str, whole: frozenset[str]) -> tuple[Vocabulary, Bounded]:
+def _counter(path: str, whole: frozenset[bytes]) -> tuple[Vocabulary, pretokens.Lookup]:
+    """One vocabulary and table of pre-tokens for each worker process.
+
+    A proven whole token stands for itself; anything else is merged.
+    """
     if path not in _counters:
         vocabulary = Vocabulary(path)
-        _counters[path] = vocabulary, Bounded(lambda piece: 1 if piece in whole else len(vocabulary.merge(piece.encode("utf-8"))))
+        encode = lambda pieces: [np.array([vocabulary.ids[p]] if p in whole else vocabulary.merge(p), np.uint32) for p in pieces]
+        _counters[path] = vocabulary, pretokens.Lookup(pretokens.with_leading_space, True, encode)
     return _counters[path]
 
 
@@ -48,11 +55,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(Vocabulary(path)))
 
     def run(batches):
-        vocabulary, memo = _counter(path, whole.value)
-        size, split = memo.__getitem__, vocabulary.pattern.findall
+        vocabulary, lookup = _counter(path, whole.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts = [sum(1 if special is not None else sum(map(size, split(part))) for part, special in vocabulary.segments(t)) for t in texts]
+            segments = [vocabulary.segments(t) for t in texts]
+            found = iter(lookup.counts([part.encode() for own in segments for part, special in own if special is None]).tolist())
+            counts = [sum(next(found) if special is None else 1 for _, special in own) for own in segments]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
@@ -63,4 +71,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
