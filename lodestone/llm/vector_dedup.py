@@ -6,6 +6,10 @@ and sorted by the grid cells, of side epsilon, of the leading axes. The sorted
 sequence is cut into blocks; blocks whose bounds are further apart than epsilon
 on the leading axes are skipped, the others are joined by halving intervals of
 the two sequences until an interval is skipped or small enough to compare.
+
+The leading coordinates go first: a pair of blocks yields the vectors that have
+another one within epsilon on these axes. Only such vectors then meet whole, and
+the same recursion decides by their cosines.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import stash
 from lodestone.llm.graph import components
 
-LEADING = 6  # axes that the grid and the bounds use
-BLOCK = 256  # vectors of a block
+LEADING = 12  # axes that the bounds use; their coordinates are the first to be sent
+GRID = 6  # and axes whose cells order the vectors
+BLOCK = 4096  # vectors of a block
 LEAF = 64  # vectors of an interval that is compared without halving
-_SLACK = 1e-9  # of the bounds, against rounding; cosines alone decide
+MEETING = 2000  # blocks of a label's cell that look for partners in one task
+_SLACK = 1e-6  # of squared distances, against rounding of the coordinates; cosines alone decide
 
 
 def _is_comparable() -> F.Column:
@@ -40,14 +46,15 @@ def _units(batch: pa.RecordBatch, name: str = "embedding") -> list[np.ndarray]:
     return [v / math.sqrt(v @ v) for v in (np.array(x, np.float64) for x in batch.column(name).to_pylist())]
 
 
-def principal_axes(nodes: DataFrame) -> dict[int, np.ndarray]:
+def principal_axes(nodes: DataFrame, joined: int = 32) -> dict[int, np.ndarray]:
     """The leading principal axes of the unit vectors of each dimension.
 
-    Second moments are summed over all vectors; a square of the dimension is
-    what comes to the driver. Any axes would give the same links.
+    Second moments are summed over all vectors, as whole matrices: a task gives
+    one for each dimension, ``joined`` tasks sum these up, and that many come to
+    the driver. Any axes would give the same links.
     """
 
-    def run(batches):
+    def partial(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             groups: dict[int, list] = {}
@@ -56,49 +63,61 @@ def principal_axes(nodes: DataFrame) -> dict[int, np.ndarray]:
             for d, vs in groups.items():
                 m = np.array(vs)
                 sums[d] = sums.get(d, 0) + m.T @ m
+        yield from packed(sums)
+
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for d, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[d] = sums.get(d, 0) + np.frombuffer(m.as_py()).reshape(d, d)
+        yield from packed(sums)
+
+    def packed(sums):
         for d, m in sums.items():
-            i, j = np.triu_indices(d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), d)), pa.array(i), pa.array(j), pa.array(m[i, j])], ["d", "i", "j", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([m.tobytes()], pa.binary())], ["d", "m"])
 
+    schema = "d long, m binary"
     found: dict[int, np.ndarray] = {}
-    for r in nodes.select("embedding").mapInArrow(run, "d long, i long, j long, s double").groupBy("d", "i", "j").agg(F.sum("s").alias("s")).collect():
-        m = found.setdefault(r["d"], np.zeros((r["d"], r["d"])))
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["s"]
+    for r in nodes.select("embedding").mapInArrow(partial, schema).repartition(joined).mapInArrow(total, schema).collect():
+        found[r["d"]] = found.get(r["d"], 0) + np.frombuffer(r["m"]).reshape(r["d"], r["d"])
     return {d: np.linalg.eigh(m)[1][:, ::-1][:, :LEADING] for d, m in found.items()}
 
 
-def _blocks(nodes: DataFrame, axes: dict[int, np.ndarray], epsilon: float) -> DataFrame:
-    """Blocks of the vectors in grid order, with their bounds on the leading axes."""
-    shared = nodes.sparkSession.sparkContext.broadcast(axes)  # LEADING columns for each dimension
+def _leading(units: list[np.ndarray], axes: dict[int, np.ndarray]) -> np.ndarray:
+    """The coordinates on the leading axes, zeros beyond the dimension."""
+    return np.array([np.pad(v @ axes[len(v)], (0, max(0, LEADING - len(v)))) for v in units], np.float32).reshape(-1, LEADING)
+
+
+def _blocks(nodes: DataFrame, shared, epsilon: float) -> DataFrame:
+    """Blocks of the vectors in grid order: bounds and coordinates on the leading axes.
+
+    ``shared`` is the broadcast of the axes, LEADING columns for each dimension.
+    """
 
     def project(batches):
         for batch in batches:
             units = _units(batch)
-            leading = [np.pad(v @ shared.value[len(v)], (0, max(0, LEADING - len(v)))) for v in units]
-            cells = [np.floor(x / epsilon).astype(int).tolist() for x in leading]
+            leading = _leading(units, shared.value)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("label"),
                     pa.array([len(v) for v in units], pa.int64()),
-                    pa.array(cells, pa.list_(pa.int64())),
+                    pa.array(np.floor(leading[:, :GRID] / epsilon).astype(int).tolist(), pa.list_(pa.int64())),
                     batch.column("node"),
-                    batch.column("copies"),
                     pa.array([x.tobytes() for x in leading], pa.binary()),
-                    pa.array([v.tobytes() for v in units], pa.binary()),
                 ],
-                ["label", "d", "cells", "node", "copies", "leading", "unit"],
+                ["label", "d", "cells", "node", "leading"],
             )
 
     order = ["label", "d", "cells", "node"]
-    schema = "label long, d long, cells array<long>, node long, copies long, leading binary, unit binary"
-    ordered = nodes.mapInArrow(project, schema).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = nodes.mapInArrow(project, "label long, d long, cells array<long>, node long, leading binary").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def cut(batches):
         key, held = None, []
 
         def done():
-            node, copies, leading, unit = zip(*held, strict=True)
-            x = np.frombuffer(b"".join(leading)).reshape(len(held), -1)
+            node, leading = zip(*held, strict=True)
+            x = np.frombuffer(b"".join(leading), np.float32).reshape(len(held), LEADING)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([key[0]], pa.int64()),
@@ -107,15 +126,13 @@ def _blocks(nodes: DataFrame, axes: dict[int, np.ndarray], epsilon: float) -> Da
                     pa.array([x.min(axis=0).tolist()], pa.list_(pa.float64())),
                     pa.array([x.max(axis=0).tolist()], pa.list_(pa.float64())),
                     pa.array([np.array(node, np.int64).tobytes()], pa.binary()),
-                    pa.array([np.array(copies, np.int64).tobytes()], pa.binary()),
                     pa.array([x.tobytes()], pa.binary()),
-                    pa.array([b"".join(unit)], pa.binary()),
                 ],
-                ["label", "d", "block", "lo", "hi", "node", "copies", "leading", "unit"],
+                ["label", "d", "block", "lo", "hi", "nodes", "leading"],
             )
 
         for batch in batches:
-            for label, d, *row in zip(*(batch.column(c).to_pylist() for c in ("label", "d", "node", "copies", "leading", "unit")), strict=True):
+            for label, d, *row in zip(*(batch.column(c).to_pylist() for c in ("label", "d", "node", "leading")), strict=True):
                 if held and ((label, d) != key or len(held) >= BLOCK):
                     yield done()
                     held.clear()
@@ -124,20 +141,28 @@ def _blocks(nodes: DataFrame, axes: dict[int, np.ndarray], epsilon: float) -> Da
         if held:
             yield done()
 
-    return ordered.mapInArrow(cut, "label long, d long, block long, lo array<double>, hi array<double>, node binary, copies binary, leading binary, unit binary")
+    return ordered.mapInArrow(cut, "label long, d long, block long, lo array<double>, hi array<double>, nodes binary, leading binary")
 
 
 def _block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
     """(a, b) of all blocks, a before or at b, whose bounds are within epsilon.
 
-    The pairs meet by the label and a cell of the first axis: each block stands
-    in its own cells, and for the search in those next to them too. Of the
-    cells that two blocks share only the first one counts.
+    The pairs meet by the label and a cell of the two first axes: each block
+    stands in its own cells, and for the search in those next to them too. Of the
+    cells that two blocks share only the first one counts. Blocks that look for
+    partners are dealt out by a salt whose range follows the number of blocks.
     """
     bounds = blocks.select("label", "d", "block", "lo", "hi")
-    cell = lambda c, k: F.floor(F.get(F.col(c), F.lit(0)) / epsilon) + k
-    left = bounds.withColumn("first", cell("lo", -1)).withColumn("cell", F.explode(F.sequence(F.col("first"), cell("hi", 1))))
-    right = bounds.withColumn("first", cell("lo", 0)).withColumn("cell", F.explode(F.sequence(F.col("first"), cell("hi", 0))))
+    salts = 1 + bounds.count() // MEETING
+    cell = lambda c, axis, k: F.floor((F.get(F.col(c), F.lit(axis)) + k * _SLACK) / epsilon) + k
+
+    def placed(side: DataFrame, reach: int) -> DataFrame:
+        firsts = side.withColumns({f"first{axis}": cell("lo", axis, -reach) for axis in (0, 1)})
+        spread = firsts.withColumn("c0", F.explode(F.sequence(F.col("first0"), cell("hi", 0, reach))))
+        return spread.withColumn("c1", F.explode(F.sequence(F.col("first1"), cell("hi", 1, reach))))
+
+    left = placed(bounds, 1).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+    right = placed(bounds, 0).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     gap = F.aggregate(
         F.transform(
             F.sequence(F.lit(0), F.lit(LEADING - 1)),
@@ -146,10 +171,11 @@ def _block_pairs(blocks: DataFrame, epsilon: float) -> DataFrame:
         F.lit(0.0),
         lambda a, x: a + x * x,
     )
+    first = [F.col(f"c{axis}") == F.greatest(f"l.first{axis}", f"r.first{axis}") for axis in (0, 1)]
     return (
         left.alias("l")
-        .join(right.alias("r"), ["label", "d", "cell"])
-        .where((F.col("l.block") <= F.col("r.block")) & (F.col("cell") == F.greatest("l.first", "r.first")) & (gap <= epsilon * epsilon + _SLACK))
+        .join(right.alias("r"), ["label", "d", "c0", "c1", "salt"])
+        .where((F.col("l.block") <= F.col("r.block")) & first[0] & first[1] & (gap <= epsilon * epsilon + _SLACK))
         .select(F.col("l.block").alias("a"), F.col("r.block").alias("b"))
     )
 
@@ -160,17 +186,18 @@ def _apart(x: np.ndarray, y: np.ndarray, epsilon: float) -> bool:
     return gap @ gap > epsilon * epsilon + _SLACK
 
 
-def join_intervals(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, epsilon: float, cosine: float, at: tuple[int, int] = (0, 0), same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all pairs of two sequences with at least the cosine.
+def join_intervals(x: np.ndarray, y: np.ndarray, epsilon: float, at: tuple[int, int] = (0, 0), same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of two sequences of coordinates that lie within epsilon.
 
-    ``x`` and ``y`` hold the leading coordinates, ``u`` and ``v`` the unit
-    vectors. ``same`` compares a sequence with itself, each pair once.
+    ``same`` compares a sequence with itself, each pair once. At most LEAF times
+    LEAF pairs come at once.
     """
     if not same and _apart(x, y, epsilon):
         return
     if max(len(x), len(y)) <= LEAF:
-        # One dot product a pair, so that its value doesn't depend on its neighbours.
-        near = np.einsum("ik,jk->ij", u, v) >= cosine
+        u, v = x.astype(np.float64), y.astype(np.float64)
+        apart = (u * u).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * (u @ v.T)
+        near = apart <= epsilon * epsilon + _SLACK
         if same:
             near = np.triu(near, 1)
         i, j = np.nonzero(near)
@@ -179,53 +206,129 @@ def join_intervals(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, e
         return
     if same:
         h = len(x) // 2
-        yield from join_intervals(x[:h], x[:h], u[:h], u[:h], epsilon, cosine, at, True)
-        yield from join_intervals(x[h:], x[h:], u[h:], u[h:], epsilon, cosine, (at[0] + h, at[1] + h), True)
-        yield from join_intervals(x[:h], x[h:], u[:h], u[h:], epsilon, cosine, (at[0], at[1] + h))
+        yield from join_intervals(x[:h], x[:h], epsilon, at, True)
+        yield from join_intervals(x[h:], x[h:], epsilon, (at[0] + h, at[1] + h), True)
+        yield from join_intervals(x[:h], x[h:], epsilon, (at[0], at[1] + h))
     elif len(x) >= len(y):
         h = len(x) // 2
-        yield from join_intervals(x[:h], y, u[:h], v, epsilon, cosine, at)
-        yield from join_intervals(x[h:], y, u[h:], v, epsilon, cosine, (at[0] + h, at[1]))
+        yield from join_intervals(x[:h], y, epsilon, at)
+        yield from join_intervals(x[h:], y, epsilon, (at[0] + h, at[1]))
     else:
         h = len(y) // 2
-        yield from join_intervals(x, y[:h], u, v[:h], epsilon, cosine, at)
-        yield from join_intervals(x, y[h:], u, v[h:], epsilon, cosine, (at[0], at[1] + h))
+        yield from join_intervals(x, y[:h], epsilon, at)
+        yield from join_intervals(x, y[h:], epsilon, (at[0], at[1] + h))
 
 
-def _links(blocks: DataFrame, pairs: DataFrame, epsilon: float, cosine: float) -> DataFrame:
+def _candidates(blocks: DataFrame, pairs: DataFrame, epsilon: float) -> DataFrame:
+    """(a, b, d, second, node): the vectors of a pair of blocks that have one of the other within epsilon.
+
+    ``second`` tells vectors of b from those of a.
+    """
+    left = blocks.select(F.col("block").alias("a"), "d", F.col("nodes").alias("nodes_a"), F.col("leading").alias("leading_a"))
+    right = blocks.select(F.col("block").alias("b"), F.col("nodes").alias("nodes_b"), F.col("leading").alias("leading_b"))
+
+    def run(batches):
+        for batch in batches:
+            for a, b, *raw in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "nodes_a", "nodes_b", "leading_a", "leading_b")), strict=True):
+                nodes = [np.frombuffer(r, np.int64) for r in raw[:2]]
+                x, y = (np.frombuffer(r, np.float32).reshape(-1, LEADING) for r in raw[2:])
+                near = [np.zeros(len(n), bool) for n in nodes]
+                for i, j in join_intervals(x, y, epsilon, same=a == b):
+                    near[0][i] = True
+                    near[a != b][j] = True
+                for second in (False, True):
+                    found = nodes[second][near[second]]
+                    n = len(found)
+                    if n:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(np.full(n, b)), pa.array(np.full(n, second)), pa.array(found)], ["a", "b", "second", "node"])
+
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, second boolean, node long")
+
+
+def _linked(u: np.ndarray, v: np.ndarray, node: np.ndarray, copies: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], at: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each vector and the least node that links reach from it.
+
+    ``pairs`` holds positions in ``u`` and ``v``; ``at`` is where those of ``v``
+    begin among all vectors (0 if they are the same).
+    """
+    links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
+
+    def root(n):
+        while parent[n] != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
+    for i, j in pairs:
+        # One dot product a pair, so that its value doesn't depend on its neighbours.
+        near = np.einsum("ij,ij->i", u[i], v[j]) >= cosine
+        i, j = i[near], j[near] + at
+        np.add.at(links, i, copies[j])
+        np.add.at(links, j, copies[i])
+        r, s = parent[i], parent[j]
+        for k in np.flatnonzero(r != s).tolist():
+            p, q = root(int(r[k])), root(int(s[k]))
+            parent[max(p, q)] = min(p, q)
+    while True:
+        above = parent[parent]
+        if (above == parent).all():
+            break
+        parent = above
+    least = node.copy()
+    np.minimum.at(least, parent, node)
+    return links, least[parent]
+
+
+def _links(candidates: DataFrame, nodes: DataFrame, shared, epsilon: float, cosine: float) -> DataFrame:
     """(node, links, root) of every node and pair of blocks with links.
 
     The root is the least node that links of this pair of blocks reach, so a
     pair gives at most a row a vector, however many links it holds.
     """
-    left = blocks.select(F.col("block").alias("a"), "d", *(F.col(c).alias(f"{c}_a") for c in ("node", "copies", "leading", "unit")))
-    right = blocks.select(F.col("block").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("node", "copies", "leading", "unit")))
-    both = pairs.join(left, "a").join(right, "b")
+    order = ["a", "b", "second", "cells", "node"]
+
+    def project(batches):
+        for batch in batches:
+            leading = _leading(_units(batch), shared.value)
+            cells = pa.array(np.floor(leading[:, :GRID] / epsilon).astype(int).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], [*batch.schema.names, "cells"])
+
+    both = candidates.join(nodes.select("node", "copies", "embedding"), "node")
+    element = dict(both.dtypes)["embedding"]
+    placed = both.mapInArrow(project, f"node long, a long, b long, second boolean, copies long, embedding {element}, cells array<long>")
+    rows = placed.repartition("a", "b").sortWithinPartitions(*order)
 
     def run(batches):
+        key, held = None, []
+
+        def done():
+            joined = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            node, copies = joined.column("node").to_numpy(), joined.column("copies").to_numpy()
+            units = _units(joined)
+            x, u = _leading(units, shared.value), np.array(units)
+            if key[0] == key[1]:
+                links, roots = _linked(u, u, node, copies, join_intervals(x, x, epsilon, same=True), 0, cosine)
+            else:
+                h = int(np.searchsorted(joined.column("second").to_numpy(zero_copy_only=False), True))
+                links, roots = _linked(u[:h], u[h:], node, copies, join_intervals(x[:h], x[h:], epsilon), h, cosine) if 0 < h < len(u) else (np.zeros(len(u), np.int64), node)
+            some = links > 0
+            return pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (node, links, roots)], ["node", "links", "root"])
+
         for batch in batches:
-            for a, b, d, *raw in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "d", "node_a", "copies_a", "leading_a", "unit_a", "node_b", "copies_b", "leading_b", "unit_b")), strict=True):
-                node_a, copies_a, x, u, node_b, copies_b, y, v = (np.frombuffer(r, np.int64 if k % 4 < 2 else np.float64) for k, r in enumerate(raw))
-                x, u, y, v = x.reshape(len(node_a), -1), u.reshape(-1, d), y.reshape(len(node_b), -1), v.reshape(-1, d)
-                links: dict[int, int] = {}
-                parent: dict[int, int] = {}
-
-                def root(n, parent=parent):
-                    while parent.setdefault(n, n) != n:
-                        parent[n] = parent[parent[n]]
-                        n = parent[n]
-                    return n
-
-                for i, j in join_intervals(x, y, u, v, epsilon, cosine, same=a == b):
-                    for p, q, s, t in zip(node_a[i].tolist(), node_b[j].tolist(), copies_a[i].tolist(), copies_b[j].tolist(), strict=True):
-                        links[p] = links.get(p, 0) + t
-                        links[q] = links.get(q, 0) + s
-                        p, q = root(p), root(q)
-                        parent[max(p, q)] = min(p, q)
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(links), list(links.values()), [root(n) for n in links])], ["node", "links", "root"])
-
-    return both.mapInArrow(run, "node long, links long, root long")
+            if not batch.num_rows:
+                continue
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            cuts = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1).tolist(), len(a)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if key != (a[lo], b[lo]):
+                    if held:
+                        yield done()
+                    key, held = (a[lo], b[lo]), []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield done()
+
+    return rows.mapInArrow(run, "node long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
@@ -243,12 +346,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     component is null. An empty table gives no rows; other columns are ignored.
     """
     epsilon = math.sqrt(2 - 2 * cosine)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # Floats stay floats where they are sent; all arithmetic is in double precision.
+    embedding = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), embedding.alias("embedding"))
     nodes = stash(rows.where(_is_comparable()).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "vectors")
-    axes = principal_axes(nodes)
-    blocks = stash(_blocks(nodes, axes, epsilon), "blocks")
+    shared = nodes.sparkSession.sparkContext.broadcast(principal_axes(nodes))
+    blocks = stash(_blocks(nodes, shared, epsilon), "blocks")
     pairs = stash(_block_pairs(blocks, epsilon), "block-pairs")
-    found = stash(_links(blocks, pairs.repartition("a", "b"), epsilon, cosine), "vector-links")
+    candidates = stash(_candidates(blocks, pairs.repartition("a", "b"), epsilon), "candidates")
+    found = stash(_links(candidates, nodes, shared, epsilon, cosine), "vector-links")
     classes = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     resolved = stash(

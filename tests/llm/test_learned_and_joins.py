@@ -178,6 +178,7 @@ def test_components(spark):
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "BLOCK", 16)
     monkeypatch.setattr(vector_dedup, "LEAF", 4)
+    monkeypatch.setattr(vector_dedup, "MEETING", 5)
     dice = np.random.RandomState(3)
     rows = []
     for c in range(12):
