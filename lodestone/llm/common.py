@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but the space and the ASCII controls tab to carriage return.
@@ -22,10 +22,12 @@ _written: list[tuple[object, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (as
-    in tests on one machine) a local folder stands in.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and
+    the session runs on one machine (as in tests) a local folder stands in.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or f"file://{tempfile.gettempdir()}/lodestone-shared").rstrip("/")
 
 
@@ -65,18 +67,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> F.Column:
+    """The column of a name that may hold dots or backquotes."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` has not, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def held_out(doc_id) -> F.Column:
     """True for the fold that no model learns from: crc32 of the id's text mod 4 is 2."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 4 == 2
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``per_class`` training documents a class.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, class_bytes: int = 1 << 25) -> DataFrame:
+    """(doc_id, text, y) of at most ``per_class`` training documents and ``class_bytes`` of text a class.
 
-    Rows are taken in the order of a hash of the id, outside the held-out
+    Documents are taken in the order of a hash of the id, outside the held-out
     fold, with a label of 0 or 1. The ids are at most ``2 * per_class``, which
     bounds what is broadcast. Repeated labels of a document count once, the
-    largest wins.
+    largest wins; of several texts of one id the least counts. A text that
+    doesn't fit in what is left of the bytes ends its class's sample.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
@@ -87,7 +103,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull())
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull()).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    so_far = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")  # of at most per_class rows
+    return found.withColumn("bytes", F.sum(F.octet_length("text")).over(so_far)).where(F.col("bytes") <= class_bytes).select("doc_id", "text", "y")
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

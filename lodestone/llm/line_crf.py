@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
-from lodestone.llm.common import held_out, labelled_sample
+from lodestone.llm.common import held_out, labelled_sample, quoted
 
 CHUNK_CHARS = 1 << 20  # characters whose lines are measured together
 CHAIN = 64  # lines of a chain in training; scoring takes whole documents
@@ -76,13 +77,10 @@ def _run_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The measures of all lines of some texts, and the number of lines of each text."""
-    joined = "\n".join(texts) + "\n"
+def _by_characters(joined: str) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each kind of character with words and different words behind them, and a hash, of every line of a string."""
     chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    ends = np.flatnonzero(chars == 10)  # a text's last line ends at the separator
-    text_ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    lines_of = np.diff(np.searchsorted(ends, text_ends, side="right"), prepend=0)
+    ends = np.flatnonzero(chars == 10)
     n = len(ends)
     starts = np.concatenate([[0], ends[:-1] + 1])
     line = np.repeat(np.arange(n), np.diff(np.append(starts, len(chars))))
@@ -98,18 +96,52 @@ def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     mixed = _run_hashes(values, word_starts) * np.uint64(0xFF51AFD7ED558CCD) + word_line.astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)
     _, first = np.unique(mixed, return_index=True)
     distinct = np.bincount(word_line[first], minlength=n).astype(np.float64)
+    return np.column_stack([counts, words, distinct]), _run_hashes(values, starts)
+
+
+def _short_lines(text: str) -> str:
+    """A text whose lines have no more than CHUNK_CHARS characters: longer ones are cut at their last space before that, if there is one."""
+    if len(text) <= CHUNK_CHARS:
+        return text
+    out = []
+    for line in text.split("\n"):
+        while len(line) > CHUNK_CHARS:
+            at = line.rfind(" ", 1, CHUNK_CHARS) + 1 or CHUNK_CHARS
+            out.append(line[:at])
+            line = line[at:]
+        out.append(line)
+    return "\n".join(out)
+
+
+def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The measures of all lines of some texts, and the number of lines of each text.
+
+    Characters are taken in runs of whole lines, so a very long text costs
+    memory for its lines only. A line of more than CHUNK_CHARS characters counts
+    as several.
+    """
+    texts = list(map(_short_lines, texts))
+    joined = "\n".join(texts) + "\n"
+    lines_of = np.array([t.count("\n") + 1 for t in texts], np.int64)
+    parts, at = [], 0
+    while at < len(joined):
+        end = len(joined) if len(joined) - at <= 2 * CHUNK_CHARS else joined.rfind("\n", at, at + 2 * CHUNK_CHARS) + 1
+        parts.append(_by_characters(joined[at:end]))
+        at = end
+    table, content = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    counts, words, distinct = table[:, :9], table[:, 9], table[:, 10]
 
     owner = np.repeat(np.arange(len(texts)), lines_of).astype(np.uint64)
-    content = _run_hashes(values, starts)
     _, inverse, times = np.unique(content * np.uint64(0xFF51AFD7ED558CCD) + owner * np.uint64(0xC4CEB9FE1A85EC53), return_inverse=True, return_counts=True)
     repeated = (times[inverse] >= 3) & (words > 0)  # a heading that closes a text again is no fault
     as_before = np.concatenate([[False], (content[1:] == content[:-1]) & (owner[1:] == owner[:-1])]) & (words > 0)
 
-    size, w = np.maximum(n and counts[:, 1:].sum(axis=1), 1), np.maximum(words, 1)
+    chars = counts[:, 1:].sum(axis=1)
+    size, w = np.maximum(chars, 1), np.maximum(words, 1)
     out = np.column_stack(
         [
             words,
-            counts[:, 1:].sum(axis=1) / w,
+            chars / w,
             counts[:, _UPPER] / size,
             counts[:, _DIGIT] / size,
             counts[:, _BAR] / w,
@@ -120,7 +152,7 @@ def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             distinct / w,
             repeated,
             as_before,
-            counts[:, 1:].sum(axis=1),
+            chars,
         ]
     )
     return out, lines_of
@@ -192,6 +224,11 @@ class Model:
     scale: float = 1.0
     shift: float = 0.0
 
+    @property
+    def learned(self) -> bool:
+        """False for the model of labels that don't hold both classes: it can't tell documents apart."""
+        return bool(self.weights.any())
+
     def bins(self, measures: np.ndarray) -> np.ndarray:
         return np.column_stack([np.searchsorted(c, measures[:, k], side="left") for k, c in enumerate(self.cuts)])
 
@@ -299,16 +336,17 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
     return fit([r["text"] for r in rows], [r["y"] for r in rows])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``score``; columns of that name are replaced.
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the score as ``name``; a column of that name, in any case, is replaced.
 
     Scores use the text alone. Null and empty texts, and those without words,
     have the quality 0 and so the lowest score. Repeated rows have equal scores
     up to rounding; an empty table gives no rows.
     """
-    kept = docs.drop("score")
+    own = [c for c in docs.columns if c.lower() != name.lower()]
+    plain = docs.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(own)))  # names may hold dots
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some thousand numbers
-    at = kept.columns.index("text")
+    at = own.index("text")
 
     def run(batches):
         for batch in batches:
@@ -316,12 +354,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = np.concatenate([shared.value.scores(c) for c in chunks(texts)]) if texts else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    return kept.mapInArrow(run, StructType([*kept.schema.fields]).add("score", DoubleType()))
+    return plain.mapInArrow(run, StructType([*plain.schema.fields]).add("score", DoubleType())).toDF(*own, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 1500) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
-    scored = score(docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text"), fit_on(docs, labels, per_class))
+    """doc_id, held_out, score and predicted of every document.
+
+    A row of ``docs`` gives a row. Null and empty texts and those without words
+    have the lowest score; repeated rows have equal scores; a null doc_id stays
+    null and is not held out; an empty table gives no rows; other columns are
+    ignored. Without labels of both classes every score is 0.5.
+    """
+    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit_on(docs, labels, per_class))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD_SQL, labelled_sample
+from lodestone.llm.common import WORD_SQL, labelled_sample, quoted
 
 WINDOW = 8  # words of a repeated passage
 
@@ -34,12 +34,13 @@ def _repeated_words(hashes: F.Column) -> F.Column:
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with word counts and the statistics that the rules use.
+    """The rows of ``docs`` as one struct ``row``, with word counts and the statistics that the rules use.
 
-    Columns of ``docs`` that have the names of statistics are replaced. Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, and for
-    the learned rules more ratios in a struct ``m``. A null text has no words.
+    Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, and for
+    the learned rules more ratios in a struct ``m``. What names the columns of
+    ``docs`` have doesn't matter. A null text has no words.
     """
-    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "m", "base_failed", "kept")
+    docs = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
     text = F.coalesce(F.col("text"), F.lit(""))
     # Lengths that replacing leaves behind: regular expressions for sets of characters, plain search for one.
     without = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
@@ -95,7 +96,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     # A generator is a barrier: a filter on a statistic is else pushed below it, which
     # writes the nested expressions out many times over.
     found = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", measures.alias("m"))
-    return step.select(*docs.columns, F.explode(F.array(found)).alias("_s")).select(*docs.columns, "_s.*")
+    return step.select("row", F.explode(F.array(found)).alias("s")).select("row", "s.*")
 
 
 MEASURES = ("words", "word_length", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "bars_per_word", "marks_per_word", "upper_share", "lines_per_word")
@@ -218,14 +219,30 @@ def learn_from(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> lis
     Documents that the base test rejects teach nothing, as no rule sees them.
     """
     sample = base_statistics(labelled_sample(docs, labels, "quality", per_class)).where(~base_failed())
-    rows = sample.select("doc_id", "y", "m.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = sample.select("row.doc_id", "row.y", "m.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return learn([r.asDict() for r in rows])
 
 
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The statistics, base_failed and kept, beside the struct ``row`` of each document's own columns."""
+    return base_statistics(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
 def apply(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """All columns of ``docs`` with the statistics, base_failed and kept.
 
     A null or empty text has no words and fails the base test. Repeated rows
-    are judged each on their own; an empty table gives no rows.
+    are judged each on their own; an empty table gives no rows. Columns of
+    ``docs`` that have one of the added names, in any case, are replaced; all
+    others come through, whatever their names.
     """
-    return base_statistics(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    own = [c for c in docs.columns if c.lower() not in ADDED]
+    return judged(docs, rules).select(*(F.col("row").getField(c).alias(c) for c in own), *ADDED)
+
+
+def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of ``docs`` that the base test and the rules keep, with their own columns only."""
+    return judged(docs, rules).where("kept").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
