@@ -31,6 +31,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: All records carry one date: archives of the same pages are then the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 CHUNK = 1 << 16
+SALTS = 64  # ways that the pages of one payload are dealt out
 
 
 def digest(payload: bytes) -> str:
@@ -154,9 +155,12 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         .where("n > 1")
         .select("sha1", "kept")
     )
-    groups = stash(groups, "payload-groups")  # read twice below if Spark wishes, and a plain side for the join
-    refers = F.when(F.col("page_id") != F.col("kept"), F.col("kept"))
-    return sized.join(groups, "sha1", "left").withColumn("refers_to", refers).drop("kept")
+    # Payloads don't move by their digest, which a third of all pages may share: ids alone meet the
+    # groups, dealt out by a salt, and what they refer to then joins the pages by their ids.
+    groups = stash(groups, "payload-groups").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ids = sized.where("page_id IS NOT NULL").select("page_id", "sha1", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    refers = ids.join(groups, ["sha1", "salt"]).where("page_id <> kept").select("page_id", "sha1", F.col("kept").alias("refers_to")).distinct()
+    return sized.join(refers, ["page_id", "sha1"], "left").select("page_id", "url", "payload", "sha1", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
