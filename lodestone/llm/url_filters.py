@@ -35,22 +35,16 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return spark.createDataFrame(rules, "verdict string, rule_host string, rule_path string")
 
 
-def expressions(host: F.Column, path: F.Column, labels: list[int], lengths: list[int]) -> F.Column:
-    """All host suffixes with one of the label counts, each with all path prefixes of one of the lengths.
+def expressions(host: F.Column, path: F.Column, shapes: list[tuple[int, int]]) -> F.Column:
+    """The host suffix and the path prefix of every shape that fits.
 
-    ``labels`` and ``lengths`` are those that occur among the rules, so a host
-    of a thousand labels makes no more expressions than the rules can match.
+    A shape is a number of host labels with a path length. Those that occur
+    together in a rule are given, so a host of a thousand labels makes no more
+    expressions than the rules can match.
     """
     parts = F.split(host, r"\.")
-    suffixes = F.filter(
-        F.transform(F.array(*map(F.lit, labels)), lambda k: F.when(k <= F.size(parts), F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))),
-        lambda s: s.isNotNull(),
-    )
-    prefixes = F.filter(
-        F.transform(F.array(*map(F.lit, lengths)), lambda k: F.when(k <= F.length(path), F.substring(path, F.lit(1), k))),
-        lambda p: p.isNotNull(),
-    )
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("h"), p.alias("p")))))
+    fitting = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(m).alias("m")) for k, m in shapes)), lambda x: (x["k"] <= F.size(parts)) & (x["m"] <= F.length(path)))
+    return F.transform(fitting, lambda x: F.struct(F.array_join(F.slice(parts, F.size(parts) - x["k"] + 1, x["k"]), ".").alias("h"), F.substring(path, F.lit(1), x["m"]).alias("p")))
 
 
 def _digest(host: F.Column, path: F.Column) -> F.Column:
@@ -72,8 +66,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     # Equal rows share one verdict: they are counted here and spread out again at the end.
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).groupBy("page_id", "url").agg(F.count("*").alias("n"))
     rows = rows.withColumns({"host": host, "path": path})
-    shapes = rules.select(F.size(F.split("rule_host", r"\.")).alias("k"), F.length("rule_path").alias("m")).distinct().collect()
-    labels, lengths = sorted({r["k"] for r in shapes}), sorted({r["m"] for r in shapes})
+    shapes = sorted((r["k"], r["m"]) for r in rules.select(F.size(F.split("rule_host", r"\.")).alias("k"), F.length("rule_path").alias("m")).distinct().collect())
     known = (
         rules.withColumn("digest", _digest(F.col("rule_host"), F.col("rule_path")))
         .withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
@@ -82,7 +75,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     if not shapes:
         return _spread(rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}))
     asked = (
-        rows.withColumn("e", F.explode_outer(expressions(F.col("host"), F.col("path"), labels, lengths)))
+        rows.withColumn("e", F.explode_outer(expressions(F.col("host"), F.col("path"), shapes)))
         .withColumn("full", _digest(F.col("e.h"), F.col("e.p")))
         .withColumn("short", F.substring("full", 1, PREFIX_DIGITS))
         .drop("e")
