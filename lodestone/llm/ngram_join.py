@@ -110,7 +110,7 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
             types = (pa.binary(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "set", "grams", "labels", "bits"])
 
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, "doc_id long, set binary, grams long, labels binary, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set binary, grams long, labels binary, bits binary")
 
 
 def _near(one: np.ndarray, two: np.ndarray, screen: int, threshold: tuple[int, int]) -> np.ndarray:
@@ -311,9 +311,9 @@ def _verify_block(block: list[tuple[int, int, int, np.ndarray]], crossing: bool,
 def _verified(members: DataFrame, docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """(node, links, root) of every member and block that has links.
 
-    ``members`` has node (the id of a document with its set), cluster, copies
-    and the number of blocks of the cluster. A member of block i goes to the
-    tasks of all pairs of blocks with i.
+    ``members`` has node (the id of a document with its set), set, cluster,
+    copies and the number of blocks of the cluster. A member of block i goes to
+    the tasks of all pairs of blocks with i.
     """
     side = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     texts = docs.selectExpr("CAST(doc_id AS LONG) AS node", "text").where("node IS NOT NULL AND text IS NOT NULL")
@@ -321,14 +321,14 @@ def _verified(members: DataFrame, docs: DataFrame, n: int, threshold: tuple[int,
         members.hint("merge").join(texts, "node")  # one plan, whose shuffle follows the input, at every size
         .withColumn("side", side)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-        .select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side", "copies", "text")
+        .select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "set", "side", "copies", "text")
         .withColumn("task", F.xxhash64("cluster", "i", "j"))
         .repartitionByRange("task", "cluster", "i", "j")  # by rows, so that two large blocks don't meet by chance
-        .sortWithinPartitions("task", "cluster", "i", "j", "node")
+        .sortWithinPartitions("task", "cluster", "i", "j", "node", "set")
     )
 
     def run(batches):
-        key, block = None, []
+        key, block, last = None, [], None
 
         def done():
             rows = list(_verify_block(block, key[1] != key[2], threshold)) if len(block) > 1 else []
@@ -336,14 +336,18 @@ def _verified(members: DataFrame, docs: DataFrame, n: int, threshold: tuple[int,
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["node", "links", "root"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "node", "side", "copies", "text")]
-            for cluster, i, j, node, where, copies, text in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "node", "set", "side", "copies", "text")]
+            for cluster, i, j, node, digest, where, copies, text in zip(*columns, strict=True):
                 if key != (cluster, i, j):
                     if block:
                         yield from done()
-                    key, block = (cluster, i, j), []
-                if not block or block[-1][0] != node:  # a repeated row of one document
-                    block.append((node, where, copies, grams(text, n)))
+                    key, block, last = (cluster, i, j), [], None
+                if last == (node, digest):  # a repeated row of one document
+                    continue
+                found = grams(text, n)
+                if xxhash.xxh3_128_digest(found.tobytes()) == digest:  # else another text of that id
+                    block.append((node, where, copies, found))
+                    last = node, digest
         if block:
             yield from done()
 
@@ -364,7 +368,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5
     A text without words (null, empty, white space) has no n-grams, links with
     nothing and is its own class. A null doc_id is a class of its own too, with
     no links. Rows that share a doc_id and a text are copies like any others; they
-    are all returned and kept or not together. An empty table gives no rows; other columns are ignored.
+    are all returned and kept or not together. Rows that share a doc_id but not
+    the text are one document of several texts: all its rows have the links and
+    the class of all its texts. An empty table gives no rows; other columns are ignored.
     """
     similarity = threshold[0] / threshold[1]
     depth = prefix_depth(similarity, target)
@@ -380,12 +386,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5
         "nodes",
     )
     clusters = stash(components(_forest(nodes, depth, screen, threshold)), "clusters")
-    weighed = clusters.join(nodes.select("node", "copies", "grams"), "node")
+    weighed = clusters.join(nodes.select("node", "set", "copies", "grams"), "node")
     sizes = stash(
         weighed.groupBy("root").agg(F.count("*").alias("size"), F.sum("grams").alias("total")).select("root", F.greatest(F.ceil(F.col("size") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_GRAMS)).alias("blocks")),
         "cluster-sizes",
     )
-    members = stash(weighed.join(sizes, "root").select("node", F.col("root").alias("cluster"), "copies", "blocks"), "members")
+    members = stash(weighed.join(sizes, "root").select("node", "set", F.col("root").alias("cluster"), "copies", "blocks"), "members")
     verified = stash(_verified(members, docs, n, threshold), "verified")
     classes = components(verified.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))

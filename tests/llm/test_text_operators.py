@@ -65,6 +65,26 @@ def test_base_statistics(docs):
         assert r["base_failed"] == failed and r["kept"] == (not failed)
 
 
+def test_rules_carry_any_columns(spark):
+    docs = spark.createDataFrame([(1, TEXTS[4], 1, 2, 3, 4, 5, 6)], "doc_id long, text string, _words int, _s int, M int, `a.b` int, row int, N_WORDS int")
+    rule = (rules.Test("words", False, 100.0),)
+    out = rules.apply(docs, [rule])
+    assert out.columns == ["doc_id", "text", "_words", "_s", "M", "a.b", "row", *rules.ADDED]
+    row = out.first()
+    assert (row["_words"], row["_s"], row["M"], row["a.b"], row["row"], row["n_words"], row["kept"]) == (1, 2, 3, 4, 5, 300, False)
+    assert rules.keep(docs, []).columns == docs.columns and rules.keep(docs, [rule]).count() == 0
+
+
+def test_sample_is_bounded(spark):
+    from lodestone.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i, "x" * 10) for i in range(40)] * 2 + [(3, "w")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = labelled_sample(docs, labels, "quality", 9).collect()
+    assert len(rows) == len({r["doc_id"] for r in rows}) == 18 and {r["text"] for r in rows if r["doc_id"] == 3} <= {"w"}
+    assert len(labelled_sample(docs, labels, "quality", 9, class_bytes=45).collect()) == 8 + any(r["doc_id"] == 3 for r in rows)
+
+
 def test_rules_on_a_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -335,7 +355,7 @@ def brute_verdict(url, table):
 
 def test_url_filters(spark):
     table = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-    urls = [None, "", "nothing", "http://", "HTTP://WWW.Example.COM/en/a?b#c", "http://example.com", "http://x.example.com/en/1", "http://notexample.com/en/", "https://a.b.net/fr/?q", "x://net/es", "x://net/es/#", "a://b://net/fr/", "http://É.com/", "http://com.?x", "http://..com/en", "http://u:p@h.com:80/é"]
+    urls = ["http://" + "a." * 500 + "example.com/en/" + "p/" * 3000, None, "", "nothing", "http://", "HTTP://WWW.Example.COM/en/a?b#c", "http://example.com", "http://x.example.com/en/1", "http://notexample.com/en/", "https://a.b.net/fr/?q", "x://net/es", "x://net/es/#", "a://b://net/fr/", "http://É.com/", "http://com.?x", "http://..com/en", "http://u:p@h.com:80/é"]
     rows = [(i, u, "clash") for i, u in enumerate(urls)] + [(0, None, "clash"), (4, urls[4], "clash"), (None, urls[6], "clash")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
     got = collections.Counter(tuple(r) for r in url_filters.judge(pages, url_filters.rule_table(spark, table)).collect())
