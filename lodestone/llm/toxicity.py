@@ -1,11 +1,12 @@
 """Toxicity by compression distance with two trained zstandard dictionaries.
 
-The ordinary dictionary is trained on ordinary text, the toxic one on the
-passages of toxic texts that set them apart from ordinary ones. A window of
-words is compressed with the ordinary dictionary alone and with the toxic one
-before it: what both know costs the same, so the difference of the two lengths
-is what toxic text explains. Calibration turns the lengths of a window into
-evidence, and the windows of a document into its score.
+One dictionary is trained on ordinary texts, the other on toxic texts, whose
+words that hold nothing but what ordinary text holds as well are left out first:
+toxic texts are ordinary ones for the most part, and a dictionary of whole ones
+tells them apart hardly at all (measured, see the README). Every window of a
+text is compressed with each of the two. Calibration turns the length of a
+window, what the toxic dictionary saves of it and the difference of the two
+compressed lengths into evidence, and the windows of a document into its score.
 """
 
 from __future__ import annotations
@@ -21,19 +22,21 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import WORD, Bounded, held_out, labelled_sample
 
-GRAMS = (6, 7, 8, 10)  # bytes of the grams that find distinctive passages
+GRAMS = (4, 5, 6, 7, 8, 10)  # bytes of the grams that find distinctive passages
 LEAST = 3  # toxic texts that must hold a gram
 CHANCE = 1e-3  # bound of the probability that a gram as common in both kinds would fall so
 CONTRAST = 16.0  # times as often in toxic as in ordinary texts
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 8_192
-LEVEL = 3
+LEVEL = 12  # lower levels miss the short matches that windows are made of
 #: Both dictionaries end with it and every window starts with it, so that a window
 #: of any length is compressed rather than stored, and lengths can be compared.
 ANCHOR = b"#=start of the window=#"
 #: Ends every window: the last bytes of an input are never matched.
 TAIL = b"\0" * 9
-LONGEST = 24  # window lengths beyond this share one row of the calibration
-DEEPEST = 12  # and so do gains beyond this
+#: The calibration's places: bytes of a window, bytes that the toxic dictionary saves, and the
+#: difference of the compressed lengths, each up to a largest value that those beyond share.
+LONGEST, MOST_SAVED, APART = 14, 19, 8
+STRONGEST = np.array([1.0, 0.7, 0.5, 0.4, 0.3, 0.3])  # weights of the windows that speak most for toxic text
 
 _WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(max(GRAMS))], np.uint64)
 
@@ -119,12 +122,13 @@ def train_dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
 
     Frequent samples that the training left out stand before it as far as there
     is room, and zeros before these: with a fixed size the cost of a match
-    doesn't depend on how much there was to learn.
+    doesn't depend on how much there was to learn. Samples that make less than
+    the size are taken as they are.
     """
-    try:
-        content = zstandard.train_dictionary(size, [s for s in samples if len(s) >= 8], k=segment, d=6).as_bytes()[-size:]
-    except zstandard.ZstdError:  # too few samples
-        content = b""
+    long_enough = [s for s in samples if len(s) >= 8]
+    content = b""
+    if len(long_enough) >= 10 and sum(map(len, long_enough)) >= size:
+        content = zstandard.train_dictionary(size, long_enough, k=segment, d=6).as_bytes()[-size:]
     for sample, _ in sorted(Counter(p for s in samples for p in s.split(b"\n")).items(), key=lambda x: (-x[1], x[0])):
         if len(content) + len(sample) > size:
             break
@@ -133,41 +137,47 @@ def train_dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
     return content.rjust(size, b"\0")
 
 
+def compressed_length(content: bytes):
+    """A function that gives the length of a window compressed with a dictionary."""
+    known = zstandard.ZstdCompressionDict(content + ANCHOR, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+    return lambda window: len(compress(ANCHOR + window + TAIL))
+
+
 @dataclass
 class Model:
     window: int
     ordinary: bytes
     toxic: bytes
-    #: evidence of a window by its length and gain
-    evidence: np.ndarray = field(default_factory=lambda: np.zeros((LONGEST + 1, DEEPEST + 1)))
+    #: evidence of a window by its place
+    evidence: np.ndarray = field(default_factory=lambda: np.zeros((LONGEST + 1, MOST_SAVED + 1, 2 * APART + 1)))
     slope: float = 0.0
     shift: float = 0.0
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def _lengths(self):
+    def _places(self):
         if not hasattr(self, "_memo"):
+            by_ordinary, by_toxic = compressed_length(self.ordinary), compressed_length(self.toxic)
+            nothing = by_toxic(b"")
 
-            def compressor(content):
-                known = zstandard.ZstdCompressionDict(content + ANCHOR, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+            def place(window: bytes) -> int:
+                one, two, size = by_ordinary(window), by_toxic(window), len(window) - 2
+                at = min(size, LONGEST * self.window), min(max(size - (two - nothing), 0), MOST_SAVED), min(max(one - two, -APART), APART) + APART
+                return int(np.ravel_multi_index((at[0] // self.window, *at[1:]), self.evidence.shape))
 
-            # The ordinary dictionary lies as far from the window in both.
-            one, two = compressor(self.ordinary + bytes(len(self.toxic))), compressor(self.ordinary + self.toxic)
-            self._memo = Bounded(lambda w: min(len(w) - 2, LONGEST) * (DEEPEST + 1) + min(max(len(one(ANCHOR + w + TAIL)) - len(two(ANCHOR + w + TAIL)), 0), DEEPEST), 500_000)
+            self._memo = Bounded(place, 300_000)
         return self._memo
 
     def cells(self, text: str) -> np.ndarray:
-        """For each different window its place in the calibration: its length and its gain."""
-        return np.fromiter(map(self._lengths().__getitem__, set(windows(text, self.window))), np.int64)
+        """For each different window its place in the calibration."""
+        return np.fromiter(map(self._places().__getitem__, set(windows(text, self.window))), np.int64)
 
     def weigh(self, cells: np.ndarray) -> float:
-        """The evidence of the three windows that speak most for toxic text, the strongest counting most."""
-        if not len(cells):
-            return 0.0
-        strongest = np.sort(self.evidence.ravel()[cells])[::-1][:3]
-        return float(np.maximum(strongest, 0) @ (1.0, 0.7, 0.5)[: len(strongest)])
+        """The evidence of the windows that speak most for toxic text, the strongest counting most."""
+        strongest = np.sort(np.maximum(self.evidence.ravel()[cells], 0))[::-1][: len(STRONGEST)]
+        return float(strongest @ STRONGEST[: len(strongest)])
 
     def score(self, text: str) -> float:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.weigh(self.cells(text)) + self.shift, -30, 30)))
@@ -177,9 +187,7 @@ def _dictionaries(toxic: list[str], ordinary: list[str], window: int) -> Model:
     toxic, ordinary = unlike(toxic), unlike(ordinary)
     grams = distinctive(toxic, ordinary)
     samples = [b"\n".join(p) for t in toxic if (p := passages(t, grams))]
-    spread = [w for t in ordinary for w in windows(t, 8)]
-    step = max(1, len(spread) // 60_000)
-    return Model(window, train_dictionary(spread[::step], ORDINARY_BYTES, 50), train_dictionary(samples, TOXIC_BYTES, 24))
+    return Model(window, train_dictionary([w for t in ordinary for w in windows(t, 8)], ORDINARY_BYTES, 50), train_dictionary(samples, TOXIC_BYTES, 24))
 
 
 def fit(toxic: list[str], ordinary: list[str], window: int = 1, prior: float = 0.5, folds: int = 3) -> Model:
@@ -205,17 +213,8 @@ def fit(toxic: list[str], ordinary: list[str], window: int = 1, prior: float = 0
     counts = np.zeros((2, model.evidence.size))
     for v, cells in held:
         counts[v, np.unique(cells)] += 1
-    counts = counts.reshape(2, *model.evidence.shape)
-    # Gains that few texts show are taken with all larger ones, and if these are few too, as the next smaller gain.
-    above = np.cumsum(counts[:, :, ::-1], axis=2)[:, :, ::-1]
-    few = counts.sum(axis=0) < 3
-    used = np.where(few, above, counts)
-    model.evidence = np.log((used[1] + 0.5) / (n[1] + 1)) - np.log((used[0] + 0.5) / (n[0] + 1))
-    for gain in range(1, DEEPEST + 1):
-        rare = above[:, :, gain].sum(axis=0) < 3
-        model.evidence[rare, gain] = model.evidence[rare, gain - 1]
-    # What explains no more than ordinary text does is no evidence.
-    model.evidence[:, :2] = np.minimum(model.evidence[:, :2], 0)
+    evidence = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
+    model.evidence = np.where(counts.sum(axis=0) >= 4, evidence, 0).reshape(model.evidence.shape)  # few texts tell nothing
     x = np.array([model.weigh(cells) for _, cells in held])
     weight = np.where(y == 1, prior / n[1], (1 - prior) / n[0]) * len(y)
     model.slope, model.shift = _curve(x, y, weight)
