@@ -3,11 +3,13 @@
 1. Every text becomes its set of word n-grams. Texts with equal sets are one
    node from here on, whatever their number.
 2. Every node gets a label in each of a number of trees: a sequence of MinHash
-   values. Sorted labels are the prefix tries of the forest laid out flat. The
-   prefix that a pair must share is shortened until the forest reaches the
-   target recall for pairs at the threshold. All nodes with an equal prefix are
-   compared, in blocks, whatever their number; pairs whose one-bit signatures
-   are far apart are dropped.
+   values. Sorted labels are the prefix tries of the forest laid out flat. Nodes
+   of one full label are compared first; then the prefix is shortened value by
+   value, and each time only prefixes are compared whose nodes the longer ones
+   left unconnected. It ends at the prefix with which the forest reaches the
+   target recall for pairs at the threshold. All nodes of a prefix are compared,
+   in blocks, whatever their number; pairs whose one-bit signatures are far
+   apart are dropped.
 3. The pairs form clusters. Within each cluster all pairs are compared exactly,
    in blocks, so a cluster of any size is shared out over tasks and no table of
    pairs is made: a block yields the number of links of each node and the
@@ -26,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, Bounded, stash
+from lodestone.llm.common import stash
 from lodestone.llm.graph import components
+from lodestone.llm.pretokens import SHORT, SHORT_MASKS
 
 TREES = 20
 DEPTH = 6  # MinHash values in a full label
@@ -57,9 +60,6 @@ def prefix_depth(similarity: float, target: float) -> int:
     return depth
 
 
-_word_hash = Bounded(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8")), 500_000)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash."""
     x ^= x >> np.uint64(33)
@@ -70,20 +70,41 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_SOLID = np.ones(256, np.int8)  # bytes of words: all but the space and tab to carriage return
+_SOLID[[32, *range(9, 14)]] = 0
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of each word of a whole text, by its UTF-8 bytes.
+
+    Words of up to 15 bytes are two integers with their length, which are mixed
+    for all words at once.
+    """
+    data = text.encode() + b" " * 20
+    b = np.frombuffer(data, np.uint8)
+    edge = np.diff(_SOLID[b], prepend=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    size = ends - starts
+    keys = np.lib.stride_tricks.sliding_window_view(b, 16)[starts].view(np.uint64) & SHORT_MASKS[np.minimum(size, SHORT)]
+    out = _mix(keys[:, 0] * _GRAM[62] + _mix(keys[:, 1] + (size.astype(np.uint64) << np.uint64(56))))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return out
+
+
 def grams(text: str | None, n: int) -> np.ndarray:
     """The sorted set of hashes of the word n-grams of a whole text.
 
     A text of fewer than ``n`` words is one gram of all its words; a text
     without words has none.
     """
-    words = WORD.findall(text or "")
-    if not words:
+    hashes = word_hashes(text or "")
+    if not len(hashes):
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
-    width = min(n, len(words))
-    out = np.zeros(len(words) - width + 1, np.uint64)
+    width = min(n, len(hashes))
+    out = np.zeros(len(hashes) - width + 1, np.uint64)
     for k in range(width):
-        out += hashes[k : len(words) - width + 1 + k] * _GRAM[k]
+        out += hashes[k : len(hashes) - width + 1 + k] * _GRAM[k]
     return np.unique(_mix(out + np.uint64(width)))
 
 
@@ -139,23 +160,48 @@ def _edges(rows: np.ndarray, linked: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(node[at].tolist(), node[roots[at]].tolist(), strict=True)
 
 
+def _trie_edges(rows: np.ndarray, labels: np.ndarray, depth: int, screen: int, threshold: tuple[int, int]) -> Iterator[tuple[int, int]]:
+    """Edges that connect what passes the screen among nodes that share a prefix of ``depth`` values.
+
+    ``labels`` holds the bytes of their tree and full labels, in order. Full
+    labels come first. A shorter prefix is looked at only if longer ones left its
+    nodes in several parts, and only once if shortening adds no node to it.
+    """
+    n = len(rows)
+    part, seen = np.arange(n), set()
+    for values in range(DEPTH, depth - 1, -1):
+        same = (labels[1:, : 2 + 2 * values] == labels[:-1, : 2 + 2 * values]).all(axis=1)
+        borders = [0, *(np.flatnonzero(~same) + 1).tolist(), n]
+        for lo, hi in zip(borders, borders[1:], strict=False):
+            if hi - lo < 2 or (lo, hi) in seen or (part[lo:hi] == part[lo]).all():
+                continue
+            seen.add((lo, hi))
+            by_size = lo + np.argsort(rows[lo:hi, 1], kind="stable")
+            own = rows[by_size]
+            roots = by_size[spanning_roots(_near(own, own, screen, threshold))]
+            for i in np.flatnonzero(part[by_size] != part[roots]).tolist():
+                one, two = part[by_size[i]], part[roots[i]]
+                if one != two:
+                    part[part == max(one, two)] = min(one, two)
+                    yield int(rows[by_size[i], 0].view(np.int64)), int(rows[roots[i], 0].view(np.int64))
+
+
 def _forest(nodes: DataFrame, depth: int, screen: int, threshold: tuple[int, int]) -> DataFrame:
-    """Edges (u, v) that connect all nodes which share a prefix in a tree and pass the screen.
+    """Edges (u, v) that connect all nodes which share a prefix of ``depth`` values in a tree and pass the screen.
 
-    The order is dealt out by ranges, with the size and the node as the last
-    keys, so a prefix shared by any number of nodes is shared out. Each task
-    compares its part of such a group in blocks; the blocks of groups that one
-    block doesn't hold, or that a range's border parts, are then compared with
-    each other, two to a row.
+    The order is dealt out by ranges, with the node as the last key, so a prefix
+    shared by any number of nodes is shared out. Each task compares its part of
+    such a group in blocks; the blocks of groups that one block doesn't hold, or
+    that a range's border parts, are then compared with each other, two to a row.
     """
-    width, most, small = 2 * DEPTH, BLOCK_LABELS, SMALL
+    width, most, small, prefix = 2 * DEPTH, BLOCK_LABELS, SMALL, 2 + 2 * depth
     tries = nodes.select(
         "node",
         "grams",
         "bits",
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("labels", t * width + 1, 2 * depth))).alias("tree", "prefix"),
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("labels", t * width + 1, width))).alias("tree", "label"),
     )
-    ordered = tries.repartitionByRange("tree", "prefix", "grams", "node").sortWithinPartitions("tree", "prefix", "grams", "node")
+    ordered = tries.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
 
     def run(batches):
         parent: dict[int, int] = {}
@@ -171,31 +217,33 @@ def _forest(nodes: DataFrame, depth: int, screen: int, threshold: tuple[int, int
                 a, b = root(a), root(b)
                 parent[max(a, b)] = min(a, b)
 
-        def block(key, rows):
-            link(_edges(rows, _near(rows, rows, screen, threshold)))
-            return key, rows
+        def block(rows, labels):
+            link(_trie_edges(rows, labels, depth, screen, threshold))
+            return labels[0, :prefix].tobytes(), rows[np.argsort(rows[:, 1], kind="stable")]
 
         def shared(blocks):
             """Blocks that others of the same prefix may exist for."""
-            rows = [(key.tobytes(), uuid.uuid4().bytes, int(x[0, 1]), int(x[-1, 1]), x.tobytes()) for key, x in blocks]
+            rows = [(key, uuid.uuid4().bytes, int(x[0, 1]), int(x[-1, 1]), x.tobytes()) for key, x in blocks]
             columns = [pa.nulls(len(rows), pa.int64())] * 2 + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
             return pa.RecordBatch.from_arrays(columns, names)
 
         names = ["u", "v", "key", "block", "least", "most", "rows"]
         # The open group: rows that aren't in a block yet, and whether it began with the task or in an earlier block.
-        key, rows, first = None, None, True
+        labels, rows, first = None, None, True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.frombuffer(b"".join(t.to_bytes(2, "big") + x for t, x in zip(batch.column("tree").to_pylist(), batch.column("prefix").to_pylist(), strict=True)), f"V{2 * depth + 2}")
+            raw = b"".join(t.to_bytes(2, "big") + x for t, x in zip(batch.column("tree").to_pylist(), batch.column("label").to_pylist(), strict=True))
+            new_labels = np.frombuffer(raw, np.uint8).reshape(-1, 2 + width)
             new = np.column_stack([
                 batch.column("node").to_numpy().view(np.uint64),
                 batch.column("grams").to_numpy().view(np.uint64),
                 np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, 2),
             ])
             if rows is not None:
-                keys, new = np.concatenate([np.full(len(rows), key), keys]), np.concatenate([rows, new])
-            starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+                new_labels, new = np.concatenate([labels, new_labels]), np.concatenate([rows, new])
+            apart = (new_labels[1:, :prefix] != new_labels[:-1, :prefix]).any(axis=1)
+            starts = np.concatenate([[0], np.flatnonzero(apart) + 1, [len(new)]])
             sizes = np.diff(starts)
             # Groups of a few rows that no border parts: all pairs at once, by their distance in the order.
             few = sizes <= small
@@ -214,16 +262,16 @@ def _forest(nodes: DataFrame, depth: int, screen: int, threshold: tuple[int, int
                 lo, hi, last = int(starts[g]), int(starts[g + 1]), g == len(sizes) - 1
                 border = first if g == 0 else False
                 while hi - lo > most:  # more follows in any case
-                    yield shared([block(keys[lo], new[lo : lo + most])])
+                    yield shared([block(new[lo : lo + most], new_labels[lo : lo + most])])
                     lo, border = lo + most, True
                 if last:
-                    key, rows, first = keys[lo], new[lo:hi], border
+                    labels, rows, first = new_labels[lo:hi], new[lo:hi], border
                 elif border:
-                    yield shared([block(keys[lo], new[lo:hi])])
+                    yield shared([block(new[lo:hi], new_labels[lo:hi])])
                 else:
-                    block(keys[lo], new[lo:hi])
+                    block(new[lo:hi], new_labels[lo:hi])
         if rows is not None:
-            yield shared([block(key, rows)])
+            yield shared([block(rows, labels)])
         edges = [(x, r) for x in list(parent) if (r := root(x)) != x]
         if edges:
             u, v = (pa.array(c, pa.int64()) for c in zip(*edges, strict=True))

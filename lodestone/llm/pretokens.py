@@ -117,9 +117,10 @@ def parts(text: bytes, size: int) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-_MASKS = np.zeros((SHORT + 1, 2), np.uint64)
+#: Keeps the first bytes of sixteen.
+SHORT_MASKS = np.zeros((SHORT + 1, 2), np.uint64)
 for _n in range(SHORT + 1):
-    _MASKS[_n] = np.frombuffer(b"\xff" * _n + b"\0" * (16 - _n), np.uint64)
+    SHORT_MASKS[_n] = np.frombuffer(b"\xff" * _n + b"\0" * (16 - _n), np.uint64)
 
 
 class Lookup:
@@ -220,7 +221,7 @@ class Lookup:
         size = ends - starts
         keys = np.lib.stride_tricks.sliding_window_view(b, 16)[starts].view(np.uint64)
         is_long = size > SHORT
-        keys &= _MASKS[np.minimum(size, SHORT)]
+        keys &= SHORT_MASKS[np.minimum(size, SHORT)]
         keys[:, 1] |= np.minimum(size, SHORT).astype(np.uint64) << np.uint64(56)
         long_at = np.flatnonzero(is_long)
         low, high = (keys[:, k] if not len(long_at) else keys[~is_long, k] for k in (0, 1))

@@ -176,6 +176,40 @@ def test_forest_in_a_shared_prefix(spark, monkeypatch, block, n):
     assert got == dict.fromkeys(like, like[0])
 
 
+def test_trie_walk_connects_what_any_pair_would():
+    dice = np.random.RandomState(4)
+    for _ in range(60):
+        n = int(dice.randint(2, 40))
+        labels = np.zeros((n, 2 + 2 * ngram_join.DEPTH), np.uint8)
+        labels[:, -4:] = dice.randint(0, 2, (n, 4))
+        labels = labels[np.lexsort(labels.T[::-1])]
+        rows = np.column_stack([np.arange(n), dice.randint(100, 125, n), np.zeros(n), dice.randint(0, 1 << 8, n)]).astype(np.uint64)
+        pairs = [
+            (a, b) for a in range(n) for b in range(a)
+            if 4 * max(rows[a, 1], rows[b, 1]) <= 5 * min(rows[a, 1], rows[b, 1]) and (int(rows[a, 3]) ^ int(rows[b, 3])).bit_count() <= 2
+        ]
+        assert brute_classes(range(n), list(ngram_join._trie_edges(rows, labels, 4, 2, (4, 5)))) == brute_classes(range(n), pairs)
+
+
+def test_word_hashes_tell_words_apart():
+    dice = random.Random(9)
+    words = ["".join(dice.choices("ab\0éx", k=dice.randint(1, 20))) for _ in range(4000)]
+    found = ngram_join.word_hashes("\t" + " \n".join(words) + "\r")
+    assert len(found) == len(words) and len(set(zip(words, found.tolist(), strict=True))) == len(set(words)) == len(set(found.tolist()))
+
+
+def test_recall_just_over_the_threshold(spark):
+    dice, texts, linked = random.Random(12), {}, 0
+    for i in range(1500):
+        words = [f"w{i}x{k}" for k in range(94)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(words + [f"a{i}b{k}" for k in range(10)]), " ".join(words + [f"c{i}d{k}" for k in range(dice.randint(9, 12))])
+        a, b = gram_set(texts[2 * i]), gram_set(texts[2 * i + 1])
+        linked += 5 * len(a & b) >= 4 * len(a | b)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    found = ngram_join.jaccard_join(docs).where("n_links > 0").count()
+    assert linked > 1000 and found >= 0.99 * 2 * linked and found <= 2 * linked
+
+
 def test_join_on_a_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     check_join(ngram_join.jaccard_join(docs).collect(), {r["doc_id"]: r["text"] for r in docs.collect()})
