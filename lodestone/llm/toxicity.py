@@ -157,30 +157,53 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def _places(self):
-        if not hasattr(self, "_memo"):
+    def _lengths(self):
+        if not hasattr(self, "_compressed"):
             by_ordinary, by_toxic = compressed_length(self.ordinary), compressed_length(self.toxic)
-            nothing = by_toxic(b"")
+            self._compressed = by_ordinary, by_toxic, by_toxic(b"")
+        return self._compressed
+
+    def _first_place(self, window: bytes) -> tuple[int, int, int]:
+        """Length and saved bytes of a window in the calibration, and its length compressed by the toxic dictionary."""
+        _, by_toxic, nothing = self._lengths()
+        two, size = by_toxic(window), len(window) - 2
+        return min(size // self.window, LONGEST), min(max(size - (two - nothing), 0), MOST_SAVED), two
 
-            def place(window: bytes) -> int:
-                one, two, size = by_ordinary(window), by_toxic(window), len(window) - 2
-                at = min(size, LONGEST * self.window), min(max(size - (two - nothing), 0), MOST_SAVED), min(max(one - two, -APART), APART) + APART
-                return int(np.ravel_multi_index((at[0] // self.window, *at[1:]), self.evidence.shape))
+    def _last_place(self, window: bytes, two: int) -> int:
+        return min(max(self._lengths()[0](window) - two, -APART), APART) + APART
 
-            self._memo = Bounded(place, 300_000)
-        return self._memo
+    def cell(self, window: bytes) -> int:
+        """The place of a window in the calibration."""
+        size, saved, two = self._first_place(window)
+        return int(np.ravel_multi_index((size, saved, self._last_place(window, two)), self.evidence.shape))
 
     def cells(self, text: str) -> np.ndarray:
         """For each different window its place in the calibration."""
-        return np.fromiter(map(self._places().__getitem__, set(windows(text, self.window))), np.int64)
+        if not hasattr(self, "_memo"):
+            self._memo = Bounded(self.cell, 300_000)
+        return np.fromiter(map(self._memo.__getitem__, set(windows(text, self.window))), np.int64)
+
+    def _evidence(self):
+        """The evidence of windows; where no difference of lengths would speak for toxic text, the second isn't measured."""
+        if not hasattr(self, "_known"):
+            most = self.evidence.max(axis=2)
+
+            def evidence(window: bytes) -> float:
+                size, saved, two = self._first_place(window)
+                return max(float(self.evidence[size, saved, self._last_place(window, two)]), 0.0) if most[size, saved] > 0 else 0.0
+
+            self._known = Bounded(evidence, 500_000)
+        return self._known
 
-    def weigh(self, cells: np.ndarray) -> float:
+    @staticmethod
+    def weigh(evidence: np.ndarray) -> float:
         """The evidence of the windows that speak most for toxic text, the strongest counting most."""
-        strongest = np.sort(np.maximum(self.evidence.ravel()[cells], 0))[::-1][: len(STRONGEST)]
+        strongest = np.sort(np.maximum(evidence, 0))[::-1][: len(STRONGEST)]
         return float(strongest @ STRONGEST[: len(strongest)])
 
     def score(self, text: str) -> float:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.weigh(self.cells(text)) + self.shift, -30, 30)))
+        found = np.fromiter(map(self._evidence().__getitem__, set(windows(text, self.window))), np.float64)
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.weigh(found) + self.shift, -30, 30)))
 
 
 def _dictionaries(toxic: list[str], ordinary: list[str], window: int) -> Model:
@@ -215,7 +238,7 @@ def fit(toxic: list[str], ordinary: list[str], window: int = 1, prior: float = 0
         counts[v, np.unique(cells)] += 1
     evidence = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
     model.evidence = np.where(counts.sum(axis=0) >= 4, evidence, 0).reshape(model.evidence.shape)  # few texts tell nothing
-    x = np.array([model.weigh(cells) for _, cells in held])
+    x = np.array([model.weigh(model.evidence.ravel()[cells]) for _, cells in held])
     weight = np.where(y == 1, prior / n[1], (1 - prior) / n[0]) * len(y)
     model.slope, model.shift = _curve(x, y, weight)
     return model
