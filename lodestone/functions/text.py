@@ -106,3 +106,50 @@ def message_flags(message: Column) -> dict[str, Column]:
         "revert_of": F.when(of != "", of),
         "refs": F.transform(F.array_distinct(refs), lambda r: r.cast("int")),
     }
+
+
+# Languages of sources and of files whose lines are traced, and paths of tests.
+SOURCE_LANGUAGES = ("c", "c-header", "cpp", "cpp-header")
+TRACED_LANGUAGES = (*SOURCE_LANGUAGES, "asm")
+TEST_PATH = r"(^|/)(tests?|unittests?|gtest)/|(^|/)test_[^/]+$|_tests?\.(c|cc|cpp)$"
+
+
+def is_source(path: Column) -> Column:
+    return language(path).isin(*SOURCE_LANGUAGES)
+
+
+def is_traced(path: Column) -> Column:
+    return language(path).isin(*TRACED_LANGUAGES)
+
+
+def is_test(path: Column) -> Column:
+    return F.rlike(path, F.lit(TEST_PATH))
+
+
+def is_comment_or_blank(line: Column) -> Column:
+    return F.rlike(line, F.lit(r"^\s*($|//|/\*|\*)"))
+
+
+def sentences(text: Column) -> Column:
+    """Sentences of a text with its white space collapsed: parted after a full stop, question or exclamation mark and a space."""
+    return F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), r"(?<=[.!?]) "), lambda s: s != "")
+
+
+def comment_prose(text: Column, most: int = 400) -> Column:
+    """The prose of comment lines: their marks dropped, joined, clipped."""
+    bare = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"^\s*(?://+|/\*+|\*+(?!/))\s?|\s*\*+/\s*$", ""))
+    return clip(F.trim(F.regexp_replace(F.array_join(bare, " "), r"\s+", " ")), most)
+
+
+def repository(text: Column) -> Column:
+    """``owner/name`` of a repository given so or by its web address, null for anything else."""
+    return F.nullif(F.regexp_extract(F.trim(text), r"^(?:https?://github\.com/|git@github\.com:)?([\w.-]+/[\w.-]+?)(?:\.git)?/?$", 1), F.lit(""))
+
+
+def without_prefix(text: Column, prefix: Column) -> Column:
+    return F.when(F.startswith(text, prefix), F.substring(text, F.length(prefix) + 1, F.length(text))).otherwise(text)
+
+
+def percentage(share: Column) -> Column:
+    """A share as a label: whole per cent, and ``<1%`` for less than one that isn't none."""
+    return F.when((share > 0) & (share < 0.01), "<1%").otherwise(F.concat(F.round(share * 100).cast("int").cast("string"), F.lit("%")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.lineage import cut
+
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each key in an order; ``rank`` names a 1-based rank column to keep."""
@@ -32,27 +34,26 @@ def sessions(df: DataFrame, keys: list[str], order: list[Column], start: Column,
 def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", buckets: int = 256) -> DataFrame:
     """0-based rank by ``score`` descending, then ``tie``, without one task for all rows.
 
-    Cut points at even ranks of the score deal the rows into buckets that follow
-    one another; each bucket is ranked by itself and starts where the ones before
-    it end. At most ``buckets`` cut points and counts come together.
+    Rows are dealt out by ranges of the order, which ties of the score don't hold
+    together as the tie is a part of it; each range is numbered by itself and
+    starts where the ones before it end. A count for each range comes together.
     """
-    cuts = df.select(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 10_000).alias("c")).first()["c"] or []
-    points = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    dealt = df.withColumn("_bucket", F.size(F.filter(points, lambda c: c > F.col(score))))
+    order = [F.desc(score), F.asc(tie)]
+    dealt = cut(df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("_bucket", F.spark_partition_id()))
     counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.desc(score), tie))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     return dealt.withColumn("_at", within).join(F.broadcast(starts), "_bucket").withColumn(name, F.col("_start") + F.col("_at") - 1).drop("_bucket", "_at", "_start")
 
 
 def levels(df: DataFrame, score: str, tie: str, high: float = 0.1, medium: float = 0.35) -> DataFrame:
     """Adds ``level``: among positive scores the first ceil(high n) are high, up to ceil(medium n) medium, the rest low."""
     positive = df.where(F.col(score) > 0)
-    n = positive.count()
-    ranked = global_rank(positive, score, tie)
-    level = F.when(F.col("rank") < F.ceil(F.lit(n * high)), "high").when(F.col("rank") < F.ceil(F.lit(n * medium)), "medium").otherwise("low")
-    return ranked.withColumn("level", level).drop("rank").unionByName(df.where(~(F.coalesce(F.col(score), F.lit(0)) > 0)).withColumn("level", F.lit("low")))
+    ranked = global_rank(positive, score, tie).join(F.broadcast(positive.agg(F.count("*").alias("_n"))))  # one row
+    share = lambda x: F.ceil(F.col("_n") * F.lit(float(x)))
+    level = F.when(F.col("rank") < share(high), "high").when(F.col("rank") < share(medium), "medium").otherwise("low")
+    return ranked.withColumn("level", level).drop("rank", "_n").unionByName(df.where(~(F.coalesce(F.col(score), F.lit(0)) > 0)).withColumn("level", F.lit("low")))
 
 
 def unique_suffix(df: DataFrame, name: str, order: list[Column], out: str) -> DataFrame:

@@ -55,7 +55,7 @@ def log_entries(logs: DataFrame) -> DataFrame:
         F.get(field, F.lit(1)).alias("author_name"),
         F.get(field, F.lit(2)).alias("author_email"),
         F.timestamp_seconds(F.get(field, F.lit(3)).cast("long")).alias("authored_at"),
-        F.regexp_replace(F.get(field, F.lit(4)), r"\s+$", "").alias("message"),
+        F.regexp_replace(F.get(field, F.lit(4)), r"^\s+|\s+$", "").alias("message"),
         F.transform(lines, change).alias("changes"),
     )
 
@@ -77,3 +77,31 @@ def diff_hunks(diffs: DataFrame) -> DataFrame:
     count = lambda sign: F.when(F.col("h").isNotNull(), F.when(number(sign, 2) == "", 1).otherwise(F.try_to_number(number(sign, 2), F.lit("9999999999")).cast("int")))
     start = lambda sign: F.try_to_number(number(sign, 1), F.lit("9999999999")).cast("int")
     return heads.select("id", "file_no", "old_path", "new_path", "hunk_no", start("-").alias("old_start"), count("-").alias("old_count"), start(r"\+").alias("new_start"), count(r"\+").alias("new_count"))
+
+
+def diff_lines(diffs: DataFrame) -> DataFrame:
+    """Changed lines of unified diffs: id, file_no, hunk_no, place, side (removed or added), text."""
+    files = diffs.select("id", F.posexplode(F.split("text", r"(?m)^diff --git ", -1)).alias("file_no", "f")).where("file_no > 0")
+    hunks = files.select("id", "file_no", F.posexplode(F.split("f", r"(?m)^@@ -", -1)).alias("hunk_no", "h")).where("hunk_no > 0")
+    lines = hunks.select("id", "file_no", (F.col("hunk_no") - 1).alias("hunk_no"), F.posexplode(F.split("h", "\n", -1)).alias("place", "l")).where("place > 0 AND left(l, 1) IN ('-', '+')")
+    return lines.select("id", "file_no", "hunk_no", "place", F.when(F.left("l", F.lit(1)) == "-", "removed").otherwise("added").alias("side"), F.substring("l", 2, 1 << 30).alias("text"))
+
+
+def raw_diff(diffs: DataFrame) -> DataFrame:
+    """(id, path, old_blob, new_blob) of NUL-framed raw diffs without renames (columns ``id`` and ``text``)."""
+    entry = F.regexp_extract_all("text", F.lit("(?s):[0-7]+ [0-7]+ [0-9a-f]+ [0-9a-f]+ [A-Z][0-9]*\0[^\0]*"), 0)
+    head = F.split(F.substring_index("e", "\0", 1), " ")
+    return diffs.select("id", F.explode(entry).alias("e")).select("id", F.substring_index("e", "\0", -1).alias("path"), F.nullif(F.get(head, F.lit(2)), F.lit(NO_OBJECT)).alias("old_blob"), F.nullif(F.get(head, F.lit(3)), F.lit(NO_OBJECT)).alias("new_blob"))
+
+
+def blame_ranges(blames: DataFrame) -> DataFrame:
+    """Ranges of incremental line ownership listings (columns ``path`` and ``text``): path, start, end, sha, orig_path, orig_start.
+
+    A record begins with the commit, its line, the line now and the number of
+    lines, and ends with the file's name in that commit.
+    """
+    record = F.regexp_extract_all("text", F.lit(r"(?ms)^[0-9a-f]{40} \d+ \d+ \d+$.*?^filename [^\n]*"), 0)
+    number = lambda k: F.regexp_extract("r", r"^[0-9a-f]{40} (\d+) (\d+) (\d+)", k).cast("int")
+    return blames.select("path", F.explode(record).alias("r")).select(
+        "path", number(2).alias("start"), (number(2) + number(3) - 1).alias("end"), F.left("r", F.lit(40)).alias("sha"), F.regexp_extract("r", r"(?m)^filename ([^\n]*)\z", 1).alias("orig_path"), number(1).alias("orig_start")
+    )

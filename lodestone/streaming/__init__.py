@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Streaming forms of the history operators."""
