@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import cochange, graph, ranking
+from lodestone.operators import cochange, graph, ranking, review
 from lodestone.plans.common import table
 
 _DAY = "yyyy-MM-dd"
@@ -206,14 +206,13 @@ row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey
 
 
 def rank_map_order(spark, sf_dir):
-    """Findings by severity: the priority's rank, then the order; the first 50."""
-    rank = F.create_map(*(F.lit(x) for i, p in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) for x in (p, i)))
-    ranked = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.coalesce(rank[F.col("o_orderpriority")], F.lit(9)).alias("severity"))
-    return ranked.orderBy("severity", "o_orderkey").limit(50)
+    """All findings by severity: the priority's rank, then the order."""
+    ranks = {p: i for i, p in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))}
+    return review.severity_order(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), ranks, "o_orderpriority", ["o_orderkey"])
 
 
 RANK_MAP = """SELECT o_orderkey, o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '4-NOT SPECIFIED' THEN 3
-WHEN '5-LOW' THEN 4 ELSE 9 END AS severity FROM orders ORDER BY severity, o_orderkey LIMIT 50"""
+WHEN '5-LOW' THEN 4 ELSE 9 END AS severity FROM orders ORDER BY severity, o_orderkey"""
 
 # The verdict lattice.
 VERDICTS = ("SAFE", "RISKY", "DANGEROUS", "STOP")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph, intervals, ranking
@@ -125,7 +126,7 @@ def set_ops(spark, sf_dir):
     """Nations of suppliers and customers: both, either alone."""
     a = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
     b = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
-    parts = (("both", a.intersect(b)), ("suppliers_only", a.exceptAll(b).distinct().join(b, "k", "left_anti")), ("all", a.union(b).distinct()))
+    parts = (("both", a.intersect(b)), ("suppliers_only", a.subtract(b)), ("all", a.union(b).distinct()))
     return parts[0][1].withColumn("part", F.lit(parts[0][0])).unionByName(parts[1][1].withColumn("part", F.lit(parts[1][0]))).unionByName(parts[2][1].withColumn("part", F.lit(parts[2][0])))
 
 
@@ -177,21 +178,31 @@ DEGREE = "SELECT node, count(*) AS degree FROM (SELECT unnest(['s' || l_suppkey,
 
 
 def cascade_resolution(spark, sf_dir):
-    """For each small part the candidates of its brand, else of its type, else none: tier, count, first."""
-    parts = table(spark, sf_dir, "part")
-    calls = parts.where("p_size <= 3").select(F.col("p_partkey").alias("call"), "p_brand", "p_type")
-    targets = parts.where("p_size >= 48").select(F.col("p_partkey").alias("target"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"))
-    own = calls.join(targets, (F.col("p_brand") == F.col("brand")) & (F.col("p_type") == F.col("type"))).select("call", F.lit(1).alias("tier"), "target")
-    like = calls.join(targets, F.col("p_type") == F.col("type")).select("call", F.lit(2).alias("tier"), "target")
-    tiers = own.unionByName(like).groupBy("call", "tier").agg(F.count("*").alias("candidates"), F.min("target").alias("first"))
-    best = tiers.groupBy("call").agg(F.min_by(F.struct("tier", "candidates", "first"), "tier").alias("b"))
-    return calls.select("call").join(best, "call", "left").select("call", F.coalesce("b.tier", F.lit(9)).alias("tier"), F.coalesce("b.candidates", F.lit(0)).alias("candidates"), F.col("b.first").alias("first_target"))
-
-
-CASCADE = """WITH c AS (SELECT p_partkey AS call, p_brand, p_type FROM part WHERE p_size <= 3), t AS (SELECT * FROM part WHERE p_size >= 48),
-m AS (SELECT call, 1 AS tier, t.p_partkey AS target FROM c JOIN t USING (p_brand, p_type) UNION ALL SELECT call, 2, t.p_partkey FROM c JOIN t USING (p_type)),
-g AS (SELECT call, tier, count(*) AS candidates, min(target) AS f FROM m GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY call ORDER BY tier) = 1)
-SELECT call, coalesce(tier, 9) AS tier, coalesce(candidates, 0) AS candidates, f AS first_target FROM c LEFT JOIN g USING (call)"""
+    """For each part the other parts of its brand and type, else of its type, else any: tier, count, first.
+
+    Candidates are counted by tier, with the two least of them, so a part meets
+    three rows whatever the number of its candidates.
+    """
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.lit(0).alias("all"))
+    tiers = (["p_brand", "p_type"], ["p_type"], ["all"])
+    found = parts
+    for k, keys in enumerate(tiers):
+        first = F.min("p_partkey").alias("first")
+        index = parts.groupBy(*keys).agg(F.count("*").alias("n"), first)
+        second = parts.join(index.select(*keys, "first"), keys).where("p_partkey <> first").groupBy(*keys).agg(F.min("p_partkey").alias("second"))
+        both = index.join(second, keys, "left").select(*keys, F.struct("n", "first", "second").alias(f"t{k}"))
+        found = found.join(F.broadcast(both) if keys == ["all"] else both, keys)  # one row for all
+    tier = F.when(F.col("t0.n") > 1, 1).when(F.col("t1.n") > 1, 2).when(F.col("t2.n") > 1, 3).otherwise(9)
+    best = F.when(tier == 1, F.col("t0")).when(tier == 2, F.col("t1")).otherwise(F.col("t2"))
+    target = F.when(best["first"] == F.col("p_partkey"), best["second"]).otherwise(best["first"])
+    return found.select(F.col("p_partkey").alias("call"), tier.alias("tier"), (best["n"] - 1).alias("candidates"), target.alias("first_target"))
+
+
+CASCADE = """WITH b AS (SELECT p_brand, p_type, count(*) AS n, min(p_partkey) AS f, list_sort(list(p_partkey))[2] AS s FROM part GROUP BY 1, 2), t AS (SELECT p_type, count(*) AS n, min(p_partkey) AS f, list_sort(list(p_partkey))[2] AS s FROM part GROUP BY 1),
+a AS (SELECT count(*) AS n, min(p_partkey) AS f, list_sort(list(p_partkey))[2] AS s FROM part)
+SELECT p_partkey AS call, CASE WHEN b.n > 1 THEN 1 WHEN t.n > 1 THEN 2 WHEN a.n > 1 THEN 3 ELSE 9 END AS tier, CASE WHEN b.n > 1 THEN b.n WHEN t.n > 1 THEN t.n ELSE a.n END - 1 AS candidates,
+CASE WHEN b.n > 1 THEN CASE WHEN b.f = p_partkey THEN b.s ELSE b.f END WHEN t.n > 1 THEN CASE WHEN t.f = p_partkey THEN t.s ELSE t.f END ELSE CASE WHEN a.f = p_partkey THEN a.s ELSE a.f END END AS first_target
+FROM part p JOIN b ON p.p_brand = b.p_brand AND p.p_type = b.p_type JOIN t ON p.p_type = t.p_type, a"""
 
 
 def _dependency_edges(spark, sf_dir):
@@ -222,10 +233,10 @@ SELECT depth, count(*) AS nodes FROM (SELECT node, min(depth) AS depth FROM r GR
 def reach_share_band(spark, sf_dir):
     """The share of all nodes that depend on each nation, and its name."""
     edges = _dependency_edges(spark, sf_dir)
+    starts = edges.where(F.startswith("dst", F.lit("n"))).select(F.col("dst").alias("start"), F.col("dst").alias("node")).distinct()
+    below = graph.reach(edges, starts).where("depth > 0").groupBy(F.col("start").alias("node")).agg(F.count("*").alias("n"))
     total = edges.agg(F.count_distinct("src").alias("total"))
-    below = edges.where("dst LIKE 'c%'").groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("orders"))
-    own = edges.where("dst LIKE 'n%'").join(below, "src", "left").groupBy(F.col("dst").alias("node")).agg((F.count("*") + F.sum(F.coalesce("orders", F.lit(0)))).alias("n"))
-    return own.crossJoin(F.broadcast(total)).select("node", F.round(F.col("n") / F.col("total"), 9).alias("share")).withColumn("band", graph.band(F.col("share")))  # one row
+    return below.join(F.broadcast(total)).select("node", F.round(F.col("n") / F.col("total"), 9).alias("share")).withColumn("band", graph.band(F.col("share")))  # one row
 
 
 BAND = f"""WITH RECURSIVE {_EDGES_SQL}, r(start, node) AS (SELECT DISTINCT dst, dst FROM e WHERE dst LIKE 'n%' UNION SELECT r.start, e.src FROM r JOIN e ON e.dst = r.node),
@@ -235,10 +246,9 @@ SELECT node, share, CASE WHEN share >= 0.3 THEN 'System-wide' WHEN share >= 0.1
 
 def graph_rollup_levels(spark, sf_dir):
     """Edges between part brands by parts on one order's consecutive lines: weight and best resolution."""
-    lines = ranking.top_per_key(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey"), F.asc("l_quantity"), F.asc("l_extendedprice")], 1 << 30, "at")
-    a = lines.select("l_orderkey", F.col("at").alias("i"), F.col("l_partkey").alias("src"), F.when(F.col("l_returnflag") == "N", 0).otherwise(1).alias("resolution"))
-    b = lines.select("l_orderkey", (F.col("at") - 1).alias("i"), F.col("l_partkey").alias("dst"))
-    edges = a.join(b, ["l_orderkey", "i"]).groupBy("src", "dst").agg(F.count("*").alias("weight"), F.min("resolution").alias("resolution"))
+    following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), following.alias("dst"), F.when(F.col("l_returnflag") == "N", 0).otherwise(1).alias("resolution")).where("dst IS NOT NULL")
+    edges = lines.groupBy("src", "dst").agg(F.count("*").alias("weight"), F.min("resolution").alias("resolution"))
     groups = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("group"))
     return graph.roll_up(edges, groups)
 

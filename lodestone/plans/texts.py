@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import ranking
+from lodestone.operators import ranking, signals
 from lodestone.plans.common import table
 
 
@@ -70,19 +70,23 @@ def line_explode_numbered(spark, sf_dir):
 LINES = """SELECT doc_id, k AS line_no, length(l[k]) AS n_chars FROM (SELECT doc_id, l, unnest(range(1, least(len(l), 40) + 1)) AS k
 FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
 
-# The rules of the signal queries (kind, weight, pattern), those of a kind in order.
-SIGNAL_RULES = (("license", 2, r"(?i)licen[cs]e"), ("contact", 1, r"[A-Za-z0-9._]+@[A-Za-z0-9.]+"), ("phone", 1, r"[0-9]{3}[- ][0-9]{3,4}"), ("number", 1, r"[0-9]{4,}"))
+# The rules of the signal queries (kind, weight, pattern); of the rules of a kind the first that fits a line counts.
+SIGNAL_RULES = (
+    ("license", 2, r"(?i)licen[cs]ed? under"), ("license", 1, r"(?i)licen[cs]e"), ("contact", 1, r"[A-Za-z0-9._]+@[A-Za-z0-9.]+"), ("phone", 1, r"[0-9]{3}[- ][0-9]{3,4}"),
+    ("number", 2, r"[0-9]{6,}"), ("number", 1, r"[0-9]{4,}"), ("quote", 1, r"\"[^\"]+\""),
+)
 
 
 def signal_lines(spark, sf_dir):
-    """One row per line and kind of signal that its pattern finds."""
+    """One row per line and kind of signal that one of its patterns finds, with the weight of the first one."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    hits = F.filter(F.array(*(F.when(F.rlike("line", F.lit(p)), F.struct(F.lit(k).alias("kind"), F.lit(w).alias("weight"))) for k, w, p in SIGNAL_RULES)), lambda h: h.isNotNull())
-    return lines.select("doc_id", (F.col("at") + 1).alias("line_no"), F.explode(hits).alias("s")).select("doc_id", "line_no", "s.kind", "s.weight")
+    hits = lines.select("doc_id", (F.col("at") + 1).alias("line_no"), signals.rule_hits(F.col("line"), SIGNAL_RULES).alias("hits"))
+    return hits.select("doc_id", "line_no", F.explode(signals.first_of_kind(F.col("hits"))).alias("s")).select("doc_id", "line_no", "s.kind", "s.weight")
 
 
 _SIGNALS = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), n AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, l FROM d),
-x AS (SELECT doc_id, line_no, l[line_no] AS line FROM n), s AS (""" + " UNION ALL ".join(f"SELECT doc_id, line_no, '{k}' AS kind, {w} AS weight FROM x WHERE regexp_matches(line, '{p}')" for k, w, p in SIGNAL_RULES) + ")"
+x AS (SELECT doc_id, line_no, l[line_no] AS line FROM n), r AS (""" + " UNION ALL ".join(f"SELECT doc_id, line_no, '{k}' AS kind, {w} AS weight, {i} AS nth FROM x WHERE regexp_matches(line, '{p}')" for i, (k, w, p) in enumerate(SIGNAL_RULES)) + """),
+s AS (SELECT doc_id, line_no, kind, arg_min(weight, nth) AS weight FROM r GROUP BY ALL)"""
 SIGNALS = _SIGNALS + " SELECT doc_id, line_no, kind, weight FROM s"
 
 
@@ -131,28 +135,30 @@ NORM_KEY = "SELECT sha256(trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', '
 def quote_in_evidence(spark, sf_dir):
     """Benchmark items quoted in documents, whatever the white space and case; and in how many.
 
-    Items and documents meet by a hash of three neighbouring words: the second
-    to fourth of the quote stand between spaces, so they are whole words of any
-    text that holds it. The whole quote is then checked. Quotes of fewer than
-    five words meet every document.
+    The words of a quote but its first and last stand between spaces, so they
+    are whole words of any text that holds it. Quotes of five or more words meet
+    documents by a hash of the second to fourth, those of three or four by the
+    second; the whole quote is then checked. The few of one or two words are one
+    row that each document is searched for.
     """
     triple = lambda words, i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
     own = F.split("quote", " ")
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.squash(F.col("text")).alias("quote")).where(F.length("quote") >= 24)
-    items = items.withColumn("probe", F.when(F.size(own) >= 5, triple(own, F.lit(1))).otherwise(F.lit(0).cast("long")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.squash(F.col("text")).alias("body")).withColumn("words", F.split("body", " "))
-    starts = F.array_append(F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0))), lambda i: triple(F.col("words"), i)), F.lit(0).cast("long"))
-    docs = docs.withColumn("starts", F.array_distinct(starts)).drop("words")
-    known = [r["probe"] for r in items.select("probe").distinct().limit(10_001).collect()]
-    starts = F.col("starts")
-    if len(known) <= 10_000:  # few enough to filter the windows where they are made
-        starts = F.array_intersect(starts, F.array(*map(F.lit, known)).cast("array<bigint>"))
-    met = docs.withColumn("probe", F.explode(starts)).join(items, "probe").where(F.expr("contains(body, quote)"))
-    return met.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.squash(F.col("text")).alias("quote")).where("quote <> ''")
+    probe = F.when(F.size(own) >= 5, triple(own, F.lit(1))).when(F.size(own) >= 3, F.xxhash64(F.get(own, 1)))
+    items = items.withColumn("probe", probe)
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.squash(F.col("text")).alias("body"))
+    words = docs.withColumn("words", F.split("body", " "))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0))), lambda i: triple(F.col("words"), i))
+    starts = words.select("doc_id", F.explode(F.array_distinct(F.concat(runs, F.transform("words", lambda w: F.xxhash64(w))))).alias("probe"))
+    # Only hashes move; the texts join what is left of them.
+    met = starts.join(items.where("probe IS NOT NULL").select("item_id", "quote", "probe"), "probe").drop("probe").join(docs, "doc_id").where(F.expr("contains(body, quote)"))
+    short = items.where("probe IS NULL").agg(F.collect_list(F.struct("item_id", "quote")).alias("short"))
+    inside = docs.join(F.broadcast(short)).select("doc_id", F.explode(F.filter("short", lambda q: F.contains(F.col("body"), q["quote"]))).alias("q")).select("doc_id", "q.item_id")  # one row
+    return met.select("doc_id", "item_id").unionByName(inside).groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
 
 
 QUOTE = """WITH i AS (SELECT item_id, trim(lower(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM benchmark), d AS (SELECT doc_id, trim(lower(regexp_replace(text, '\\s+', ' ', 'g'))) AS b FROM documents)
-SELECT item_id, count(DISTINCT doc_id) AS documents FROM i JOIN d ON contains(b, q) WHERE length(q) >= 24 GROUP BY 1"""
+SELECT item_id, count(DISTINCT doc_id) AS documents FROM i JOIN d ON contains(b, q) WHERE q <> '' GROUP BY 1"""
 
 
 def keyword_search(spark, sf_dir):
