@@ -57,7 +57,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     name = fresh(docs, "kept_id")
     kept = stash(judged.where("kept").select(F.col("doc_id").alias(name), "rows"), "kept-ids")
     of = lambda ids: docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
-    return of(kept.where("rows = 1").drop("rows")).unionByName(of(kept.where("rows > 1").drop("rows")).dropDuplicates(["doc_id", "text"]))
+    repeated = kept.where("rows > 1").drop("rows")
+    if repeated.isEmpty():  # spares a second pass over the texts
+        return of(kept.drop("rows"))
+    return of(kept.where("rows = 1").drop("rows")).unionByName(of(repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
