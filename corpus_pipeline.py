@@ -56,7 +56,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     judged = ngram_join.jaccard_join(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"))
     name = fresh(docs, "kept_id")
     kept = stash(judged.where("kept").select(F.col("doc_id").alias(name), "rows"), "kept-ids")
-    of = lambda ids: docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
+    # The ids grow with the documents, so they are never broadcast.
+    of = lambda ids: docs.join(ids.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
     repeated = kept.where("rows > 1").drop("rows")
     if repeated.isEmpty():  # spares a second pass over the texts
         return of(kept.drop("rows"))
