@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.plans import history, model, relations, texts
+from lodestone.plans import history, lookups, model, relations, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (history, relations, texts, model):
+for _module in (history, relations, texts, model, lookups):
     for _name, (_run, _sql) in _module.CATALOGUE.items():
         QUERIES[_name] = _run
         if _sql is not None:
