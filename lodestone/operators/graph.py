@@ -71,18 +71,21 @@ def start_set(ids: DataFrame, symbols: DataFrame, component_files: DataFrame) ->
 def impact(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     """(node, depth, resolution, boundary) of what depends on the starts within ``depth`` steps.
 
+    Where ``starts`` has a column ``start`` beside ``node``, every start has an
+    impact of its own, with that column.
     ``edges`` has src, dst, kind, method and resolution (its place among
     RESOLUTIONS). A path is as good as its weakest edge; of the shortest paths
     to a node the best one counts. Co-change is no dependency. A node is at the
     boundary if an edge that reaches it is of the reference index.
     """
+    keys = [c for c in ("start", "node") if c in starts.columns]
     links = edges.where("kind <> 'co_changes'").groupBy("src", "dst").agg(F.min("resolution").alias("edge"), F.max((F.col("method") == "reference_index").cast("int")).alias("outer"))
-    seen = cut(starts.select("node", F.lit(0).alias("depth"), F.lit(0).alias("resolution"), F.lit(False).alias("boundary")).distinct())
+    seen = cut(starts.select(*keys, F.lit(0).alias("depth"), F.lit(0).alias("resolution"), F.lit(False).alias("boundary")).distinct())
     front = seen
     for step in range(1, depth + 1):
-        met = links.join(front.select(F.col("node").alias("dst"), F.col("resolution").alias("so_far")), "dst")
-        found = met.groupBy(F.col("src").alias("node")).agg(F.min(F.greatest("edge", "so_far")).alias("resolution"), (F.max("outer") == 1).alias("boundary"))
-        front = cut(found.join(seen, "node", "left_anti").select("node", F.lit(step).alias("depth"), "resolution", "boundary"))
+        met = links.join(front.drop("depth", "boundary").withColumnsRenamed({"node": "dst", "resolution": "so_far"}), "dst").withColumnRenamed("src", "node")
+        found = met.groupBy(*keys).agg(F.min(F.greatest("edge", "so_far")).alias("resolution"), (F.max("outer") == 1).alias("boundary"))
+        front = cut(found.join(seen, keys, "left_anti").select(*keys, F.lit(step).alias("depth"), "resolution", "boundary"))
         seen = seen.unionByName(front)
     return seen.where("depth > 0")
 
