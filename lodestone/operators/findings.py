@@ -70,18 +70,22 @@ def change_risk(lines: DataFrame, functions: DataFrame, signals: DataFrame, edge
 
     Returns query_id, kinds (sorted kinds of the signals on the line, those of the
     history left out), function_id and level of the innermost function around it
-    (null outside of any), and how many nodes depend on that one within ``depth``
-    steps: dependents, ambiguous, unresolved, outside. ``functions`` has id, path,
-    start, end and level, ``edges`` what ``graph.impact`` takes.
+    (null outside of any), and, within ``depth`` steps of it, how many nodes
+    depend on it (dependents), how many of these lie outside, and how many of the
+    edges followed are ambiguous or unresolved, its own unresolved calls counted
+    too. ``functions`` has id, path, start, end and level, ``edges`` what
+    ``graph.impact`` takes.
     """
     marked = signals.where("source <> 'git'").select("path", "kind", F.col("start").alias("s"), F.col("end").alias("e"))
     kinds = lines.join(marked, "path").where("line BETWEEN s AND e").groupBy("query_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     around = lines.join(functions.select("path", "id", "level", F.col("start").alias("s"), F.col("end").alias("e")), "path").where("line BETWEEN s AND e")
     inner = around.groupBy("query_id").agg(F.min_by(F.struct("id", "level"), F.struct(F.col("e") - F.col("s"), -F.col("s"), "id")).alias("f")).select("query_id", F.col("f.id").alias("function_id"), "f.level")
     starts = inner.select(F.col("function_id").alias("start"), F.col("function_id").alias("node")).distinct()
-    met = graph.impact(edges, starts, depth).groupBy(F.col("start").alias("function_id")).agg(
-        F.count("*").alias("dependents"), F.count_if(F.col("resolution") == 1).alias("ambiguous"), F.count_if(F.col("resolution") == 2).alias("unresolved"), F.count_if("boundary").alias("outside")
-    )
-    found = lines.select("query_id").join(kinds, "query_id", "left").join(inner, "query_id", "left").join(met, "function_id", "left")
+    nodes = graph.impact(edges, starts, depth)
+    met = nodes.groupBy(F.col("start").alias("function_id")).agg(F.count("*").alias("dependents"), F.count_if("boundary").alias("outside"))
+    open_ends = edges.where("resolution = 2").join(starts.select("start", F.col("node").alias("src")), "src").select("start", "resolution")
+    walked = graph.impact_edges(edges, starts, nodes, depth).select("start", "resolution").unionByName(open_ends)
+    ends = walked.groupBy(F.col("start").alias("function_id")).agg(F.count_if(F.col("resolution") == 1).alias("ambiguous"), F.count_if(F.col("resolution") == 2).alias("unresolved"))
+    found = lines.select("query_id").join(kinds, "query_id", "left").join(inner, "query_id", "left").join(met, "function_id", "left").join(ends, "function_id", "left")
     none = F.array().cast("array<string>")
     return found.select("query_id", F.coalesce("kinds", none).alias("kinds"), "function_id", "level", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("dependents", "ambiguous", "unresolved", "outside")))

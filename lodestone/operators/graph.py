@@ -91,9 +91,10 @@ def impact(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
 
 
 def impact_edges(edges: DataFrame, starts: DataFrame, nodes: DataFrame, depth: int = 3) -> DataFrame:
-    """(src, dst, resolution) of all edges that the impact follows, loops back into it included."""
-    walked = starts.select("node").unionByName(nodes.where(F.col("depth") < depth).select("node")).distinct()
-    return edges.where("kind <> 'co_changes'").join(walked.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "resolution")
+    """(src, dst, resolution) of all edges that the impact follows, loops back into it included; with ``start`` where the starts have it."""
+    keys = [c for c in ("start", "node") if c in starts.columns]
+    walked = starts.select(*keys).unionByName(nodes.where(F.col("depth") < depth).select(*keys)).distinct()
+    return edges.where("kind <> 'co_changes'").join(walked.withColumnRenamed("node", "dst"), "dst").select(*keys[:-1], "src", "dst", "resolution")
 
 
 def edge_counts(edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import findings, onboarding
+from lodestone.operators import fences, findings, node_details, onboarding
 from lodestone.plans.common import table
 
 
@@ -48,8 +48,8 @@ def change_risk(spark, sf_dir):
 
 
 RISK = """WITH e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst, p_size % 3 AS r, p_size % 7 = 0 AS o FROM part WHERE p_partkey <> p_partkey // 2),
-i1 AS (SELECT dst AS start, src AS node, r, o FROM e), i2 AS (SELECT start, src AS node, greatest(i1.r, e.r) AS r, e.o FROM i1 JOIN e ON e.dst = node), i3 AS (SELECT start, src AS node, greatest(i2.r, e.r) AS r, e.o FROM i2 JOIN e ON e.dst = node),
-n AS (SELECT start, count(*) AS dependents, count(*) FILTER (r = 1) AS ambiguous, count(*) FILTER (r = 2) AS unresolved, count(*) FILTER (o) AS outside FROM (FROM i1 UNION ALL FROM i2 UNION ALL FROM i3) GROUP BY 1),
+i1 AS (SELECT dst AS start, src AS node, r, o FROM e), i2 AS (SELECT start, src AS node, e.r, e.o FROM i1 JOIN e ON e.dst = node), i3 AS (SELECT start, src AS node, e.r, e.o FROM i2 JOIN e ON e.dst = node),
+n AS (SELECT start, count(node) AS dependents, count(*) FILTER (r = 1) AS ambiguous, count(*) FILTER (r = 2) AS unresolved, count(*) FILTER (o) AS outside FROM (FROM i1 UNION ALL FROM i2 UNION ALL FROM i3 UNION ALL SELECT src, NULL, r, NULL FROM e WHERE r = 2) GROUP BY 1),
 f AS (SELECT q.p_partkey AS query_id, p.p_partkey AS function_id, CASE WHEN p.p_size > 40 THEN 'high' ELSE 'low' END AS level FROM part q JOIN part p ON p.p_brand = q.p_brand AND q.p_partkey + 5 BETWEEN p.p_partkey AND p.p_partkey + p.p_size
   QUALIFY row_number() OVER (PARTITION BY q.p_partkey ORDER BY p.p_size, p.p_partkey DESC) = 1),
 k AS (SELECT q.p_partkey AS query_id, string_agg(DISTINCT p.p_type, ',' ORDER BY p.p_type) AS kinds FROM part q JOIN part p ON p.p_brand = q.p_brand AND q.p_partkey + 5 BETWEEN p.p_partkey AND p.p_partkey + 9 AND p.p_partkey % 4 <> 0 GROUP BY 1)
@@ -98,10 +98,65 @@ b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY stem ORDER BY leng
 SELECT 'inc/' || stem || '.h' AS header, 'src/' || own || ext AS owner, includers FROM b, p WHERE stem <> public AND own <> public"""
 
 
+def fence_candidates(spark, sf_dir):
+    """Parts as functions, nested in part; orders as evidence near the line of their customer, whose segment is the commit's subject."""
+    orders, at = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    start = F.col("o_custkey") + at % 40
+    kind = F.when(at % 4 == 0, "git_revert").when(at % 4 == 1, "git_workaround").when(at % 4 == 2, "workaround_comment").otherwise("isr")
+    signals = orders.select(at.alias("id"), (F.col("o_custkey") % 50).alias("path"), start.alias("start"), (start + at % 3).alias("end"), kind.alias("kind"), F.when(at % 8 == 2, "a quirk of chips").otherwise("hack").alias("snippet"), F.col("o_custkey").alias("detail"))
+    key = F.col("p_partkey")
+    functions = table(spark, sf_dir, "part").select(key.alias("id"), (key % 50).alias("path"), (key - 20).alias("start"), (key + F.col("p_size")).alias("end"), F.when(F.col("p_size") > 40, "high").when(F.col("p_size") > 20, "medium").otherwise("low").alias("level"))
+    commits = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sha"), F.when(F.col("c_custkey") % 3 == 0, "A Work-around").otherwise(F.col("c_mktsegment")).alias("subject"))
+    return fences.fence_candidates(signals, functions, commits)
+
+
+FENCES = """WITH s AS (SELECT o_orderkey AS id, o_custkey % 50 AS path, o_custkey + o_orderkey % 40 AS start, o_custkey + o_orderkey % 40 + o_orderkey % 3 AS "end",
+  CASE o_orderkey % 8 WHEN 0 THEN 5 WHEN 4 THEN 5 WHEN 2 THEN 3 WHEN 6 THEN 1 WHEN 1 THEN 3 * (o_custkey % 3 = 0)::INT WHEN 5 THEN 3 * (o_custkey % 3 = 0)::INT ELSE 0 END AS weight FROM orders),
+i AS (SELECT s.*, p_partkey AS function_id, CASE WHEN p_size > 40 THEN 2 WHEN p_size > 20 THEN 1 ELSE 0 END AS bonus FROM s JOIN part ON p_partkey % 50 = path AND start BETWEEN p_partkey - 20 AND p_partkey + p_size WHERE weight > 0
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY p_size, p_partkey DESC) = 1),
+l AS (SELECT *, CASE WHEN start - lag("end") OVER w <= 8 THEN 0 ELSE 1 END AS opens FROM i WINDOW w AS (PARTITION BY function_id ORDER BY start, id)),
+g AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY function_id ORDER BY start, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS group_no FROM l)
+SELECT function_id, group_no, id AS signal_id, start, "end", weight, count(*) OVER (PARTITION BY function_id, group_no) AS near, weight + least(count(*) OVER (PARTITION BY function_id, group_no) - 1, 4) * 0.5::DOUBLE + bonus AS score
+FROM g QUALIFY row_number() OVER (PARTITION BY function_id, group_no ORDER BY weight DESC, start, id) = 1"""
+
+
+def _nations(spark, sf_dir):
+    """Nations as components of customers, every tenth customer a symbol of some lines besides."""
+    customers = table(spark, sf_dir, "customer")
+    whole = customers.select(F.col("c_nationkey").alias("node_id"), F.col("c_custkey").alias("path"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
+    return whole.unionByName(customers.where("c_custkey % 10 = 0").select((F.col("c_custkey") + 1000).alias("node_id"), F.col("c_custkey").alias("path"), F.lit(100).alias("start"), F.lit(5000).alias("end")))
+
+
+NATIONS = "n AS (SELECT c_nationkey AS node_id, c_custkey AS path, NULL AS first, NULL AS last FROM customer UNION ALL SELECT c_custkey + 1000, c_custkey, 100, 5000 FROM customer WHERE c_custkey % 10 = 0)"
+
+
+def node_signals(spark, sf_dir):
+    """The 30 weightiest orders of each node."""
+    signals = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("start"), F.col("o_orderpriority").alias("kind"), (F.col("o_orderkey") % 4).alias("weight"))
+    return node_details.node_signals(_nations(spark, sf_dir), signals)
+
+
+NODE_SIGNALS = f"""WITH {NATIONS} SELECT node_id, path, o_orderkey AS start, o_orderpriority AS kind, o_orderkey % 4 AS weight FROM n JOIN orders ON o_custkey = path AND (first IS NULL OR o_orderkey BETWEEN first AND last)
+QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY o_orderkey % 4 DESC, path, o_orderkey) <= 30"""
+
+
+def node_authors(spark, sf_dir):
+    """Clerks by the priority of their orders: the five that wrote most of each node."""
+    authors = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("path"), (F.col("o_orderkey") % 97).alias("email")).agg(F.count("*").alias("commits")).withColumn("name", F.concat(F.lit("N"), F.col("path").cast("string")))
+    return node_details.node_authors(_nations(spark, sf_dir), authors)
+
+
+NODE_AUTHORS = f"""WITH {NATIONS}, a AS (SELECT node_id, o_orderkey % 97 AS email, count(*) AS commits, 'N' || min(path) AS name FROM n JOIN orders ON o_custkey = path GROUP BY 1, 2)
+SELECT node_id, row_number() OVER (PARTITION BY node_id ORDER BY commits DESC, email) AS nth, email, name, commits FROM a QUALIFY nth <= 5"""
+
+
 CATALOGUE = {
     "review_findings": (review_findings, FINDINGS),
     "change_risk": (change_risk, RISK),
     "assumption_list": (assumption_list, ASSUMPTIONS),
     "interface_list": (interface_list, INTERFACES),
     "hidden_couplings": (hidden_couplings, COUPLINGS),
+    "fence_candidates": (fence_candidates, FENCES),
+    "node_signals": (node_signals, NODE_SIGNALS),
+    "node_authors": (node_authors, NODE_AUTHORS),
 }
