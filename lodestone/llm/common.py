@@ -45,22 +45,31 @@ def clean() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            remove(spark, path)
         except Exception:  # noqa: BLE001  the session has already ended
             return
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a table of the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stash_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stash`` with the table's path, for those who remove it once its readers are done."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it again.
 
     This cuts the lineage: a lost executor costs a read, not the work above,
     and what is numbered or sampled stays as it was written.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stash_at(df, name)[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +117,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return found.withColumn("bytes", F.sum(F.octet_length("text")).over(so_far)).where(F.col("bytes") <= class_bytes).select("doc_id", "text", "y")
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with the place of each row, from 0, in an order that leaves no ties.
+
+    ``order`` names columns, ``-`` before a name turns it round. Rows are dealt
+    out by ranges of the order; a range knows how many rows stand before it from
+    the counts of the others, one row a range.
+    """
+    by = [F.desc(c[1:]) if c[0] == "-" else F.asc_nulls_last(c) for c in order]
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // 500_000)
+    placed = stash(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # The low 33 bits of the increasing id count the rows of a partition.
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, place).drop("_part", "_at", "_start")
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow``, which keeps texts out of pandas."""
     return df.mapInArrow(fn, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, line_crf, ngram_join, packing, rules, token_counts, toxicity, url_filters, vector_dedup, warc
+from lodestone.llm import bpe, importance, line_crf, mixing, ngram_join, packing, rules, sort_means, token_counts, toxicity, url_filters, vector_dedup, warc
 from lodestone.llm.common import table
 
 # The rules of the URL query (verdict, host, path).
@@ -60,6 +60,19 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=(5, 100), least_words=20, buckets=10_000, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), share=(3, 2), most=2).select("doc_id", "size", "source_size", "target", "taken")
+
+
 # The 160 bits of a SHA-1, five at a time: bits 5i to 5i+4 lie within two hexadecimal digits.
 OP4_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -115,3 +128,55 @@ SELECT e.vec_id, coalesce(k.k, 0) AS n_links, m.c AS component_id, e.vec_id = m.
 FROM e LEFT JOIN (SELECT a AS vec_id, count(*) AS k FROM l GROUP BY a) k USING (vec_id)
 JOIN (SELECT vec_id, min(reached) AS c FROM r GROUP BY vec_id) m USING (vec_id)
 """
+
+# CRC-32 byte by byte, with its table from the polynomial. Grams are counted once each, however often they occur.
+OP11_SQL = r"""
+WITH tab AS (SELECT list(list_reduce(list_prepend(v, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY v) AS t
+             FROM (SELECT unnest(range(256)) AS v)),
+raw AS (SELECT 0 AS side, row_number() OVER () AS row, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT side, row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM raw),
+g AS (SELECT side, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+        list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram FROM w),
+n AS (SELECT side, row, gram, count(*) AS n FROM g GROUP BY ALL),
+h AS (SELECT gram, hex(gram) AS x FROM (SELECT DISTINCT gram FROM n)),
+b AS (SELECT gram, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2),
+        lambda i: strpos('123456789ABCDEF', x[2 * i + 1]) * 16 + strpos('123456789ABCDEF', x[2 * i + 2]))),
+        lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8))) % 10000 AS bucket FROM h, tab),
+m AS (SELECT side, row, bucket, sum(n)::BIGINT AS n FROM n JOIN b USING (gram) GROUP BY ALL),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0)::DOUBLE AS t FROM m GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM c),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM c, a),
+d AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM m JOIN gain USING (bucket) WHERE side = 0 GROUP BY row),
+x AS (SELECT row, doc_id, len(w) AS n_words, '0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS h FROM w WHERE side = 0),
+r AS (SELECT x.row, x.doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((h::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM x LEFT JOIN d USING (row)),
+o AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS pos, count(*) OVER () AS all_long FROM r WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN pos <= 5 * all_long // 100 THEN pos END AS rank FROM r LEFT JOIN o USING (row)
+"""
+
+
+def _op12_sql(rounds: int = 10) -> str:
+    """Assigning and moving, once a round. Sums are of whole numbers, so their quotients are rounded down exactly."""
+    apart = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT v.row, arg_min(c.k, struct_pack(d := {apart}, k := c.k)) AS k, min({apart}) AS d FROM v, c{r} c GROUP BY v.row)")
+        if r < rounds:
+            steps.append(
+                f"s{r} AS (SELECT k, i, sum(x) AS s, count(*)::HUGEINT AS n FROM (SELECT k, unnest(range(1, 65)) AS i, unnest(x) AS x FROM a{r} JOIN v USING (row)) GROUP BY k, i), "
+                f"m{r} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{r} GROUP BY k), "
+                f"c{r + 1} AS (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (k))"
+            )
+    return (
+        "WITH e AS (SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS e FROM embeddings), "
+        "v AS MATERIALIZED (SELECT row, vec_id, list_transform(e, lambda y: floor(1024 * y)::BIGINT) AS x FROM e "
+        "WHERE len(e) = 64 AND len(list_filter(e, lambda y: y IS NULL OR NOT isfinite(y))) = 0), "
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS k, x FROM v ORDER BY sha256('3:' || vec_id), x LIMIT 8), "
+        + ", ".join(s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps)
+        + f" SELECT v.vec_id, a.k::INTEGER AS cluster, a.d::BIGINT AS distance, sum(a.d) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia, sum(a.d) OVER ()::BIGINT AS inertia, "
+        f"sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v USING (row) JOIN c{rounds} c ON c.k = a.k"
+    )
+
+
+OP12_SQL = _op12_sql()
