@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,14 @@ def ascii_words(pattern: str) -> str:
     return rf"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
 
 
+def portable(pattern: str) -> str:
+    """A pattern whose word boundaries are ASCII and whose white space outside of classes is Unicode's, whatever Java takes for them."""
+    word, space = "[A-Za-z0-9_]", r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+    border = f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
+    pieces = re.split(r"(\[(?:\\.|[^\]\\])*\]|\\.)", pattern)  # classes and escapes stand by themselves
+    return "".join(border if x == r"\b" else space if x == r"\s" else x for x in pieces)
+
+
 # Words of commit messages that mark fixes, hardware or timing reasons, and reverts.
 BUGFIX = r"fix(?:e[sd]|ing)?|bugs?|bugfix|hotfix|regression|crash(?:es|ed)?|broken|wrong|incorrect"
 RATIONALE = (
@@ -68,6 +78,31 @@ def clip(text: Column, n: int, mark: str = "...") -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - len(mark)), F.lit(mark))).otherwise(text)
 
 
+def clip_mark(text: Column, n: int) -> Column:
+    """A text of at most n characters; a longer one ends with an ellipsis of one character, without white space before it."""
+    return F.when(F.length(text) > n, F.concat(F.regexp_replace(F.left(text, F.lit(n - 1)), r"\s+$", ""), F.lit("\u2026"))).otherwise(text)
+
+
+def clip_words(text: Column, n: int) -> Column:
+    """A text of at most n characters, or what stands before the last space among its first n and an ellipsis.
+
+    A comma, semicolon or colon at the cut is dropped. Without such a space only
+    the last character goes.
+    """
+    first = F.left(text, F.lit(n))
+    head = F.when(F.instr(first, " ") > 0, F.regexp_extract(first, r"(?s)^(.*) ", 1)).otherwise(F.left(text, F.length(text) - 1))
+    return F.when(F.length(text) <= n, text).otherwise(F.concat(F.regexp_replace(head, "[,;:]$", ""), F.lit("\u2026")))
+
+
+def bare_subject(subject: Column) -> Column:
+    """A commit's subject without the name of its part, such as ``driver: ``."""
+    return F.regexp_replace(subject, r"^[A-Za-z0-9_./-]+:\s*", "")
+
+
+def sentence_case(text: Column) -> Column:
+    return F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, 2, 1 << 30))
+
+
 def squash(text: Column) -> Column:
     """White space runs as one space, lower case, trimmed."""
     return F.trim(F.lower(F.regexp_replace(text, r"\s+", " ")))

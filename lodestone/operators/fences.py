@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.intervals import overlap_join
 from lodestone.operators.ranking import sessions
 
 # Words by which a message states a workaround and a comment warns, and the lines between two groups.
@@ -25,8 +26,8 @@ def fence_candidates(signals: DataFrame, functions: DataFrame, commits: DataFram
     its first line and outside of any it is left out. The group is named by its
     weightiest evidence, the first of those that tie; ``near`` counts them all.
     """
-    stated = F.coalesce("subject", F.lit("")).rlike("(?i)" + T.ascii_words(EXPLICIT_WORKAROUND))
-    warns = F.coalesce("snippet", F.lit("")).rlike("(?i)" + T.ascii_words(WARNING)) & (F.size(F.split("snippet", r"\s+", -1)) >= 4)
+    stated = F.coalesce("subject", F.lit("")).rlike("(?i)" + T.portable(EXPLICIT_WORKAROUND))
+    warns = F.coalesce("snippet", F.lit("")).rlike("(?i)" + T.portable(WARNING)) & (F.size(F.split("snippet", r"\s+", -1)) >= 4)
     weight = (
         F.when(F.col("kind") == "git_revert", 5)
         .when((F.col("kind") == "git_workaround") & stated, 3)
@@ -36,7 +37,8 @@ def fence_candidates(signals: DataFrame, functions: DataFrame, commits: DataFram
     )
     subjects = commits.select(F.col("sha").alias("detail"), "subject")
     evidence = signals.join(subjects, "detail", "left").withColumn("weight", weight).where("weight > 0").select(F.col("id").alias("signal_id"), "path", "start", "end", "weight")
-    around = evidence.join(functions.select("path", F.col("id").alias("function_id"), "level", F.col("start").alias("s"), F.col("end").alias("e")), "path").where("start BETWEEN s AND e")
+    ranges = functions.select("path", F.col("id").alias("function_id"), "level", F.col("start").alias("s"), F.col("end").alias("e"))
+    around = overlap_join(evidence, ranges, "path", ("start", "start"), ("s", "e")).select("signal_id", "start", "end", "weight", "function_id", "level", "s", "e")
     inner = around.groupBy("signal_id", "start", "end", "weight").agg(F.min_by(F.struct("function_id", "level"), F.struct(F.col("e") - F.col("s"), -F.col("s"), "function_id")).alias("f"))
     grouped = sessions(inner.select("signal_id", "start", "end", "weight", "f.*"), ["function_id"], ["start", "signal_id"], F.col("start"), F.col("end"), GROUP_GAP, "group_no")
     anchor = F.min_by(F.struct("signal_id", "start", "end", "weight"), F.struct(-F.col("weight"), "start", "signal_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph
+from lodestone.operators.intervals import overlap_join
 from lodestone.operators.ranking import top_per_key
 
 # Severities from the mildest, and how many signals of a contract are told.
@@ -77,8 +78,8 @@ def change_risk(lines: DataFrame, functions: DataFrame, signals: DataFrame, edge
     ``graph.impact`` takes.
     """
     marked = signals.where("source <> 'git'").select("path", "kind", F.col("start").alias("s"), F.col("end").alias("e"))
-    kinds = lines.join(marked, "path").where("line BETWEEN s AND e").groupBy("query_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    around = lines.join(functions.select("path", "id", "level", F.col("start").alias("s"), F.col("end").alias("e")), "path").where("line BETWEEN s AND e")
+    kinds = overlap_join(lines, marked, "path", ("line", "line"), ("s", "e")).groupBy("query_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    around = overlap_join(lines, functions.select("path", "id", "level", F.col("start").alias("s"), F.col("end").alias("e")), "path", ("line", "line"), ("s", "e"))
     inner = around.groupBy("query_id").agg(F.min_by(F.struct("id", "level"), F.struct(F.col("e") - F.col("s"), -F.col("s"), "id")).alias("f")).select("query_id", F.col("f.id").alias("function_id"), "f.level")
     starts = inner.select(F.col("function_id").alias("start"), F.col("function_id").alias("node")).distinct()
     nodes = graph.impact(edges, starts, depth)

@@ -6,10 +6,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+STEP = 3  # bits between two lengths of cells
+TOP = 24  # bits of the longest cells; what is longer covers several of them
+
+
+def _level(start: Column, end: Column) -> Column:
+    """Bits of the shortest cells that are as long as an interval."""
+    bits = F.when(end > start, F.length(F.bin(end - start))).otherwise(0)
+    return F.least(F.ceil(bits / F.lit(STEP)).cast("int") * STEP, F.lit(TOP))
+
+
+def _in_cells(df: DataFrame, key: str, span: tuple[str, str], side: str, only_own: bool) -> DataFrame:
+    """A row for every cell that an interval touches: of its own length, and of all longer ones unless ``only_own``.
+
+    An interval touches two cells of a length at most, but for the longest cells.
+    """
+    start, end = (F.col(c).cast("long") for c in span)
+    own = df.withColumns({f"_from_{side}": start, f"_to_{side}": end, f"_own_{side}": _level(start, end)})
+    levels = F.array(F.col(f"_own_{side}")) if only_own else F.sequence(F.col(f"_own_{side}"), F.lit(TOP), F.lit(STEP))
+    cells = own.where((F.col(f"_from_{side}") <= F.col(f"_to_{side}")) & F.col(key).isNotNull()).withColumn("_level", F.explode(levels))
+    first = F.expr(f"shiftright(_from_{side}, _level)")
+    return cells.withColumn(f"_first_{side}", first).withColumn("_cell", F.explode(F.sequence(first, F.expr(f"shiftright(_to_{side}, _level)"))))
+
+
 def overlap_join(points: DataFrame, ranges: DataFrame, key: str, p: tuple[str, str], r: tuple[str, str], how: str = "inner") -> DataFrame:
-    """Rows of two tables with one key whose closed intervals overlap; an equi-join with a residual condition."""
-    condition = (F.col(f"p.{key}") == F.col(f"r.{key}")) & (F.col(f"p.{p[0]}") <= F.col(f"r.{r[1]}")) & (F.col(f"p.{p[1]}") >= F.col(f"r.{r[0]}"))
-    return points.alias("p").join(ranges.alias("r"), condition, how)
+    """Rows of two tables with one key whose closed integer intervals overlap.
+
+    The result has both tables' columns, those of ``points`` as ``p.`` and those
+    of ``ranges`` as ``r.``; with ``how`` left_semi or left_anti it has rows of
+    ``points`` alone. Intervals meet in cells whose lengths are powers of two: in
+    cells as long as the longer of the two, the first one that both touch. So a
+    key with many lines and many ranges costs about the pairs that it yields,
+    never all of them. Empty intervals and null ends or keys meet nothing.
+    """
+    left, right = _in_cells(points, key, p, "p", r[0] == r[1]).alias("p"), _in_cells(ranges, key, r, "r", p[0] == p[1]).alias("r")
+    meets = (F.col("_from_p") <= F.col("_to_r")) & (F.col("_to_p") >= F.col("_from_r"))
+    same = (F.col(f"p.{key}") == F.col(f"r.{key}")) & (F.col("p._level") == F.col("r._level")) & (F.col("p._cell") == F.col("r._cell"))
+    once = (F.col("p._level") == F.greatest("_own_p", "_own_r")) & (F.col("p._cell") == F.greatest("_first_p", "_first_r"))
+    met = left.join(right, same & once & meets)
+    if how == "inner":
+        return met
+    hit = met.select(*(F.col(f"p.{c}").alias(f"_{i}") for i, c in enumerate(dict.fromkeys((key, *p))))).distinct()
+    alike = [F.col(c) == F.col(f"_{i}") for i, c in enumerate(dict.fromkeys((key, *p)))]
+    return points.join(hit, alike, how)
 
 
 def overlap_length(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:

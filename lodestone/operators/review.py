@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.intervals import overlap_join
 from lodestone.operators.structure import GENERIC_NAMES, TELLING
 
 # Lines before a hunk in which a comment still speaks of it, verdicts from the mildest.
@@ -21,7 +22,7 @@ def hunk_functions(hunks: DataFrame, functions: DataFrame) -> DataFrame:
     """
     first = F.greatest(F.lit(1), F.col("old_start"))
     lines = hunks.select("hunk_id", "path", F.explode(F.sequence(first, first + F.greatest(F.col("old_count"), F.lit(1)) - 1)).alias("line"))
-    met = lines.join(functions.select(F.col("id").alias("function_id"), "path", "start", "end"), "path").where("line BETWEEN start AND end")
+    met = overlap_join(lines, functions.select(F.col("id").alias("function_id"), "path", "start", "end"), "path", ("line", "line"), ("start", "end")).select("hunk_id", "line", "function_id", "start", "end")
     inner = met.groupBy("hunk_id", "line").agg(F.min_by("function_id", F.struct(F.col("end") - F.col("start"), -F.col("start"), "function_id")).alias("function_id"))
     return inner.select("hunk_id", "function_id").distinct()
 
@@ -31,8 +32,9 @@ def hunk_signals(hunks: DataFrame, signals: DataFrame) -> DataFrame:
     last = F.col("old_start") + F.greatest(F.col("old_count"), F.lit(1)) - 1
     reach = F.when(F.col("kind") == "workaround_comment", COMMENT_REACH).otherwise(0)
     wanted = signals.where("source = 'static' OR kind = 'workaround_comment'")
-    met = hunks.select("hunk_id", "path", "old_start", last.alias("last")).join(wanted, "path")
-    return met.where((F.col("start") <= F.col("last")) & (F.col("end") >= F.col("old_start") - reach)).select("hunk_id", "path", "start", "end", "kind", "source", "snippet", "weight")
+    changed = hunks.select("hunk_id", "path", F.col("old_start").alias("first"), last.alias("last"))
+    met = overlap_join(changed, wanted.withColumn("until", F.col("end") + reach), "path", ("first", "last"), ("start", "until"))
+    return met.select("hunk_id", "r.path", "start", "end", "kind", "source", "snippet", "weight")
 
 
 def related_tests(touched: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -52,7 +54,8 @@ def untested(touched: DataFrame, tests: DataFrame, signals: DataFrame) -> DataFr
     ``touched`` has id, name, path, start, end and level; critical are those of
     a level above low or with a signal inside.
     """
-    inside = touched.join(signals.select("path", F.col("start").alias("s"), F.col("end").alias("e")), "path").where("s <= end AND e >= start").select("id").distinct().withColumn("signal", F.lit(True))
+    spans = signals.select("path", F.col("start").alias("s"), F.col("end").alias("e"))
+    inside = overlap_join(spans, touched.select("id", "path", "start", "end"), "path", ("s", "e"), ("start", "end")).select("id").distinct().withColumn("signal", F.lit(True))
     critical = touched.join(inside, "id", "left").where("level <> 'low' OR signal")
     return critical.join(tests.select("name").distinct(), "name", "left_anti").select("id", "name").distinct()
 

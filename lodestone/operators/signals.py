@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import graph, ranking
+from lodestone.operators.intervals import overlap_join
 
 # Kind, weight and pattern of signals in code; of the rules of a kind the first that fits a line counts.
 CODE_RULES = (
@@ -67,7 +68,7 @@ def rule_hits(text: Column, rules, excluded=None) -> Column:
     """Hits of a rule table on a text in the rules' order: array of (kind, weight, detail)."""
 
     def hit(kind, weight, pattern):
-        found = F.regexp_extract(text, pattern, 0)
+        found = F.regexp_extract(text, T.portable(pattern), 0)
         own = excluded(kind, found) if excluded else F.lit(False)
         return F.when((found != "") & ~own, F.struct(F.lit(kind).alias("kind"), F.lit(weight).alias("weight"), F.substring(_trim(found), 1, DETAIL).alias("detail")))
 
@@ -130,7 +131,7 @@ def fan_in(edges: DataFrame) -> DataFrame:
 def symbol_factors(symbols: DataFrame, signals: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, factor, points, detail) of every function: capped signals by kind, callers, outside references."""
     functions = symbols.where("kind = 'function'").select("id", "path", F.col("start").alias("first"), F.col("end").alias("last"))
-    inside = functions.join(signals.select("path", "start", "end", "kind", "weight", "place"), "path").where("start <= last AND end >= first")
+    inside = overlap_join(signals.select("path", "start", "end", "kind", "weight", "place"), functions, "path", ("start", "end"), ("first", "last")).select("id", "start", "kind", "weight", "place")
     nth = F.row_number().over(Window.partitionBy("id", "kind").orderBy("place", "start"))
     capped = inside.withColumn("nth", nth).groupBy("id", "kind").agg(
         F.sum(F.when(F.col("nth") <= KIND_CAP, F.col("weight"))).cast("double").alias("points"),
@@ -158,7 +159,7 @@ def score_files(files: DataFrame, scores: DataFrame, symbols: DataFrame, signals
     top = ranking.top_per_key(scores.where("score > 0"), ["path"], [F.desc("score"), F.asc("id")], TOP_FUNCTIONS).groupBy("path").agg(F.sum("score").alias("functions"))
     ranges = symbols.where("kind = 'function'").select("path", F.col("start").alias("first"), F.col("end").alias("last"))
     telling = signals.where(F.col("kind").isin(*LOOSE_KINDS))
-    loose = telling.alias("s").join(ranges.alias("r"), (F.col("s.path") == F.col("r.path")) & (F.col("first") <= F.col("start")) & (F.col("start") <= F.col("last")), "left_anti")
+    loose = overlap_join(telling, ranges, "path", ("start", "start"), ("first", "last"), "left_anti")
     counted = loose.groupBy("path").agg(F.least(F.count("*"), F.lit(LOOSE_CAP)).alias("loose"))
     score = F.round(F.coalesce("functions", F.lit(0.0)) + F.coalesce("loose", F.lit(0)), 1)
     return ranking.levels(files.select("path").distinct().join(top, "path", "left").join(counted, "path", "left").select("path", score.alias("score")), "score", "path")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.plans import history, lookups, model, relations, texts, views
+from lodestone.plans import guards, history, lookups, meters, model, relations, texts, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (history, relations, texts, model, lookups, views):
+for _module in (history, relations, texts, model, lookups, views, guards, meters):
     for _name, (_run, _sql) in _module.CATALOGUE.items():
         QUERIES[_name] = _run
         if _sql is not None:

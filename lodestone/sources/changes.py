@@ -49,19 +49,20 @@ def literals(source: str, code: str) -> list[tuple[str, str | None]]:
     return out
 
 
+def meaning(source: str, messages: bool) -> tuple:
+    """What a source means: its tokens, directives and literals; without ``messages`` those for people don't matter."""
+    hidden = blank(source)
+    texts = (text if messages or call not in LOG_CALLS else None for text, call in literals(source, hidden.code))
+    return tuple(TOKEN.findall(hidden.code)), tuple(" ".join(text.split()) for _, text in hidden.directives), tuple(texts)
+
+
 def change_class(old: str | None, new: str | None) -> str:
-    """The class of a change to a C or C++ source: code, log_string or comment_whitespace."""
-    if old is None or new is None:
-        return "code"
-    one, two = blank(old), blank(new)
-    directives = lambda x: [" ".join(text.split()) for _, text in x.directives]
-    if TOKEN.findall(one.code) != TOKEN.findall(two.code) or directives(one) != directives(two):
-        return "code"
-    before, after = literals(old, one.code), literals(new, two.code)
-    changed = [call for (text, call), (other, _) in zip(before, after, strict=False) if text != other]
-    if len(before) != len(after) or any(call not in LOG_CALLS for call in changed):
-        return "code"
-    return "log_string" if changed else "comment_whitespace"
+    """The class of a change to a C or C++ source: the mildest by which both sides mean the same, else code."""
+    if old is not None and new is not None:
+        for kind, messages in (("comment_whitespace", True), ("log_string", False)):
+            if meaning(old, messages) == meaning(new, messages):
+                return kind
+    return "code"
 
 
 def change_classes(changes: DataFrame) -> DataFrame:
