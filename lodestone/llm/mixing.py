@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import WORD_SQL, numbered, stash
 
 WEIGHTS = (5, 2, 1)  # of the sources in their order, over and over
-ROUNDS = 32  # of the permutation, each swaps about half of the numbers
+ROUNDS = 24  # of the permutation, each swaps about half of the numbers
 CHUNK = 4096  # slots, copies or draws that one row of a plan stands for before they are spread
+SLOTS = 200_000  # slots that a task makes, about
 CELLS = 1 << 12  # of the unit interval, where draws meet sources
 
 _BITS = float(1 << 53)
@@ -35,13 +36,11 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), source.alias("source"), F.regexp_count(text, F.lit(WORD_SQL)).cast("long").alias("size"), F.xxhash64(doc_id, text).alias("h"))
 
 
-def _spread(rows: DataFrame, count: str, name: str) -> DataFrame:
-    """A row for each number from 0 below ``count``, made in two steps so that a large count is shared out."""
+def _spread(rows: DataFrame, count: str, name: str, parts: int | None = None) -> DataFrame:
+    """A row for each number from 0 below ``count``, made in two steps; with ``parts`` large counts are shared out between them."""
     chunks = rows.where(F.col(count) > 0).withColumn("_from", F.explode(F.expr(f"sequence(0L, ({count} - 1) div {CHUNK})")))
-    if name == "copy":  # nearly always one
-        dealt = chunks
-    else:
-        dealt = chunks.repartition(F.xxhash64("sid", "_from"))
+    # By number, as the rows that stand for many slots are too few and small for Spark to leave them apart.
+    dealt = chunks if parts is None else chunks.repartition(parts, "sid", "_from")
     last = F.least(F.col("_from") * CHUNK + CHUNK - 1, F.col(count) - 1)
     return dealt.withColumn(name, F.explode(F.sequence(F.col("_from") * CHUNK, last))).drop("_from")
 
@@ -89,30 +88,33 @@ def placed(found: DataFrame, sources: DataFrame) -> DataFrame:
     return ranges.withColumn("within", within).join(starts, ["sid", "part"]).select("sid", "doc_id", "size", (F.col("first") + F.col("within")).alias("start"))
 
 
-def permuted(x: F.Column, n: F.Column, key: F.Column) -> F.Column:
-    """The place of x, from 0 below n, in a pseudorandom permutation of these numbers that ``key`` picks.
+def permuted(rows: DataFrame, x: str, n: str, key: str, name: str) -> DataFrame:
+    """``rows`` with the place of x, from 0 below n, in a pseudorandom permutation of these numbers that ``key`` picks.
 
     Each round pairs the numbers off, x with (k - x) mod n, and a hash of the
     pair says whether it swaps. A round is its own inverse, so all of them
-    together are a permutation, of any n.
+    together are a permutation, of any n. Rounds are columns of their own, which
+    Spark compiles; as one nested expression it would repeat each of them.
     """
+    out = rows.withColumn(name, F.col(x))
+    for r in range(ROUNDS):
+        other = F.pmod(F.pmod(F.xxhash64(key, F.lit(r)), F.col(n)) - F.col(name), F.col(n))
+        swaps = F.xxhash64(key, F.lit(r), F.greatest(F.col(name), F.col("_other"))).bitwiseAND(F.lit(1)) == 1
+        out = out.withColumn("_other", other).withColumn(name, F.when(swaps, F.col("_other")).otherwise(F.col(name)))
+    return out.drop("_other")
 
-    def step(at: F.Column, r: F.Column) -> F.Column:
-        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - at, n)
-        return F.when(F.xxhash64(key, r, F.greatest(at, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), x, step)
-
-
-def _plan(sources: DataFrame, block: int, per_shard: int, most: int) -> tuple[DataFrame, int]:
-    """Blocks and expected slots of every source, and the number of shards."""
+def _plan(sources: DataFrame, block: int, per_shard: int, most: int) -> tuple[DataFrame, int, int]:
+    """Blocks and expected slots of every source, the number of shards, and how many tasks the slots are shared out to."""
     blocks = F.ceil(F.col("source_size") / F.lit(block))
     rows = sources.where("source_size > 0").withColumn("blocks", blocks).withColumn("most", F.col("blocks") * most)
     # As many passes as the target asks for; the last block of a source may be short.
     rows = rows.withColumn("expected", F.least(F.col("target") * F.col("blocks") / F.col("source_size"), F.col("most").cast("double")))
-    shards = max(1, -int(-(rows.agg(F.sum("expected")).first()[0] or 0) // per_shard))
+    expected = rows.agg(F.sum("expected")).first()[0] or 0
+    shards = max(1, -int(-expected // per_shard))
+    tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(expected) // SLOTS)
     each = F.col("expected") / F.lit(float(shards))
-    return stash(rows.withColumn("base", F.floor(each)).withColumn("rest", each - F.floor(each)), "slot-plan"), shards
+    return stash(rows.withColumn("base", F.floor(each)).withColumn("rest", each - F.floor(each)), "slot-plan"), shards, tasks
 
 
 def _drawn(plan: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -146,16 +148,17 @@ def slots(sources: DataFrame, block: int = 64, per_shard: int = 65_536, most: in
     A source takes no block more than ``most`` times: draws beyond leave their
     slot empty, of which there are at most a few in a shard.
     """
-    plan, shards = _plan(sources, block, per_shard, most)
-    base = _spread(plan.withColumn("slots", F.col("base") * shards), "slots", "ordinal").withColumn("shard", F.floor(F.col("ordinal") / F.col("base")))
+    plan, shards, tasks = _plan(sources, block, per_shard, most)
+    base = _spread(plan.withColumn("slots", F.col("base") * shards), "slots", "ordinal", tasks).withColumn("shard", F.floor(F.col("ordinal") / F.col("base")))
     drawn = _drawn(plan, shards, seed)
     at = F.row_number().over(Window.partitionBy("sid").orderBy("shard", "draw")) - 1  # about a draw a shard
     more = drawn.withColumn("at", at).join(plan, "sid").withColumn("ordinal", F.col("base") * shards + F.col("at"))
     columns = ["sid", "shard", "ordinal", "blocks", "most"]
     rows = base.select(*columns).unionByName(more.select(*columns)).where(F.col("ordinal") < F.col("most"))
-    passed = rows.withColumn("pass", F.floor(F.col("ordinal") / F.col("blocks")))
-    key = F.xxhash64(F.lit(seed), "sid", "pass")
-    return passed.select("sid", "shard", "ordinal", "pass", permuted(F.col("ordinal") % F.col("blocks"), F.col("blocks"), key).alias("block"))
+    passed = rows.withColumn("pass", F.floor(F.col("ordinal") / F.col("blocks"))).withColumn("nth", F.col("ordinal") % F.col("blocks"))
+    keyed = passed.withColumn("key", F.xxhash64(F.lit(seed), "sid", "pass"))
+    # Written, as what is asked of a place later on must not be asked of all rounds again.
+    return stash(permuted(keyed, "nth", "blocks", "key", "block").select("sid", "shard", "ordinal", "pass", "block"), "slots")
 
 
 def pieces(documents: DataFrame, block: int = 64) -> DataFrame:

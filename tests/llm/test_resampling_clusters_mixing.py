@@ -176,7 +176,8 @@ def shares(sizes, share=1.5, most=2):
 
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
 def test_permutations(spark, n):
-    rows = spark.range(n).select(F.col("id"), mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5)).alias("to"), mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(6)).alias("other")).collect()
+    ids = spark.range(n).withColumns({"n": F.lit(n).cast("long"), "five": F.lit(5), "six": F.lit(6)})
+    rows = mixing.permuted(mixing.permuted(ids, "id", "n", "five", "to"), "id", "n", "six", "other").collect()
     assert sorted(r["to"] for r in rows) == sorted(r["other"] for r in rows) == list(range(n))
     if n == 1000:
         assert sum(r["to"] == r["other"] for r in rows) < 20 and sum(abs(r["to"] - r["id"]) < 50 for r in rows) < 200
