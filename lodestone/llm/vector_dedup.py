@@ -34,16 +34,17 @@ _SLACK = 1e-6  # of squared distances, against rounding of the coordinates; cosi
 
 
 def _is_comparable() -> F.Column:
-    """True for vectors that can link: a label, a positive norm, finite components only."""
+    """True for vectors that can link: a label, finite components only, not all of them zero."""
     x = F.col("embedding")
-    norm = F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf)))
-    fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(x) > 0) & finite & (norm > 0) & (norm < math.inf)
+    fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(x) > 0) & finite & F.exists(x, lambda v: v != 0)
     return F.coalesce(fine, F.lit(False))
 
 
 def _units(batch: pa.RecordBatch, name: str = "embedding") -> list[np.ndarray]:
-    return [v / math.sqrt(v @ v) for v in (np.array(x, np.float64) for x in batch.column(name).to_pylist())]
+    vectors = (np.array(x, np.float64) for x in batch.column(name).to_pylist())
+    # By the largest component first, as squares of very large or small ones are out of range.
+    return [v / math.sqrt(v @ v) for v in (v / np.abs(v).max() for v in vectors)]
 
 
 def principal_axes(nodes: DataFrame, joined: int = 32) -> dict[int, np.ndarray]:
@@ -343,13 +344,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     component is not finite, or it is zero or empty; it is its own component.
     Vectors of different dimensions don't link. Equal rows are vectors of their
     own that link with each other. A null vec_id has no links, is kept, and its
-    component is null. An empty table gives no rows; other columns are ignored.
+    component is null. Vectors that share a vec_id are vectors of their own too;
+    each may reach a component by itself. An empty table gives no rows; other
+    columns are ignored.
     """
     epsilon = math.sqrt(2 - 2 * cosine)
     # Floats stay floats where they are sent; all arithmetic is in double precision.
     embedding = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), embedding.alias("embedding"))
-    nodes = stash(rows.where(_is_comparable()).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "vectors")
+    distinct = rows.where(_is_comparable()).groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    nodes = stash(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")  # a vec_id may stand for several vectors
     shared = nodes.sparkSession.sparkContext.broadcast(principal_axes(nodes))
     blocks = stash(_blocks(nodes, shared, epsilon), "blocks")
     pairs = stash(_block_pairs(blocks, epsilon), "block-pairs")
@@ -357,10 +361,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     found = stash(_links(candidates, nodes, shared, epsilon, cosine), "vector-links")
     classes = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    resolved = stash(
-        nodes.join(links, "node", "left").join(classes, "node", "left").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root")),
-        "vector-classes",
+    rooted = stash(
+        nodes.join(links, "node", "left").join(classes, "node", "left").select("label", "embedding", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root")),
+        "vector-roots",
     )
-    usable = rows.where(_is_comparable()).join(resolved, ["label", "embedding"]).select("vec_id", F.col("n").alias("n_links"), F.col("root").alias("component_id"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    resolved = stash(rooted.drop("least").join(least, "root").drop("root"), "vector-classes")
+    usable = rows.where(_is_comparable()).join(resolved, ["label", "embedding"]).select("vec_id", F.col("n").alias("n_links"), "component_id")
     alone = rows.where(~_is_comparable())
     return usable.unionByName(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
