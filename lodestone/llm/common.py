@@ -101,7 +101,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     fold, with a label of 0 or 1. The ids are at most ``2 * per_class``, which
     bounds what is broadcast. Repeated labels of a document count once, the
     largest wins; of several texts of one id the least counts. A text that
-    doesn't fit in what is left of the bytes ends its class's sample.
+    doesn't fit in what is left of the bytes is passed over, and texts of more
+    than a sixteenth of them come after all others.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
@@ -113,8 +114,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull()).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    so_far = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")  # of at most per_class rows
-    return found.withColumn("bytes", F.sum(F.octet_length("text")).over(so_far)).where(F.col("bytes") <= class_bytes).select("doc_id", "text", "y")
+    # One list a class, of at most per_class entries without texts, is gone through in order.
+    size, large = F.octet_length("text"), F.octet_length("text") > class_bytes // 16
+    queue = found.groupBy("y").agg(F.sort_array(F.collect_list(F.struct(large.alias("large"), F.xxhash64("doc_id").alias("h"), "doc_id", size.cast("long").alias("size")))).alias("queue"))
+    start = F.struct(F.lit(class_bytes).cast("long").alias("left"), F.array().cast("array<bigint>").alias("taken"))
+    take = lambda a, x: F.when(x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"), F.concat(a["taken"], F.array(x["doc_id"].cast("long"))).alias("taken"))).otherwise(a)
+    taken = queue.select("y", F.explode(F.aggregate("queue", start, take)["taken"]).alias("doc_id"))
+    return found.join(F.broadcast(taken), ["y", "doc_id"], "left_semi").select("doc_id", "text", "y")
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:

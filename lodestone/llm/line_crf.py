@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from lodestone.llm.common import held_out, labelled_sample, quoted
+from lodestone.llm.common import WORD, held_out, labelled_sample, quoted
 
 CHUNK_CHARS = 1 << 20  # characters whose lines are measured together
-CHAIN = 64  # lines of a chain in training; scoring takes whole documents
+LONGEST_CHAIN = 4096  # lines of the longest document that the chain is learned from; scoring takes all
 CELLS = 1 << 20  # of the padded chains that are scored together
 BINS = 8
 
@@ -99,34 +99,43 @@ def _by_characters(joined: str) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack([counts, words, distinct]), _run_hashes(values, starts)
 
 
-def _short_lines(text: str) -> str:
-    """A text whose lines have no more than CHUNK_CHARS characters: longer ones are cut at their last space before that, if there is one."""
-    if len(text) <= CHUNK_CHARS:
-        return text
-    out = []
-    for line in text.split("\n"):
-        while len(line) > CHUNK_CHARS:
-            at = line.rfind(" ", 1, CHUNK_CHARS) + 1 or CHUNK_CHARS
-            out.append(line[:at])
-            line = line[at:]
-        out.append(line)
-    return "\n".join(out)
+def _by_parts(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_by_characters`` finds for one line of any length, from its parts; memory follows a part and the different words."""
+    counts, words, solid_before = np.zeros(9), 0, False
+    total, power = 0, 1
+    for at in range(0, len(line), CHUNK_CHARS):
+        chars = np.frombuffer(line[at : at + CHUNK_CHARS].encode("utf-32-le"), np.uint32)
+        kind = _KINDS[np.minimum(chars, 0x300)]
+        counts += np.bincount(kind, minlength=9)
+        solid = kind != _SPACE
+        words += int((solid & ~np.concatenate([[solid_before], solid[:-1]])).sum())
+        solid_before = bool(solid[-1])
+        values = np.where(solid, chars.astype(np.uint64) + np.uint64(1), np.uint64(0))
+        up, _ = _power_tables(len(values))
+        total = (total + int((values * up[: len(values)]).sum()) * power) % (1 << 64)
+        power = power * pow(int(_P), len(values), 1 << 64) % (1 << 64)
+    distinct = len({hash(m[0]) for m in WORD.finditer(line)})
+    counts[_SPACE] += 1  # the line's end
+    content = total * int(_P_INVERSE) % (1 << 64)
+    return np.array([[*counts, words, distinct]], np.float64), np.array([content ^ (content >> 29)], np.uint64)
 
 
 def measure(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The measures of all lines of some texts, and the number of lines of each text.
 
-    Characters are taken in runs of whole lines, so a very long text costs
-    memory for its lines only. A line of more than CHUNK_CHARS characters counts
-    as several.
+    Characters are taken in runs of whole lines, and a line that is longer than
+    a run in parts, so a very long text costs memory for its lines only.
     """
-    texts = list(map(_short_lines, texts))
     joined = "\n".join(texts) + "\n"
     lines_of = np.array([t.count("\n") + 1 for t in texts], np.int64)
     parts, at = [], 0
     while at < len(joined):
         end = len(joined) if len(joined) - at <= 2 * CHUNK_CHARS else joined.rfind("\n", at, at + 2 * CHUNK_CHARS) + 1
-        parts.append(_by_characters(joined[at:end]))
+        if end:
+            parts.append(_by_characters(joined[at:end]))
+        else:
+            end = joined.index("\n", at) + 1
+            parts.append(_by_parts(joined[at : end - 1]))
         at = end
     table, content = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     counts, words, distinct = table[:, :9], table[:, 9], table[:, 10]
@@ -178,6 +187,11 @@ def _padded(values: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> tupl
     return out, real
 
 
+def _moved(p: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """``p @ move`` for two states, whose digits don't depend on the number of rows."""
+    return np.stack([p[:, 0] * move[0, 0] + p[:, 1] * move[1, 0], p[:, 0] * move[0, 1] + p[:, 1] * move[1, 1]], axis=1)
+
+
 def forward_backward(unary: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(good) of each line and the expected transitions, summed over all chains.
 
@@ -200,11 +214,11 @@ def forward_backward(unary: np.ndarray, lengths: np.ndarray, transition: np.ndar
         ahead, back = np.empty_like(local), np.empty_like(local)
         ahead[:, 0] = local[:, 0]
         for t in range(1, steps):
-            x = (ahead[:, t - 1] @ move) * local[:, t]
+            x = _moved(ahead[:, t - 1], move) * local[:, t]
             ahead[:, t] = np.where(real[:, t, None], x / x.sum(axis=1, keepdims=True), ahead[:, t - 1])
         back[:, -1] = 1
         for t in range(steps - 2, -1, -1):
-            x = (back[:, t + 1] * local[:, t + 1]) @ move.T
+            x = _moved(back[:, t + 1] * local[:, t + 1], move.T)
             back[:, t] = np.where(real[:, t + 1, None], x / x.sum(axis=1, keepdims=True), 1)
         p = ahead * back
         p /= p.sum(axis=2, keepdims=True)
@@ -241,8 +255,8 @@ class Model:
     def quality(self, texts: list[str]) -> np.ndarray:
         """Mean P(good) of each text's lines by their lengths; 0 for texts without words."""
         good, size, lines_of = self.lines(texts)
-        ends = np.concatenate([[0], np.cumsum(lines_of)])
-        total = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[ends])
+        # Each text by itself, so that its score doesn't depend on its neighbours; every text has a line.
+        total = lambda x: np.add.reduceat(x, np.cumsum(lines_of) - lines_of)
         whole = total(size)
         return np.where(whole > 0, total(good * size) / np.maximum(whole, 1), 0.0)
 
@@ -302,9 +316,14 @@ def fit(texts: list[str], labels: list[int], rounds: int = 2, steps: int = 80) -
 
     Lines start with the label of their document. After each round, lines of bad
     documents that the model finds good become good, as a bad document may hold
-    good lines, unless that leaves it without a bad line. Without documents of
-    both classes every score is 0.5.
+    good lines, unless that leaves it without a bad line. Chains are whole
+    documents; those of more than LONGEST_CHAIN lines are passed over where
+    shorter ones of both classes are there. Without documents of both classes
+    every score is 0.5.
     """
+    short = [t.count("\n") < LONGEST_CHAIN for t in texts]
+    if {y for y, s in zip(labels, short, strict=True) if s} == {0, 1}:
+        texts, labels = [t for t, s in zip(texts, short, strict=True) if s], [y for y, s in zip(labels, short, strict=True) if s]
     y_doc = np.array(labels, np.float64)
     empty = Model(np.zeros((_CHARS, BINS - 1)), np.zeros(3 * _CHARS * (BINS + 1)), np.zeros((2, 2)), 0.0, 0.0)
     if not texts or y_doc.min() == y_doc.max():
@@ -315,7 +334,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 2, steps: int = 80) -
     model = Model(np.quantile(values, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(values) else empty.cuts, empty.weights.copy(), np.zeros((2, 2)))
     x = _with_neighbours(model.bins(measures[:, :_CHARS]), lines_of)
     owner = np.repeat(np.arange(len(texts)), lines_of)
-    chains = np.concatenate([np.append(np.full(k // CHAIN, CHAIN), k % CHAIN) for k in lines_of])
+    chains = lines_of  # whole documents
     y = y_doc[owner].copy()
     for r in range(rounds):
         _ascend(model, x, y, chains, steps)
@@ -340,8 +359,8 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All columns of ``docs`` with the score as ``name``; a column of that name, in any case, is replaced.
 
     Scores use the text alone. Null and empty texts, and those without words,
-    have the quality 0 and so the lowest score. Repeated rows have equal scores
-    up to rounding; an empty table gives no rows.
+    have the quality 0 and so the lowest score. Repeated rows have equal scores;
+    a text or line of any length is scored whole; an empty table gives no rows.
     """
     own = [c for c in docs.columns if c.lower() != name.lower()]
     plain = docs.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(own)))  # names may hold dots

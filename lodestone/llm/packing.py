@@ -27,10 +27,10 @@ from lodestone.llm.common import stash
 class Counts:
     """How many pieces of each length are left, and the sums that one, two and three of them make.
 
-    Singles are looked up by their length. The pairs are indexed by their sum
-    once; as counts only fall, a pair that can't be taken any more is never
-    looked at again. A triple sum is a single with a pair sum; sums that no
-    triple makes any more are remembered.
+    Singles are looked up by their length, pairs and triples by their sums. The
+    index of pairs is made at once; that of triples holds for a sum the parts
+    that some pair completes, and is made for a sum when it is asked for first.
+    As counts only fall, what can't be taken any more leaves both for good.
     """
 
     def __init__(self, histogram: dict[int, int], capacity: int):
@@ -48,7 +48,7 @@ class Counts:
         self.larger, self.smaller = a[order], b[order]
         ends = np.searchsorted((a + b)[order], np.arange(capacity + 2))
         self.next, self.end = ends[:-1].tolist(), ends[1:].tolist()
-        self.no_triple: set[int] = set()
+        self.triple_parts: dict[int, list[int]] = {}  # of a sum, the largest first
 
     def take(self, pattern: tuple[int, ...], times: int) -> None:
         for n in pattern:
@@ -78,6 +78,24 @@ class Counts:
             elif first:
                 self.next[total] = at
 
+    def triples(self, total: int) -> Iterator[tuple[int, int, int]]:
+        """Triples of a sum that the counts allow by themselves, the largest first part first; it is a third at least."""
+        parts = self.triple_parts.get(total)
+        if parts is None:
+            parts = [a for a in reversed(self.lengths[: bisect_right(self.lengths, total - 2)]) if 3 * a >= total]
+        alive = []
+        self.triple_parts[total] = alive
+        for k, a in enumerate(parts):
+            some = False
+            for b, c in self.pairs(total - a) if a in self.left else ():
+                if self.times((a, b, c)):
+                    if not some:
+                        some = True
+                        alive.append(a)
+                        self.triple_parts[total] = alive + parts[k + 1 :]  # in case nobody asks for more
+                    yield a, b, c
+        self.triple_parts[total] = alive
+
     def exact(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
         """One, two or three lengths that sum up to a gap and are left besides those held."""
         if self.times((*held, gap)):
@@ -85,18 +103,9 @@ class Counts:
         for pair in self.pairs(gap):
             if self.times((*held, *pair)):
                 return pair
-        if gap in self.no_triple:
-            return None
-        alone = False
-        for a in reversed(self.lengths[: bisect_right(self.lengths, gap - 2)]):
-            if 3 * a < gap:
-                break  # a triple's largest part is a third at least
-            for b, c in self.pairs(gap - a):
-                alone = alone or self.times((a, b, c)) > 0
-                if self.times((*held, a, b, c)):
-                    return a, b, c
-        if not alone:
-            self.no_triple.add(gap)
+        for triple in self.triples(gap):
+            if self.times((*held, *triple)):
+                return triple
         return None
 
 

@@ -130,11 +130,12 @@ class Lookup:
     as an array of unsigned 32-bit integers. ``begins`` is one of the two rules
     above. What is held is bounded: the table, the ids and the longer
     pre-tokens, by their bytes. All is forgotten between two chunks when a
-    bound is met.
+    bound is met, but for ``known``, pre-tokens that the table holds from the
+    beginning.
     """
 
-    def __init__(self, begins: Callable, keep_space: bool, encode: Callable[[list[bytes]], list[np.ndarray]], slots: int = SLOTS):
-        self.begins, self.keep_space, self.encode = begins, keep_space, encode
+    def __init__(self, begins: Callable, keep_space: bool, encode: Callable[[list[bytes]], list[np.ndarray]], slots: int = SLOTS, known: list[bytes] = ()):
+        self.begins, self.keep_space, self.encode, self.known = begins, keep_space, encode, list(known)
         self.shift, self.mask = np.uint64(64 - (slots.bit_length() - 1)), slots - 1
         self.forget()
 
@@ -144,6 +145,12 @@ class Lookup:
         self.flat, self.used, self.n = np.zeros(1 << 16, np.uint32), 0, 0
         self.long: dict[bytes, tuple[int, int]] = {}
         self.long_bytes = 0
+        if short := [w for w in self.known if 0 < len(w) <= SHORT]:
+            keys = np.frombuffer(b"".join(w.ljust(15, b"\0") + bytes([len(w)]) for w in short), np.uint64).reshape(-1, 2)
+            self._learn(np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1]))
+        if longer := [w for w in self.known if len(w) > SHORT]:
+            ends = np.cumsum([len(w) for w in longer])
+            self._learn_long(b"".join(longer), np.concatenate([[0], ends[:-1]]), ends)
 
     def _append(self, ids: np.ndarray) -> tuple[int, int]:
         start, end = self.used, self.used + len(ids)

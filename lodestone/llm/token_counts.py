@@ -35,12 +35,14 @@ _counters: dict[str, tuple[Vocabulary, pretokens.Lookup]] = {}
 def _counter(path: str, whole: frozenset[bytes]) -> tuple[Vocabulary, pretokens.Lookup]:
     """One vocabulary and table of pre-tokens for each worker process.
 
-    A proven whole token stands for itself; anything else is merged.
+    The table holds the proven whole tokens before any text is read, so that a
+    pre-token which is one is matched and counted directly; what the table lacks
+    is merged, and then kept in it beside them.
     """
     if path not in _counters:
         vocabulary = Vocabulary(path)
         encode = lambda pieces: [np.array([vocabulary.ids[p]] if p in whole else vocabulary.merge(p), np.uint32) for p in pieces]
-        _counters[path] = vocabulary, pretokens.Lookup(pretokens.with_leading_space, True, encode)
+        _counters[path] = vocabulary, pretokens.Lookup(pretokens.with_leading_space, True, encode, known=sorted(whole))
     return _counters[path]
 
 
@@ -48,9 +50,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """Tokens of each whole text; one row per document.
 
     Returns doc_id, n_bytes (of the UTF-8 text), n_tokens and over_limit
-    (n_tokens > ``limit``). A null text counts as empty. Special strings inside
-    a text count as one token each. What is broadcast is the set of whole
-    tokens, bounded by the vocabulary.
+    (n_tokens > ``limit``). A null text counts as empty, an empty one has no
+    tokens, and a text of any length is counted whole. Special strings inside a
+    text count as one token each. Repeated rows are counted each by itself, a
+    null doc_id stays null, an empty table gives no rows and other columns are
+    ignored. What is broadcast is the set of whole tokens, bounded by the
+    vocabulary.
     """
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(Vocabulary(path)))
 

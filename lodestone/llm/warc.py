@@ -232,11 +232,12 @@ def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> Dat
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to. A
     null html is an empty payload and a null url an empty target; characters
     that no header line can hold are percent-encoded. Repeated rows make a
-    record each, an empty table none, and other columns are ignored.
+    record each, an empty table none, and other columns are ignored. A payload
+    of any length is written and read in pieces.
     """
     folder = fresh_path(spark, "warc")
     written = stash(write_archives(with_revisits(pages, min_bytes), folder), "archives")
     n = written.count()
-    # One archive a task: the list holds a row for each partition written.
-    spread = written.repartition(max(1, n), F.xxhash64("name")) if n else written
+    # One archive a task: the list holds a row for each partition written, dealt out by ranges of their names.
+    spread = written.repartitionByRange(n, "name") if n else written
     return read_archives(spread, folder)

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -330,3 +331,59 @@ def test_pipeline(spark):
     judged = [labels[r["doc_id"]] for r in corpus_pipeline.quality_classifier(spark, docs, SF).collect() if r["doc_id"] in labels]
     assert judged.count(0) <= 0.1 * list(labels.values()).count(0)
     assert judged.count(1) >= 0.98 * list(labels.values()).count(1)
+
+
+def test_a_line_of_any_length_is_one_line(monkeypatch):
+    dice = random.Random(6)
+    line = " ".join(dice.choice(["alpha", "beta|", "x" * 90, "9.", "é!"]) for _ in range(300))
+    texts = [f"one\n{line}\n{line}\ntwo\n{line} ", line, "x" * 500, line + "\n" + "y" * 700]
+    whole = line_crf.measure(texts)
+    monkeypatch.setattr(line_crf, "CHUNK_CHARS", 64)
+    monkeypatch.setattr(line_crf, "_powers", {})
+    parts = line_crf.measure(texts)
+    assert np.array_equal(whole[0], parts[0]) and whole[1].tolist() == parts[1].tolist() == [5, 1, 1, 2]
+
+
+def test_scores_do_not_depend_on_neighbours():
+    dice = random.Random(7)
+    text = lambda: "\n".join(" ".join("".join(dice.choices("abc|!. A9", k=6)) for _ in range(dice.randrange(9))) for _ in range(dice.randrange(1, 30)))
+    texts = [text() for _ in range(300)]
+    model = line_crf.fit(texts[:60], [i % 2 for i in range(60)])
+    together, alone = model.scores(texts), np.concatenate([model.scores([t]) for t in texts])
+    assert together.tolist() == alone.tolist()
+
+
+def test_a_chain_is_a_whole_document(monkeypatch):
+    texts, labels = ["good text here. It goes on.\n" * 3] * 6 + ["x | y | z\n" * 3] * 6, [1] * 6 + [0] * 6
+    plain = line_crf.fit(texts, labels)
+    monkeypatch.setattr(line_crf, "LONGEST_CHAIN", 10)
+    longer = line_crf.fit([*texts, "x | y\n" * 500], [*labels, 1])  # passed over
+    assert longer.weights.tolist() == plain.weights.tolist()
+    only = line_crf.fit(["good text.\n" * 50, "x | y\n" * 50], [1, 0])  # none is short
+    assert only.learned
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    from lodestone.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i, "x" * (5000 if i in (0, 1) else 10)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    free = labelled_sample(docs, labels, "quality", 40).count()
+    rows = labelled_sample(docs, labels, "quality", 40, class_bytes=4000).collect()
+    assert len(rows) == free - sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in (0, 1))
+    assert sum(len(r["text"]) for r in labelled_sample(docs, labels, "quality", 40, class_bytes=5100).collect() if r["y"] == 0) <= 5100
+
+
+def links_of(spark, rows):
+    found = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()
+    return sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found)
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 1), (1, [1.0, 0.0, 0.0], 2), (9, [0.0, 2.0, 0.0], 2)]
+    assert links_of(spark, rows) == [(1, 0, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (9, 0, 9, True)]
+
+
+def test_vectors_at_the_ends_of_their_range(spark):
+    rows = [(1, [1e160, 1e160], 0), (2, [1e160, 1.01e160], 0), (3, [5e-324, 0.0], 0), (4, [1e-170, 0.0], 0), (5, [0.0, 0.0], 0), (6, [math.inf, 1.0], 0), (7, [1.7e308, 1.7e308], 0)]
+    assert links_of(spark, rows) == [(1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True), (7, 2, 1, False)]
