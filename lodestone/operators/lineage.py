@@ -1,23 +1,29 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and the folder that all machines share."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder, so that a lost executor costs a read only.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share.
 
-    The folder is ``spark.checkpoint.dir``. Where it is unset, as in tests on one
-    machine, a local one is set; a cluster without one raises.
+    Where it is unset, as in tests on one machine, a local one is set; a cluster
+    without one raises.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         given = context.getConf().get("spark.checkpoint.dir", None)
         if not given and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="lodestone-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, so that a lost executor costs a read only."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +33,19 @@ def sessions(df: DataFrame, keys: list[str], order: list[Column], start: Column,
     return df.withColumn("_opens", opens).withColumn(name, F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
 
-def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", buckets: int = 256) -> DataFrame:
+RANGE = 100_000  # rows that one task ranks
+
+
+def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", rows: int | None = None) -> DataFrame:
     """0-based rank by ``score`` descending, then ``tie``, without one task for all rows.
 
     Rows are dealt out by ranges of the order, which ties of the score don't hold
     together as the tie is a part of it; each range is numbered by itself and
     starts where the ones before it end. A count for each range comes together.
+    ``rows`` is their number, if it is known, from which that of the ranges follows.
     """
     order = [F.desc(score), F.asc(tie)]
+    buckets = max(1, -(-(df.count() if rows is None else rows) // RANGE))
     dealt = cut(df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("_bucket", F.spark_partition_id()))
     counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -49,11 +56,13 @@ def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", buckets
 
 def levels(df: DataFrame, score: str, tie: str, high: float = 0.1, medium: float = 0.35) -> DataFrame:
     """Adds ``level``: among positive scores the first ceil(high n) are high, up to ceil(medium n) medium, the rest low."""
-    positive = df.where(F.col(score) > 0)
-    ranked = global_rank(positive, score, tie).join(F.broadcast(positive.agg(F.count("*").alias("_n"))))  # one row
-    share = lambda x: F.ceil(F.col("_n") * F.lit(float(x)))
+    scored = cut(df)  # read for the number of positive scores, for their ranges and for the rest
+    positive = scored.where(F.col(score) > 0)
+    n = positive.count()
+    ranked = global_rank(positive, score, tie, rows=n)
+    share = lambda x: F.lit(math.ceil(n * x))
     level = F.when(F.col("rank") < share(high), "high").when(F.col("rank") < share(medium), "medium").otherwise("low")
-    return ranked.withColumn("level", level).drop("rank", "_n").unionByName(df.where(~(F.coalesce(F.col(score), F.lit(0)) > 0)).withColumn("level", F.lit("low")))
+    return ranked.withColumn("level", level).drop("rank").unionByName(scored.where(~(F.coalesce(F.col(score), F.lit(0)) > 0)).withColumn("level", F.lit("low")))
 
 
 def unique_suffix(df: DataFrame, name: str, order: list[Column], out: str) -> DataFrame:

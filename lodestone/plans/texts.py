@@ -132,6 +132,9 @@ def near_copy_norm_key(spark, sf_dir):
 NORM_KEY = "SELECT sha256(trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'))) AS key, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1"
 
 
+MOST_PROBES = 10_000  # hashes that are sent to all texts
+
+
 def quote_in_evidence(spark, sf_dir):
     """Benchmark items quoted in documents, whatever the white space and case; and in how many.
 
@@ -149,7 +152,11 @@ def quote_in_evidence(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", T.squash(F.col("text")).alias("body"))
     words = docs.withColumn("words", F.split("body", " "))
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0))), lambda i: triple(F.col("words"), i))
-    starts = words.select("doc_id", F.explode(F.array_distinct(F.concat(runs, F.transform("words", lambda w: F.xxhash64(w))))).alias("probe"))
+    hashes = words.select("doc_id", F.concat(runs, F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"))
+    asked = items.where("probe IS NOT NULL").select("probe").distinct()
+    if asked.count() <= MOST_PROBES:  # few enough to go along with every text, which then yields what is asked for only
+        hashes = hashes.join(F.broadcast(asked.agg(F.collect_set("probe").alias("asked")))).select("doc_id", F.array_intersect("hashes", "asked").alias("hashes"))
+    starts = hashes.select("doc_id", F.explode(F.array_distinct("hashes")).alias("probe"))
     # Only hashes move; the texts join what is left of them.
     met = starts.join(items.where("probe IS NOT NULL").select("item_id", "quote", "probe"), "probe").drop("probe").join(docs, "doc_id").where(F.expr("contains(body, quote)"))
     short = items.where("probe IS NULL").agg(F.collect_list(F.struct("item_id", "quote")).alias("short"))

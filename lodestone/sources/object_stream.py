@@ -87,7 +87,9 @@ class _Shard(InputPartition):
 
 def _folder(options: dict) -> tuple[fs.FileSystem, str]:
     path = options["path"]
-    return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1) if path.startswith("file:/") else f"file://{path}")
+    if "://" not in path:
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)
 
 
 class _Reader(DataSourceReader):
@@ -197,7 +199,7 @@ def object_id(content: F.Column, kind: str = "blob") -> F.Column:
 
 def blobs(objects: DataFrame) -> DataFrame:
     """(id, text) of the blobs that are there, equal objects once; their bytes are read as UTF-8, with marks for what isn't."""
-    return objects.where("kind = 'blob' AND NOT missing").dropDuplicates(["id"]).select("id", F.decode("content", "UTF-8").alias("text"))
+    return objects.where("kind = 'blob' AND NOT missing").dropDuplicates(["id"]).select("id", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def missing(objects: DataFrame, wanted: DataFrame) -> DataFrame:
