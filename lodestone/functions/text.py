@@ -17,11 +17,6 @@ LANGUAGES = {
 NAMES = {"CMakeLists.txt": "cmake", "Makefile": "make", "makefile": "make"}
 
 
-def ascii_words(pattern: str) -> str:
-    """A pattern between ASCII word boundaries: Java's own take accented letters for word characters."""
-    return rf"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
-
-
 def portable(pattern: str) -> str:
     """A pattern whose word boundaries are ASCII and whose white space outside of classes is Unicode's, whatever Java takes for them."""
     word, space = "[A-Za-z0-9_]", r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -31,12 +26,9 @@ def portable(pattern: str) -> str:
 
 
 # Words of commit messages that mark fixes, hardware or timing reasons, and reverts.
-BUGFIX = r"fix(?:e[sd]|ing)?|bugs?|bugfix|hotfix|regression|crash(?:es|ed)?|broken|wrong|incorrect"
-RATIONALE = (
-    r"errat(?:a|um)|silicon|work[- ]?arounds?|quirks?|chip rev\w*|revision|glitch(?:es)?|spurious|races?|timing|timeouts?|delays?|reset|retry|retries|hangs?|"
-    r"datasheet|undocumented|anomal\w*|alignment|corrupt\w*|bad data|seen on"
-)
-REVERT = r"revert(?:s|ed|ing)?"
+BUGFIX = r"\b(fix(e[sd]|ing)?|bugs?|bugfix|hotfix|regression|crash(es|ed)?|broken|wrong|incorrect)\b"
+RATIONALE = r"\b(errat(a|um)|silicon|work[- ]?arounds?|quirks?|chip rev\w*|revision|glitch(es)?|spurious|races?|timing|timeouts?|delays?|reset|retry|retries|hangs?|datasheet|undocumented|anomal\w*|alignment|corrupt\w*|bad data|seen on)\b"
+REVERT = r"\brevert(s|ed|ing)?\b"
 
 
 def basename(path: Column) -> Column:
@@ -135,9 +127,9 @@ def message_flags(message: Column) -> dict[str, Column]:
     of = F.regexp_extract(message, r"(?i)This reverts commit ([0-9a-f]{7,40})", 1)
     refs = F.regexp_extract_all(message, F.lit(r"(?:^|[\s(,])#(\d{1,6})(?![A-Za-z0-9_])"), 1)
     return {
-        "bugfix": F.rlike(message, F.lit("(?i)" + ascii_words(BUGFIX))),
-        "rationale": F.rlike(message, F.lit("(?i)" + ascii_words(RATIONALE))),
-        "revert": (of != "") | F.rlike(subject(message), F.lit("(?i)" + ascii_words(REVERT))),
+        "bugfix": F.rlike(message, F.lit("(?i)" + portable(BUGFIX))),
+        "rationale": F.rlike(message, F.lit("(?i)" + portable(RATIONALE))),
+        "revert": (of != "") | F.rlike(subject(message), F.lit("(?i)" + portable(REVERT))),
         "revert_of": F.when(of != "", of),
         "refs": F.transform(F.array_distinct(refs), lambda r: r.cast("int")),
     }
@@ -186,5 +178,46 @@ def without_prefix(text: Column, prefix: Column) -> Column:
 
 
 def percentage(share: Column) -> Column:
-    """A share as a label: whole per cent, and ``<1%`` for less than one that isn't none."""
-    return F.when((share > 0) & (share < 0.01), "<1%").otherwise(F.concat(F.round(share * 100).cast("int").cast("string"), F.lit("%")))
+    """A share as a label: per cent, with a decimal below ten unless it is 0, and ``<1%`` for less than one that isn't none."""
+    per_cent = share * 100
+    small = F.concat(F.regexp_replace(F.format_string("%.1f", per_cent), r"\.0$", ""), F.lit("%"))
+    return F.when(per_cent == 0, "0%").when(per_cent < 1, "<1%").when(per_cent < 10, small).otherwise(F.concat(F.floor(per_cent + 0.5).cast("string"), F.lit("%")))
+
+
+# Units of relative times, their seconds, their names for one and more, and words for one unit before and after.
+UNITS = (
+    (31_536_000, "yr.", "yr.", "last yr.", "next yr."), (2_592_000, "mo.", "mo.", "last mo.", "next mo."), (604_800, "wk.", "wk.", "last wk.", "next wk."),
+    (86_400, "day", "days", "yesterday", "tomorrow"), (3_600, "hr.", "hr.", None, None), (60, "min.", "min.", None, None),
+)
+# Constants of the 32-bit generator.
+STEP32, MASK32 = 0x6D2B79F5, 0xFFFFFFFF
+
+
+def ago(at: Column, now: Column) -> Column:
+    """How long a time lies before now, or after, in the largest unit that it fills; empty for none."""
+    seconds = F.unix_timestamp(at) - F.unix_timestamp(now)
+    told = None
+    for size, one, more, before, after in UNITS:
+        n = F.floor(seconds / F.lit(float(size)) + 0.5)
+        count = F.abs(n)
+        amount = F.concat(count.cast("string"), F.lit(" "), F.when(count == 1, one).otherwise(more))
+        label = F.when(n < 0, F.concat(amount, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), amount))
+        if before:
+            label = F.when(n == -1, before).when(n == 1, after).otherwise(label)
+        told = F.when(F.abs(seconds) >= size, label) if told is None else told.when(F.abs(seconds) >= size, label)
+    return F.when(at.isNull(), "").otherwise(told.otherwise("just now"))
+
+
+def random32(seed: int, n: Column) -> Column:
+    """The n-th number (from 1) of the 32-bit generator that starts with a seed: at least 0, below 1."""
+    wrap = lambda x: x.bitwiseAND(F.lit(MASK32))
+    right = lambda x, k: F.shiftright(x, k)  # noqa: E731  of numbers that aren't negative
+
+    def times(a: Column, b: Column) -> Column:  # in halves, as the whole product may not fit
+        low, high = b.bitwiseAND(F.lit(0xFFFF)), right(b, 16)
+        return wrap(a * low + F.shiftleft((a * high).bitwiseAND(F.lit(0xFFFF)), 16))
+
+    state = wrap(F.lit(seed & MASK32).cast("long") + times(F.lit(STEP32).cast("long"), wrap(n.cast("long"))))
+    t = times(state.bitwiseXOR(right(state, 15)), state.bitwiseOR(F.lit(1)))
+    t = wrap(t + times(t.bitwiseXOR(right(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseXOR(t)
+    return t.bitwiseXOR(right(t, 14)) / F.lit(4294967296.0)

@@ -60,6 +60,7 @@ def validate(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     at = at.withColumn("unquoted", F.col("quote").isNotNull() & ~F.coalesce("quoted", F.lit(False)))
     at = at.withColumn("n", F.when(F.col("unquoted"), 0).otherwise(F.coalesce("valid", F.lit(0))))
     at = at.withColumn("r1", F.when(F.col("unquoted") & (F.col("r0") == 3), 2).otherwise(F.col("r0")))
+    # The wording of reasons.
     why = (
         F.when(F.col("r1") < 3, None)
         .when(F.col("basis") == "inference", "basis is inference")

@@ -36,6 +36,7 @@ def finding_claims(hunks: DataFrame, comments: DataFrame, contracts: DataFrame,
     A review whose changes are all of another class than code changes no
     behaviour: it has one mild finding, and gaps and missing tests don't matter.
     """
+    # The wording of titles.
     strong = F.col("strong") > 0
     told = F.when(strong, "Alters code with an explicit workaround history (").otherwise("Alters code with bug-fix history (")
     history = _claims(hunks.where("strong + weak > 0"), 1, F.when(strong, "STOP").otherwise("DANGEROUS"), F.concat(told, F.coalesce("subject", F.lit("")), F.lit(")")), _place("path", "line"), True)

@@ -106,10 +106,9 @@ def message_classify(spark, sf_dir):
     )
 
 
-_B = r"\b(?:{})\b"
 CLASSIFY = f"""WITH m AS (SELECT conv_id, turn, text, regexp_replace(regexp_replace(string_split(text, chr(10))[1], '^\\s+', ''), '\\s+$', '') AS subject FROM conversations WHERE text IS NOT NULL)
-SELECT conv_id, turn, subject, regexp_matches(text, '(?i){_B.format(T.BUGFIX)}') AS bugfix, regexp_matches(text, '(?i){_B.format(T.RATIONALE)}') AS rationale,
-regexp_extract(text, '(?i)This reverts commit ([0-9a-f]{{7,40}})', 1) <> '' OR regexp_matches(subject, '(?i){_B.format(T.REVERT)}') AS revert,
+SELECT conv_id, turn, subject, regexp_matches(text, '(?i){T.BUGFIX}') AS bugfix, regexp_matches(text, '(?i){T.RATIONALE}') AS rationale,
+regexp_extract(text, '(?i)This reverts commit ([0-9a-f]{{7,40}})', 1) <> '' OR regexp_matches(subject, '(?i){T.REVERT}') AS revert,
 len(list_distinct(regexp_extract_all(text, '(?:^|[\\s(,])#(\\d{{1,6}})\\b', 1))) AS refs FROM m"""
 
 
