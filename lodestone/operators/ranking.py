@@ -71,7 +71,7 @@ def unique_suffix(df: DataFrame, name: str, order: list[Column], out: str) -> Da
     return df.withColumn("_at", at).withColumn(out, F.when(F.col("_at") == 1, F.col(name)).otherwise(F.concat(name, F.lit("~"), F.col("_at").cast("string")))).drop("_at")
 
 
-def latest_with_others(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The first row of each key in an order, with the number of its other rows."""
-    w = Window.partitionBy(key)
-    return df.withColumn("others", F.count("*").over(w) - 1).withColumn("_at", F.row_number().over(w.orderBy(*order))).where("_at = 1").drop("_at")
+def latest_with_others(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The last row of each key by some columns, with the number of its other rows; summed up before rows move."""
+    last = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_last"), (F.count("*") - 1).alias("others"))
+    return last.select(*(F.col(f"_last.{c}").alias(c) for c in df.columns), "others")

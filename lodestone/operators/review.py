@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -87,5 +87,5 @@ def severity_order(findings: DataFrame, ranks: dict[str, int], by: str, tie: lis
 
 def latest_review(reviews: DataFrame) -> DataFrame:
     """Of the reviews of each change request the last one: all columns, by repo and number."""
-    at = F.row_number().over(Window.partitionBy("repo", "number").orderBy(F.desc("at"), F.desc("review_id")))
-    return reviews.withColumn("nth", at).where("nth = 1").drop("nth")
+    last = reviews.groupBy("repo", "number").agg(F.max_by(F.struct(*reviews.columns), F.struct("at", "review_id")).alias("r"))
+    return last.select("r.*")

@@ -198,7 +198,7 @@ REGISTER = "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >
 
 def latest_per_group_with_others(spark, sf_dir):
     """The last order of each customer and how many others there are."""
-    return ranking.latest_with_others(table(spark, sf_dir, "orders"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "others")
+    return ranking.latest_with_others(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "others")
 
 
 LATEST = """SELECT o_custkey, o_orderkey, n - 1 AS others FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n,

@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -40,3 +42,12 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalogue.QUERIES) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("missing", ["zstandard", "lodestone.llm.catalogue", "corpus_pipeline"])
+def test_queries_without_what_may_be_missing(missing):
+    """A module that isn't there, or what it needs, takes its own queries away and no others."""
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(*e.queries())"
+    found = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True, check=True).stdout.split()
+    assert set(catalogue.QUERIES) <= set(found) and "pipeline" not in found
+    assert missing == "corpus_pipeline" or not any(q.startswith("op1") for q in found)
