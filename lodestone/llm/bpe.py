@@ -213,7 +213,8 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFra
     Returns doc_id, n_tokens, ids_sha256 and decoded_sha256, and with
     ``keep_ids`` also the ids and the decoded text. A null text counts as
     empty: no token, the hash of nothing. Ids that are null or repeated are
-    kept as they are, other columns are ignored.
+    kept as they are, a text of any length is encoded whole, an empty table
+    gives no rows and other columns are ignored.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * keep_ids
 

@@ -20,10 +20,9 @@ WINDOW = 8  # words of a repeated passage
 
 
 def _repeated_words(hashes: F.Column) -> F.Column:
-    """Words inside windows of WINDOW words that occur twice or more, first included.
+    """A hash of every window of WINDOW words, by which those that occur twice or more are found.
 
-    ``hashes`` holds a hash for each word. Only texts with a repeated window pay
-    for the search of its places.
+    ``hashes`` holds a hash for each word.
     """
     n = F.size(hashes)
     windows = F.when(
@@ -234,8 +233,10 @@ def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 def apply(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """All columns of ``docs`` with the statistics, base_failed and kept.
 
-    A null or empty text has no words and fails the base test. Repeated rows
-    are judged each on their own; an empty table gives no rows. Columns of
+    A null or empty text has no words and fails the base test; one of any length
+    is judged whole. Repeated rows are judged each on their own; an empty table
+    gives no rows. Labels of one class teach no rule, and the base test alone
+    judges. Columns of
     ``docs`` that have one of the added names, in any case, are replaced; all
     others come through, whatever their names.
     """

@@ -269,9 +269,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = 2000, window: in
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 2000) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
-    Scores use the text alone, all windows of it. Null and empty texts, and
-    those without words, have no window and the lowest score. Repeated rows have
-    equal scores; an empty table gives no rows; other columns are ignored.
+    Scores use the text alone, all windows of it, whatever its length. Null and
+    empty texts, and those without words, have no window and the lowest score.
+    Repeated rows have equal scores; a null doc_id stays null and is not held
+    out; an empty table gives no rows; other columns are ignored. Where the
+    labels hold one class only, or none, nothing is learned and all documents
+    score alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, per_class))  # two dictionaries of fixed size
 

@@ -387,3 +387,32 @@ def test_vectors_that_share_an_id(spark):
 def test_vectors_at_the_ends_of_their_range(spark):
     rows = [(1, [1e160, 1e160], 0), (2, [1e160, 1.01e160], 0), (3, [5e-324, 0.0], 0), (4, [1e-170, 0.0], 0), (5, [0.0, 0.0], 0), (6, [math.inf, 1.0], 0), (7, [1.7e308, 1.7e308], 0)]
     assert links_of(spark, rows) == [(1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True), (7, 2, 1, False)]
+
+
+@pytest.mark.parametrize("value", [0, 1])
+def test_labels_of_one_class_teach_nothing(spark, value):
+    from lodestone.llm import rules
+
+    docs = spark.createDataFrame([(i, f"plain words number {i} " * 10, "x") for i in range(60)] + [(None, "word " * 40, "y"), (99, "word " * 100_000, "z")], "doc_id long, text string, SCORE string")
+    labels = spark.createDataFrame([(i, value, value) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert rules.learn_from(docs, labels) == []
+    assert rules.apply(docs, []).where("kept <> NOT base_failed").count() == 0
+    for run in (line_crf.classify, toxicity.classify):
+        found = run(docs, labels).collect()
+        assert len(found) == 62 and all(0 <= r["score"] <= 1 for r in found)
+        assert [r["held_out"] for r in found if r["doc_id"] is None] == [False]
+
+
+def test_the_list_of_rules_in_spark_and_by_hand(spark):
+    from lodestone.llm import rules
+
+    dice = random.Random(12)
+    texts = [" ".join("".join(dice.choices("abcde|!#A", k=dice.randrange(1, 9))) for _ in range(dice.randrange(20, 60))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    measured = [r.asDict() for r in rules.base_statistics(docs).select("row.doc_id", "n_words", "n_repeat_words", "m.*").collect()]
+    names = [m for m in rules.MEASURES if m in measured[0]]
+    middle = {m: sorted(r[m] for r in measured)[60] for m in names}
+    learned = [tuple(rules.Test(m, dice.random() < 0.5, float(middle[m])) for m in dice.sample(names, k)) for k in (3, 2, 3, 1)]
+    want = {r["doc_id"]: not (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) and not any(all(t.holds(r) for t in rule) for rule in learned) for r in measured}
+    found = {r["doc_id"]: r["kept"] for r in rules.apply(docs, learned).collect()}
+    assert found == want and 5 < sum(want.values()) < 115
