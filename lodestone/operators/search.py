@@ -54,14 +54,16 @@ def search(queries: DataFrame, hays: DataFrame, most: int = MOST_HITS) -> DataFr
     texts that may match and never all pairs. Hits that tie come in the order of
     kinds and places. A query without words, or without a hit, has no rows.
     """
-    asked = queries.select("query_id", F.explode(words(F.col("query"))).alias("word")).withColumn("gram", F.left("word", F.lit(GRAM)))
+    asked = queries.select("query_id", F.explode(words(F.col("query"))).alias("word"))
+    distinct = asked.select("word", F.left("word", F.lit(GRAM)).alias("gram")).distinct()  # many queries ask for the same words
     grams = F.when(F.length("hay") >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("hay") - (GRAM - 1)), lambda i: F.substring(F.col("hay"), i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
     held = hays.withColumn("grams", grams)
-    wanted = asked.select("gram").distinct()
+    wanted = distinct.select("gram").distinct()
     if wanted.count() <= MOST_GRAMS:
         held = held.join(F.broadcast(wanted.agg(F.collect_set("gram").alias("wanted")))).withColumn("grams", F.array_intersect("grams", "wanted")).drop("wanted")
-    met = held.withColumn("gram", F.explode("grams")).drop("grams").join(asked, "gram").where(F.expr("contains(hay, word)"))
+    met = held.withColumn("gram", F.explode("grams")).drop("grams").join(distinct, "gram").where(F.expr("contains(hay, word)"))
     times = (F.length("hay") - F.length(F.replace("hay", F.col("word"), F.lit("")))) / F.length("word")
-    scored = met.groupBy("query_id", "step", "nth", "line", "factor", "bonus").agg(F.sum(F.lit(1.0) + (times - 1) * AGAIN).alias("points"))
+    pointed = met.select("word", "step", "nth", "line", "factor", "bonus", (F.lit(1.0) + (times - 1) * AGAIN).alias("points"))
+    scored = pointed.join(asked, "word").groupBy("query_id", "step", "nth", "line", "factor", "bonus").agg(F.sum("points").alias("points"))
     ranked = scored.withColumn("score", F.round(F.col("points") * F.col("factor") + F.col("bonus"), 9))
     return top_per_key(ranked, ["query_id"], [F.desc("score"), F.asc("step"), F.asc("nth")], most, "place").select("query_id", "place", "score", "line")
