@@ -40,7 +40,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drops documents that the base test or a learned rule rejects.
 
     The rules are learned on the raw table: what the stage before left holds too
-    few bad documents to learn from. Null and empty texts fail the base test.
+    few bad documents to learn from. Null and empty texts fail the base test; a
+    null doc_id changes nothing, and repeated rows are judged each by itself.
     """
     learned = rules.learn_from(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rules.keep(docs, learned)
@@ -65,7 +66,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of at most 4096 tokens; every row is packed."""
+    """Packs the documents into sequences of at most 4096 tokens; every row is packed.
+
+    A null doc_id stays null, and rows that repeat are packed each by itself; a
+    null or empty text is one piece, of the end token alone.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
