@@ -36,16 +36,17 @@ def sessions(df: DataFrame, keys: list[str], order: list[Column], start: Column,
 RANGE = 100_000  # rows that one task ranks
 
 
-def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", rows: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, score: str, tie: str, name: str = "rank", buckets: int | None = None, rows: int | None = None) -> DataFrame:
     """0-based rank by ``score`` descending, then ``tie``, without one task for all rows.
 
     Rows are dealt out by ranges of the order, which ties of the score don't hold
     together as the tie is a part of it; each range is numbered by itself and
     starts where the ones before it end. A count for each range comes together.
-    ``rows`` is their number, if it is known, from which that of the ranges follows.
+    The number of ranges follows that of the ``rows``, which are counted if that
+    isn't known, unless ``buckets`` says how many there are.
     """
     order = [F.desc(score), F.asc(tie)]
-    buckets = max(1, -(-(df.count() if rows is None else rows) // RANGE))
+    buckets = buckets or max(1, -(-(df.count() if rows is None else rows) // RANGE))
     dealt = cut(df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("_bucket", F.spark_partition_id()))
     counts = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,5 +1,7 @@
 """Reach, impact, claims, components, changes, reviews, control tables and streams on small inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +179,32 @@ def test_streams(spark, tmp_path):
         query = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         query.awaitTermination(60)
         assert sorted(r["n"] for r in spark.table(name).collect()) == [1, 2]
+
+
+def modularity(links, of):
+    degree, inside = {}, 0.0
+    for (a, b), w in links.items():
+        degree[a], degree[b] = degree.get(a, 0) + w, degree.get(b, 0) + w
+        inside += 2 * w * (of[a] == of[b])
+    both, total = sum(degree.values()), {}
+    for v, d in degree.items():
+        total[of[v]] = total.get(of[v], 0) + d
+    return inside / both - sum((t / both) ** 2 for t in total.values())
+
+
+def partitions(n, so_far=(), k=0):
+    if len(so_far) == n:
+        yield so_far
+        return
+    for c in range(k + 1):
+        yield from partitions(n, (*so_far, c), max(k, c + 1))
+
+
+def test_communities_against_all_partitions():
+    dice = random.Random(1)
+    for _ in range(40):
+        nodes = [f"n{i}" for i in range(dice.randrange(3, 8))]
+        links = {(a, b): float(dice.randrange(1, 6)) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if dice.random() < 0.5}
+        if links:
+            best = max(modularity(links, dict(zip(nodes, p, strict=True))) for p in partitions(len(nodes)))
+            assert modularity(links, components.louvain(links, nodes)) >= max(best - 0.06, 0 if best > 0 else best)
