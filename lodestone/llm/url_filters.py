@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import stash
+
 #: Bytes (as hexadecimal digits) of the digest prefix that expressions and rules are joined on.
 PREFIX_DIGITS = 8
 
@@ -63,28 +65,19 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     table gives no rows, and other columns are ignored.
     """
     host, path = split_url(F.col("url"))
-    # Equal rows share one verdict: they are counted here and spread out again at the end.
-    rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).groupBy("page_id", "url").agg(F.count("*").alias("n"))
-    rows = rows.withColumns({"host": host, "path": path})
+    # Written once with a number for each row, by which the verdicts find their rows again.
+    numbered = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumns({"host": host, "path": path}).drop("url")
+    rows = stash(numbered.withColumn("row", F.monotonically_increasing_id()), "urls")
     shapes = sorted((r["k"], r["m"]) for r in rules.select(F.size(F.split("rule_host", r"\.")).alias("k"), F.length("rule_path").alias("m")).distinct().collect())
+    if not shapes:
+        return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     known = (
         rules.withColumn("digest", _digest(F.col("rule_host"), F.col("rule_path")))
         .withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
         .select("short", "digest", "verdict", F.concat("rule_host", "rule_path").alias("rule"), F.length("rule_host").alias("host_chars"))
     )
-    if not shapes:
-        return _spread(rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}))
-    asked = (
-        rows.withColumn("e", F.explode_outer(expressions(F.col("host"), F.col("path"), shapes)))
-        .withColumn("full", _digest(F.col("e.h"), F.col("e.p")))
-        .withColumn("short", F.substring("full", 1, PREFIX_DIGITS))
-        .drop("e")
-    )
-    met = asked.join(known, "short", "left")
-    fit = F.when(F.col("digest") == F.col("full"), F.struct(F.length("rule").alias("chars"), "host_chars", "verdict", "rule"))
-    best = met.groupBy("page_id", "url", "n", "host", "path").agg(F.max(fit).alias("best"))
-    return _spread(best.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))}))
-
-
-def _spread(found: DataFrame) -> DataFrame:
-    return found.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("page_id", "host", "path", "rule", "verdict")
+    asked = rows.select("row", F.explode(expressions(F.col("host"), F.col("path"), shapes)).alias("e")).select("row", _digest(F.col("e.h"), F.col("e.p")).alias("full"))
+    # Only digests move, and a prefix that very many URLs share is an inner join that Spark splits.
+    met = asked.withColumn("short", F.substring("full", 1, PREFIX_DIGITS)).join(known, "short").where("digest = full")
+    best = met.groupBy("row").agg(F.max(F.struct(F.length("rule").alias("chars"), "host_chars", "verdict", "rule")).alias("best"))
+    return rows.join(best, "row", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
