@@ -201,3 +201,22 @@ def because(reasons: DataFrame, floor: DataFrame) -> DataFrame:
     once = at_floor.groupBy("case_id", "words").agg(F.min("place").alias("place"))
     return once.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "words"))), lambda x: x["words"]).alias("because"))
 
+
+
+def report(candidates: DataFrame, ranges: DataFrame, origins: DataFrame, reverts: DataFrame, floors: DataFrame, snapshot: str) -> DataFrame:
+    """The cards of each snapshot: (snapshot, card_no, guard_id, id, title, verdict, rank, path, start, end, copies).
+
+    ``candidates`` has guard_id, the snapshot, path, function (its short name)
+    and score; ``ranges`` comes from ``guarded_ranges``, ``origins`` and
+    ``reverts`` from the functions above with guard_id as their key, ``floors``
+    has guard_id and floor. A place is a card only if a change of it would be
+    dangerous at least. Cards are ordered by rank and stand for their copies;
+    ``copies`` holds the ids (``path:line``) of the places that a card stands for.
+    """
+    grave = floors.where(F.col("floor").isin(*VERDICTS[2:]))
+    found = candidates.join(ranges.drop("path"), "guard_id").join(grave, "guard_id")
+    found = found.join(origins.select("guard_id", F.col("sha").alias("origin"), "subject", "stated"), "guard_id", "left").join(reverts.select("guard_id", "change_sha", "change_subject"), "guard_id", "left")
+    named = found.withColumn("title", title(F.col("subject"), F.col("stated"), F.col("comment"), F.col("change_subject"), F.col("function"))).withColumn("id", F.concat_ws(":", "path", F.col("start").cast("string")))
+    cards = named.withColumn("rank", rank(F.col("floor"), F.col("change_sha"), F.col("origin"), F.col("stated"), F.col("score"))).withColumn("keys", card_keys(F.col("change_sha"), F.col("origin"), F.col("stated"), F.col("comment"), F.col("title")))
+    grouped = group_cards(cards, snapshot)
+    return grouped.join(cards, [snapshot, "id"]).select(snapshot, "card_no", "guard_id", "id", "title", F.col("floor").alias("verdict"), "rank", "path", "start", "end", "copies")

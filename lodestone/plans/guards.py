@@ -127,6 +127,41 @@ e AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY r
 SELECT p_brand, unnest(range(len(ids)))::INTEGER AS card_no, unnest(ids) AS id, unnest(list_transform(copies, lambda c: array_to_string(c, ','))) AS copies FROM e"""
 
 
+def guard_report(spark, sf_dir):
+    """The dearest twenty parts of each brand as places, with comments, origins, reverts and floors by their numbers: the cards."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    part = table(spark, sf_dir, "part")
+    own = part.withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))).where("r <= 20").withColumn("guard_id", k)
+    candidates = own.select("guard_id", "p_brand", F.concat(F.lit("d/f"), (k % 5).cast("string"), F.lit(".c")).alias("path"), F.concat(F.lit("f"), k.cast("string")).alias("function"), (size / 10.0).alias("score"))
+    comment = F.when(k % 3 == 0, F.concat(F.lit("One. A quirk of type "), (size % 20).cast("string"), F.lit(", mind it! More.")))
+    ranges = own.select("guard_id", F.lit("").alias("path"), k.cast("int").alias("start"), (k + 3).cast("int").alias("end"), comment.alias("comment"))
+    subject = F.concat(F.lit("drv/x: work-around "), (size % 9).cast("string"))
+    origins = own.where("p_partkey % 2 = 0").select("guard_id", F.concat(F.lit("o"), (size % 11).cast("string")).alias("sha"), subject.alias("subject"), F.when(k % 4 == 0, "subject").alias("stated"))
+    reverts = own.where("p_partkey % 7 = 0").select("guard_id", F.concat(F.lit("c"), (size % 6).cast("string")).alias("change_sha"), F.lit("lib: drop it").alias("change_subject"))
+    floors = own.select("guard_id", F.get(F.array(*map(F.lit, history_rules.VERDICTS)), (k % 9 % 4).cast("int")).alias("floor"))
+    found = guards.report(candidates, ranges, origins, reverts, floors, "p_brand")
+    return found.withColumn("copies", F.array_join("copies", ",")).withColumn("rank", F.round("rank", 6))
+
+
+REPORT = r"""WITH RECURSIVE b AS (SELECT p_brand, p_partkey AS k, p_size AS z, 'd/f' || p_partkey % 5 || '.c' AS path, p_partkey % 9 % 4 AS v, CASE WHEN p_partkey % 3 = 0 THEN 'A quirk of type ' || p_size % 20 || ', mind it' END AS head,
+  CASE WHEN p_partkey % 3 = 0 THEN 'text:one a quirk of type ' || p_size % 20 || ' mind it more' END AS said, CASE WHEN p_partkey % 2 = 0 THEN 'Work-around ' || p_size % 9 END AS bare, CASE WHEN p_partkey % 7 = 0 THEN 'revert:c' || p_size % 6 END AS undone
+  FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 20),
+t AS (SELECT *, CASE WHEN k % 4 = 0 THEN bare WHEN head IS NOT NULL THEN head WHEN bare IS NOT NULL THEN bare WHEN undone IS NOT NULL THEN 'Reverted before: drop it' ELSE 'f' || k || ': code with a workaround history' END AS title,
+  round(v * 10 + CASE WHEN undone IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN k % 4 = 0 THEN 4 WHEN bare IS NOT NULL THEN 1 ELSE 0 END + z / 10, 6) AS rank, path || ':' || k AS id FROM b WHERE v >= 2),
+q AS (SELECT *, list_filter([undone, CASE WHEN k % 4 = 0 THEN 'origin:o' || z % 11 END, said, 'text:' || trim(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g'))], lambda x: x IS NOT NULL) AS own, row_number() OVER (PARTITION BY p_brand ORDER BY rank DESC, id) AS r FROM t),
+s(p_brand, r, ids, paths, keys, copies) AS (
+  SELECT DISTINCT p_brand, 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[][], []::VARCHAR[][] FROM q
+  UNION ALL
+  SELECT p_brand, r, CASE WHEN twin IS NULL AND room THEN list_append(ids, id) ELSE ids END, CASE WHEN twin IS NULL AND room THEN list_append(paths, path) ELSE paths END,
+    CASE WHEN twin IS NOT NULL THEN list_transform(keys, lambda k, i: CASE WHEN i = twin THEN list_distinct(list_concat(k, own)) ELSE k END) WHEN room THEN list_append(keys, own) ELSE keys END,
+    CASE WHEN twin IS NOT NULL THEN list_transform(copies, lambda c, i: CASE WHEN i = twin THEN list_append(c, id) ELSE c END) WHEN room THEN list_append(copies, []::VARCHAR[]) ELSE copies END
+  FROM (SELECT s.p_brand, q.r, s.ids, s.paths, s.keys, s.copies, q.id, q.path, q.own, list_position(list_transform(s.keys, lambda k: list_has_any(k, q.own)), true) AS twin,
+    len(s.ids) < 8 AND len(list_filter(s.paths, lambda p: p = q.path)) < 3 AS room FROM s JOIN q ON q.p_brand = s.p_brand AND q.r = s.r + 1)),
+e AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY r DESC) = 1),
+g AS (SELECT p_brand, unnest(range(len(ids)))::INTEGER AS card_no, unnest(ids) AS id, unnest(list_transform(copies, lambda c: array_to_string(c, ','))) AS copies FROM e)
+SELECT g.p_brand, card_no, k AS guard_id, id, title, ['SAFE', 'RISKY', 'DANGEROUS', 'STOP'][v + 1] AS verdict, rank, path, k::INTEGER AS start, (k + 3)::INTEGER AS "end", copies FROM g JOIN t USING (p_brand, id)"""
+
+
 def _lines(spark, sf_dir):
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     return table(spark, sf_dir, "lineitem").withColumn("nth", nth).withColumn("case_id", F.col("l_orderkey"))
@@ -266,6 +301,7 @@ CATALOGUE = {
     "guard_origins": (guard_origins, ORIGINS),
     "guard_reverts": (guard_reverts, REVERTS),
     "guard_cards": (guard_cards, CARDS),
+    "guard_report": (guard_report, REPORT),
     "key_commits": (key_commits, KEY_COMMITS),
     "floor_reasons": (floor_reasons, FLOOR),
     "completeness_reasons": (completeness_reasons, COMPLETENESS),
