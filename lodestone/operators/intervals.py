@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,19 @@ def _in_cells(df: DataFrame, key: str, span: tuple[str, str], side: str, only_ow
     return cells.withColumn(f"_first_{side}", first).withColumn("_cell", F.explode(F.sequence(first, F.expr(f"shiftright(_to_{side}, _level)"))))
 
 
+def _meeting(points: DataFrame, ranges: DataFrame, key: str, p: tuple[str, str], r: tuple[str, str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides in their cells, and the columns on which they meet.
+
+    The longer of two intervals is in cells of its own length: ``_meet`` is 0
+    where that is the point, or both, and 1 where it is the range. Two short
+    intervals never meet in long cells, which all of a key share.
+    """
+    longer = lambda side: F.col("_level") > F.col(f"_own_{side}")
+    left = _in_cells(points, key, p, "p", r[0] == r[1]).withColumn("_meet", longer("p").cast("int"))
+    right = _in_cells(ranges, key, r, "r", p[0] == p[1]).withColumn("_meet", F.explode(F.when(longer("r"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    return left, right, [key, "_level", "_cell", "_meet"]
+
+
 def overlap_join(points: DataFrame, ranges: DataFrame, key: str, p: tuple[str, str], r: tuple[str, str], how: str = "inner") -> DataFrame:
     """Rows of two tables with one key whose closed integer intervals overlap.
 
@@ -39,10 +55,11 @@ def overlap_join(points: DataFrame, ranges: DataFrame, key: str, p: tuple[str, s
     key with many lines and many ranges costs about the pairs that it yields,
     never all of them. Empty intervals and null ends or keys meet nothing.
     """
-    left, right = _in_cells(points, key, p, "p", r[0] == r[1]).alias("p"), _in_cells(ranges, key, r, "r", p[0] == p[1]).alias("r")
+    left, right, on = _meeting(points, ranges, key, p, r)
+    left, right = left.alias("p"), right.alias("r")
     meets = (F.col("_from_p") <= F.col("_to_r")) & (F.col("_to_p") >= F.col("_from_r"))
-    same = (F.col(f"p.{key}") == F.col(f"r.{key}")) & (F.col("p._level") == F.col("r._level")) & (F.col("p._cell") == F.col("r._cell"))
-    once = (F.col("p._level") == F.greatest("_own_p", "_own_r")) & (F.col("p._cell") == F.greatest("_first_p", "_first_r"))
+    once = F.col("p._cell") == F.greatest("_first_p", "_first_r")
+    same = reduce(and_, (F.col(f"p.{c}") == F.col(f"r.{c}") for c in on))
     met = left.join(right, same & once & meets)
     if how == "inner":
         return met
