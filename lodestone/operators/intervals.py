@@ -54,18 +54,21 @@ def overlap_join(points: DataFrame, ranges: DataFrame, key: str, p: tuple[str, s
     cells as long as the longer of the two, the first one that both touch. So a
     key with many lines and many ranges costs about the pairs that it yields,
     never all of them. Empty intervals and null ends or keys meet nothing.
+
+    Neither side is ever broadcast: sizes are estimated without the rows that
+    the cells add.
     """
     left, right, on = _meeting(points, ranges, key, p, r)
     left, right = left.alias("p"), right.alias("r")
     meets = (F.col("_from_p") <= F.col("_to_r")) & (F.col("_to_p") >= F.col("_from_r"))
     once = F.col("p._cell") == F.greatest("_first_p", "_first_r")
     same = reduce(and_, (F.col(f"p.{c}") == F.col(f"r.{c}") for c in on))
-    met = left.join(right, same & once & meets)
+    met = left.join(right.hint("merge"), same & once & meets)
     if how == "inner":
         return met
     hit = met.select(*(F.col(f"p.{c}").alias(f"_{i}") for i, c in enumerate(dict.fromkeys((key, *p))))).distinct()
     alike = [F.col(c) == F.col(f"_{i}") for i, c in enumerate(dict.fromkeys((key, *p)))]
-    return points.join(hit, alike, how)
+    return points.join(hit.hint("merge"), alike, how)
 
 
 def overlap_length(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:

@@ -24,3 +24,10 @@ def test_long_and_short_intervals_meet_once(spark):
     met = intervals.overlap_join(rows.withColumnRenamed("id", "one"), rows.selectExpr("id AS two", "path", "a AS c", "b AS d"), "path", ("a", "b"), ("c", "d"))
     want = [(i, k) for i, (a, b) in enumerate(spans) for k, (c, d) in enumerate(spans) if a <= b and c <= d and a <= d and b >= c]
     assert sorted((r.one, r.two) for r in met.select("one", "two").collect()) == want
+
+
+def test_overlaps_are_never_broadcast(spark):
+    points = spark.range(10).selectExpr("id", "1 AS path", "id AS at", "id AS at_end")
+    ranges = spark.range(10).selectExpr("1 AS path", "id AS lo", "id + 3 AS hi")
+    for how in ("inner", "left_anti", "left_semi"):
+        assert "Broadcast" not in plan(intervals.overlap_join(points, ranges, "path", ("at", "at_end"), ("lo", "hi"), how))
