@@ -114,7 +114,7 @@ def git_signals(parsed: DataFrame, blame: DataFrame, commits: DataFrame) -> Data
     """
     flags = F.coalesce(*(F.when(F.col(flag), F.struct(F.lit(kind).alias("kind"), F.lit(weight).alias("weight"))) for flag, kind, weight in GIT_KINDS))
     blank = parsed.select("path", F.transform(F.split("code", "\n", -1), lambda x: ~F.rlike(x, F.lit(r"\S"))).alias("blank"))
-    ranges = blame.join(commits.select("sha", "subject", flags.alias("h")).where("h IS NOT NULL"), "sha").join(blank, "path")
+    ranges = blame.join(commits.select("sha", "subject", flags.alias("h")).where("h IS NOT NULL"), "sha").join(blank.hint("merge"), "path")
     within = F.slice("blank", F.greatest(F.col("start"), F.lit(1)), F.greatest(F.col("end") - F.col("start") + 1, F.lit(0)))
     with_code = ranges.where(F.exists(within, lambda b: ~b))
     place = F.struct(F.lit(3).alias("step"), F.col("start").cast("long").alias("at"), F.lit(0).cast("long").alias("k"))
@@ -140,7 +140,7 @@ def symbol_factors(symbols: DataFrame, signals: DataFrame, edges: DataFrame) ->
     )
     where = F.array_join(F.transform("at", lambda x: F.concat(F.lit("L"), x["start"].cast("string"))), ", ")
     by_kind = capped.select("id", F.col("kind").alias("factor"), "points", F.concat(F.col("n").cast("string"), F.lit("\u00d7 ("), where, F.when(F.col("n") > 3, ", \u2026").otherwise(""), F.lit(")")).alias("detail"))
-    callers = functions.select("id").join(fan_in(edges), "id")
+    callers = functions.select("id").join(fan_in(edges).hint("merge"), "id")
     called = callers.where("resolved + ambiguous > 0").select("id", F.lit("fan_in").alias("factor"), graph.fan_in_points(F.col("resolved"), F.col("ambiguous")).alias("points"), F.format_string("%d resolved, %d ambiguous callers", "resolved", "ambiguous").alias("detail"))
     named = callers.where("outside > 0").select("id", F.lit("external_references").alias("factor"), F.lit(float(EXTERNAL_POINTS)).alias("points"), F.format_string("named from %d file(s) outside the deep scope", "outside").alias("detail"))
     return by_kind.unionByName(called).unionByName(named)
@@ -150,7 +150,7 @@ def score_symbols(symbols: DataFrame, signals: DataFrame, edges: DataFrame) -> D
     """(id, path, name, score, level, factors) of every function; of the scored ones the first tenth is high, the next quarter medium."""
     factors = symbol_factors(symbols, signals, edges)
     scored = factors.groupBy("id").agg(F.round(F.sum("points"), 1).alias("score"), F.sort_array(F.collect_list(F.struct("points", "factor", "detail")), asc=False).alias("factors"))
-    every = symbols.where("kind = 'function'").select("id", "path", "name").join(scored, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    every = symbols.where("kind = 'function'").select("id", "path", "name").join(scored.hint("merge"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return ranking.levels(every, "score", "id")
 
 
@@ -162,4 +162,4 @@ def score_files(files: DataFrame, scores: DataFrame, symbols: DataFrame, signals
     loose = overlap_join(telling, ranges, "path", ("start", "start"), ("first", "last"), "left_anti")
     counted = loose.groupBy("path").agg(F.least(F.count("*"), F.lit(LOOSE_CAP)).alias("loose"))
     score = F.round(F.coalesce("functions", F.lit(0.0)) + F.coalesce("loose", F.lit(0)), 1)
-    return ranking.levels(files.select("path").distinct().join(top, "path", "left").join(counted, "path", "left").select("path", score.alias("score")), "score", "path")
+    return ranking.levels(files.select("path").distinct().join(top.hint("merge"), "path", "left").join(counted.hint("merge"), "path", "left").select("path", score.alias("score")), "score", "path")

@@ -4,7 +4,8 @@
 by joins on candidate sets that were summed up beforehand, so a name that many
 functions have and many calls use makes no pairs. Where several definitions
 fit, the first one in the order of paths and places is the target; the whole
-set is to be had from ``candidates`` by the edge's ``candidate_key``.
+set is to be had from ``candidates`` by the edge's ``candidate_key``. No join is
+a broadcast: what is exploded or parsed is many times as large as estimated.
 """
 
 from __future__ import annotations
@@ -85,8 +86,9 @@ def resolve_calls(parsed: DataFrame, symbols: DataFrame) -> DataFrame:
         2: F.when(plain, F.col("name")),
         3: F.when(F.col("qualifier").isNull(), F.col("name")),
     }
+    nothing = F.concat(F.lit("\0"), "caller")  # no name begins so; calls without a key of a tier stay spread out
     for tier, key in keys.items():
-        calls = calls.withColumn(f"key{tier}", key).join(sets.where(F.col("tier") == tier).select(F.col("key").alias(f"key{tier}"), F.struct(F.lit(tier).alias("tier"), "key", "n", "first").alias(f"set{tier}")), f"key{tier}", "left")
+        calls = calls.withColumn(f"key{tier}", F.coalesce(key, nothing)).join(sets.where(F.col("tier") == tier).select(F.col("key").alias(f"key{tier}"), F.struct(F.lit(tier).alias("tier"), "key", "n", "first").alias(f"set{tier}")).hint("merge"), f"key{tier}", "left")
     best = F.coalesce(*(F.col(f"set{tier}") for tier in keys))
     return calls.withColumn("best", best).select(
         "caller",
@@ -121,9 +123,9 @@ def resolve_includes(parsed: DataFrame, paths: DataFrame) -> DataFrame:
     rows = parsed.select("path", F.posexplode("includes").alias("place", "x")).select("path", "place", "x.line", F.col("x.path").alias("include"), "x.system")
     tries = (T.normalize_path(F.concat(T.dirname(F.col("path")), F.lit("/"), "include")), F.concat(F.lit(INCLUDE_ROOT), "include"), F.col("include"))
     for k, at in enumerate(tries):
-        rows = rows.withColumn(f"t{k}", at).join(known.select(F.col("path").alias(f"t{k}"), F.lit(True).alias(f"is{k}")), f"t{k}", "left")
+        rows = rows.withColumn(f"t{k}", at).join(known.select(F.col("path").alias(f"t{k}"), F.lit(True).alias(f"is{k}")).hint("merge"), f"t{k}", "left")
     direct = F.coalesce(*(F.when(F.col(f"is{k}"), F.col(f"t{k}")) for k in range(len(tries))))
-    found = rows.withColumn("direct", direct).join(by_end, "include", "left")
+    found = rows.withColumn("direct", direct).join(by_end.hint("merge"), "include", "left")
     resolution = F.when(F.col("direct").isNotNull() | (F.col("n") == 1), "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unresolved")
     return found.select("path", "line", "place", "include", "system", resolution.alias("resolution"), F.coalesce("direct", "first").alias("target"), F.when(F.col("direct").isNotNull(), 1).otherwise(F.coalesce("n", F.lit(0))).alias("candidates"))
 
@@ -131,7 +133,7 @@ def resolve_includes(parsed: DataFrame, paths: DataFrame) -> DataFrame:
 def macro_uses(parsed: DataFrame, symbols: DataFrame) -> DataFrame:
     """First use of each macro in each function: caller, path, line, name, resolution, target."""
     macros = symbols.where("kind = 'macro'").groupBy("name").agg(F.count("*").alias("n"), F.min_by("id", F.struct("path", "ordinal")).alias("target"))
-    used = _of_function(parsed, "names_in_functions").join(macros, "name")
+    used = _of_function(parsed, "names_in_functions").join(macros.hint("merge"), "name")
     return used.select("caller", "path", "place", "line", "name", F.when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("resolution"), "target", F.col("n").alias("candidates"))
 
 
@@ -145,13 +147,13 @@ def reference_index(symbols: DataFrame, outside: DataFrame) -> DataFrame:
     generic = F.col("short_name").isin(GENERIC_NAMES) | (F.length("short_name") < TELLING)
     telling = symbols.where(~(method & generic) & ~((F.col("kind") == "macro") & (F.length("name") < TELLING)))
     elsewhere = outside.select(F.explode("symbols").alias("s")).select(F.col("s.short_name").alias("short_name")).distinct()
-    own = telling.join(elsewhere, "short_name", "left_anti").withColumn("order", F.struct("path", "ordinal"))
+    own = telling.join(elsewhere.hint("merge"), "short_name", "left_anti").withColumn("order", F.struct("path", "ordinal"))
     named = own.groupBy("short_name", "name").agg(F.min("order").alias("order"), F.max_by(F.struct("id", "kind", method.alias("method")), "order").alias("s"))
     index = named.groupBy("short_name").agg(F.count("*").alias("n"), F.min_by("s", "order").alias("s"), F.bool_and("s.method").alias("methods"))
     names = outside.select("path", F.explode("names").alias("x")).select("path", F.col("x.name").alias("short_name"), "x.line")
     kind = F.when(F.col("s.kind") == "macro", "uses_macro").when(F.col("s.kind") == "class", "references").otherwise("calls")
     resolution = F.when((F.col("n") == 1) & ~F.col("methods"), "resolved").otherwise("ambiguous")
-    return names.join(index, "short_name").select("path", "line", F.col("short_name").alias("name"), kind.alias("kind"), resolution.alias("resolution"), F.col("s.id").alias("target"), F.col("n").alias("candidates"))
+    return names.join(index.hint("merge"), "short_name").select("path", "line", F.col("short_name").alias("name"), kind.alias("kind"), resolution.alias("resolution"), F.col("s.id").alias("target"), F.col("n").alias("candidates"))
 
 
 def edges(parsed: DataFrame, symbols: DataFrame, paths: DataFrame, outside: DataFrame | None = None) -> DataFrame:
@@ -178,7 +180,7 @@ def edges(parsed: DataFrame, symbols: DataFrame, paths: DataFrame, outside: Data
     ]
     if outside is not None:
         deep = parsed.select(F.col("path").alias("target")).distinct()
-        into = resolve_includes(outside, paths).join(deep, "target", "left_semi")
+        into = resolve_includes(outside, paths).join(deep.hint("merge"), "target", "left_semi")
         parts += [
             rows(into, 4, file_id(F.col("path")), file_id(F.col("target")), "=includes", "reference_index"),
             rows(reference_index(symbols, outside), 5, file_id(F.col("path")), F.col("target"), "kind", "reference_index", place="line"),

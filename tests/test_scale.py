@@ -1,6 +1,7 @@
 """What keeps steps in proportion to their input: who meets whom, and what is never broadcast."""
 
-from lodestone.operators import intervals
+from lodestone.operators import intervals, signals, structure
+from lodestone.sources import c_structure
 
 
 def plan(df):
@@ -31,3 +32,12 @@ def test_overlaps_are_never_broadcast(spark):
     ranges = spark.range(10).selectExpr("1 AS path", "id AS lo", "id + 3 AS hi")
     for how in ("inner", "left_anti", "left_semi"):
         assert "Broadcast" not in plan(intervals.overlap_join(points, ranges, "path", ("at", "at_end"), ("lo", "hi"), how))
+
+
+def test_the_graph_of_files_is_never_broadcast(spark):
+    """Parsed and exploded rows are many times as large as estimated."""
+    parsed = c_structure.structure(spark.createDataFrame([("a.cpp", "#define LIMIT_A 1\nint f() { return g(LIMIT_A); }\nint g(int n) { return n; }\n")], "path string, text string"))
+    symbols = structure.symbols(parsed)
+    edges = structure.edges(parsed, symbols, parsed.select("path"), parsed)
+    assert "Broadcast" not in plan(edges)
+    assert "Broadcast" not in plan(signals.symbol_factors(symbols, signals.code_signals(parsed), edges))
