@@ -45,7 +45,7 @@ def related_tests(touched: DataFrame, parsed: DataFrame) -> DataFrame:
     """
     telling = touched.where((F.length("name") >= TELLING) & ~F.col("name").isin(GENERIC_NAMES)).select("name").distinct()
     words = parsed.where(T.is_test(F.col("path"))).select("path", F.explode("names").alias("x")).select("path", F.col("x.name").alias("name"))
-    return words.join(telling, "name").select("name", "path").distinct()
+    return words.join(telling.hint("merge"), "name").select("name", "path").distinct()
 
 
 def untested(touched: DataFrame, tests: DataFrame, signals: DataFrame) -> DataFrame:
@@ -56,8 +56,8 @@ def untested(touched: DataFrame, tests: DataFrame, signals: DataFrame) -> DataFr
     """
     spans = signals.select("path", F.col("start").alias("s"), F.col("end").alias("e"))
     inside = overlap_join(spans, touched.select("id", "path", "start", "end"), "path", ("s", "e"), ("start", "end")).select("id").distinct().withColumn("signal", F.lit(True))
-    critical = touched.join(inside, "id", "left").where("level <> 'low' OR signal")
-    return critical.join(tests.select("name").distinct(), "name", "left_anti").select("id", "name").distinct()
+    critical = touched.join(inside.hint("merge"), "id", "left").where("level <> 'low' OR signal")
+    return critical.join(tests.select("name").distinct().hint("merge"), "name", "left_anti").select("id", "name").distinct()
 
 
 def severity(verdict: Column) -> Column:
