@@ -85,9 +85,9 @@ def change_risk(lines: DataFrame, functions: DataFrame, signals: DataFrame, edge
     starts = inner.select(F.col("function_id").alias("start"), F.col("function_id").alias("node")).distinct()
     nodes = graph.impact(edges, starts, depth)
     met = nodes.groupBy(F.col("start").alias("function_id")).agg(F.count("*").alias("dependents"), F.count_if("boundary").alias("outside"))
-    open_ends = edges.where("resolution = 2").join(starts.select("start", F.col("node").alias("src")), "src").select("start", "resolution")
+    open_ends = edges.where("resolution = 2").join(starts.select("start", F.col("node").alias("src")).hint("merge"), "src").select("start", "resolution")
     walked = graph.impact_edges(edges, starts, nodes, depth).select("start", "resolution").unionByName(open_ends)
     ends = walked.groupBy(F.col("start").alias("function_id")).agg(F.count_if(F.col("resolution") == 1).alias("ambiguous"), F.count_if(F.col("resolution") == 2).alias("unresolved"))
-    found = lines.select("query_id").join(kinds, "query_id", "left").join(inner, "query_id", "left").join(met, "function_id", "left").join(ends, "function_id", "left")
+    found = lines.select("query_id").join(kinds.hint("merge"), "query_id", "left").join(inner.hint("merge"), "query_id", "left").join(met.hint("merge"), "function_id", "left").join(ends.hint("merge"), "function_id", "left")
     none = F.array().cast("array<string>")
     return found.select("query_id", F.coalesce("kinds", none).alias("kinds"), "function_id", "level", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("dependents", "ambiguous", "unresolved", "outside")))

@@ -29,7 +29,7 @@ def roll_up(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """
     a, b = groups.select(F.col("node").alias("src"), F.col("group").alias("src_group")), groups.select(F.col("node").alias("dst"), F.col("group").alias("dst_group"))
     return (
-        edges.join(a, "src").join(b, "dst").where("src_group <> dst_group").groupBy("src_group", "dst_group").agg(F.sum("weight").alias("weight"), F.min("resolution").alias("resolution"))
+        edges.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where("src_group <> dst_group").groupBy("src_group", "dst_group").agg(F.sum("weight").alias("weight"), F.min("resolution").alias("resolution"))
     )
 
 
@@ -48,8 +48,8 @@ def reach(edges: DataFrame, starts: DataFrame, most_depth: int | None = None) ->
     front, depth = seen, 0
     while True:
         depth += 1
-        found = links.join(front.drop("depth").withColumnRenamed("node", "dst"), "dst").withColumnRenamed("src", "node").select(*keys).distinct()
-        front = cut(found.join(seen, keys, "left_anti").withColumn("depth", F.lit(depth)))
+        found = links.join(front.drop("depth").withColumnRenamed("node", "dst").hint("merge"), "dst").withColumnRenamed("src", "node").select(*keys).distinct()
+        front = cut(found.join(seen.hint("merge"), keys, "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return seen
         if most_depth is not None and depth > most_depth:
@@ -83,9 +83,9 @@ def impact(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     seen = cut(starts.select(*keys, F.lit(0).alias("depth"), F.lit(0).alias("resolution"), F.lit(False).alias("boundary")).distinct())
     front = seen
     for step in range(1, depth + 1):
-        met = links.join(front.drop("depth", "boundary").withColumnsRenamed({"node": "dst", "resolution": "so_far"}), "dst").withColumnRenamed("src", "node")
+        met = links.join(front.drop("depth", "boundary").withColumnsRenamed({"node": "dst", "resolution": "so_far"}).hint("merge"), "dst").withColumnRenamed("src", "node")
         found = met.groupBy(*keys).agg(F.min(F.greatest("edge", "so_far")).alias("resolution"), (F.max("outer") == 1).alias("boundary"))
-        front = cut(found.join(seen, keys, "left_anti").select(*keys, F.lit(step).alias("depth"), "resolution", "boundary"))
+        front = cut(found.join(seen.hint("merge"), keys, "left_anti").select(*keys, F.lit(step).alias("depth"), "resolution", "boundary"))
         seen = seen.unionByName(front)
     return seen.where("depth > 0")
 
@@ -94,7 +94,7 @@ def impact_edges(edges: DataFrame, starts: DataFrame, nodes: DataFrame, depth: i
     """(src, dst, resolution) of all edges that the impact follows, loops back into it included; with ``start`` where the starts have it."""
     keys = [c for c in ("start", "node") if c in starts.columns]
     walked = starts.select(*keys).unionByName(nodes.where(F.col("depth") < depth).select(*keys)).distinct()
-    return edges.where("kind <> 'co_changes'").join(walked.withColumnRenamed("node", "dst"), "dst").select(*keys[:-1], "src", "dst", "resolution")
+    return edges.where("kind <> 'co_changes'").join(walked.withColumnRenamed("node", "dst").hint("merge"), "dst").select(*keys[:-1], "src", "dst", "resolution")
 
 
 def edge_counts(edges: DataFrame) -> DataFrame:
