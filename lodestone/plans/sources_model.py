@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph, signals, structure
-from lodestone.plans.common import table
+from lodestone.operators.lineage import cut
+from lodestone.plans.common import spread, table
 from lodestone.sources import c_structure, changes
 
 _WANTED = ("path", "text", "code", "symbols", "calls", "indirect_calls", "names_in_functions", "names", "includes", "comments", "directives")
+_LINKED = ("path", "symbols", "calls", "indirect_calls", "names_in_functions", "names", "includes")  # what edges are made of
 
 
 def _files(spark, sf_dir):
@@ -26,16 +28,18 @@ def _files(spark, sf_dir):
     program = F.concat(F.lit('#include "lib/m'), word(k + 2), F.lit('.cpp"\nint main_'), word(k), F.lit("() { return shared_"), word(k % 10), F.lit("(1) + LIMIT_"), word(k - 3), F.lit("; }\n"))
     text = F.when(k % 4 == 0, step).when(k % 4 == 1, shared).when(k % 4 == 2, method).otherwise(program)
     path = F.concat(F.when(k % 4 == 3, "app/m").otherwise("lib/m"), word(k), F.lit(".cpp"))
-    return table(spark, sf_dir, "part").select(path.alias("path"), text.alias("text"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(path.alias("path"), text.alias("text"))
 
 
-def _parsed(spark, sf_dir):
-    parsed = c_structure.structure(_files(spark, sf_dir), _WANTED)
+def _parsed(spark, sf_dir, wanted=_WANTED):
+    """The structures of the files inside and outside, scanned once: the graph reads them a dozen times."""
+    parsed = cut(c_structure.structure(_files(spark, sf_dir), wanted))
     return parsed.where("path LIKE 'lib/%'"), parsed.where("path LIKE 'app/%'")
 
 
-def _edges(spark, sf_dir):
-    inside, outside = _parsed(spark, sf_dir)
+def _edges(spark, sf_dir, inside=None, outside=None):
+    if inside is None:
+        inside, outside = _parsed(spark, sf_dir, _LINKED)
     headers = table(spark, sf_dir, "part").where("p_partkey % 8 = 0").select(F.concat(F.lit("lib/m"), F.col("p_partkey").cast("string"), F.lit(".h")).alias("path"))
     paths = _files(spark, sf_dir).select("path").unionByName(headers)
     return structure.edges(inside, structure.symbols(inside), paths, outside)
@@ -71,7 +75,7 @@ EDGES = _MODEL + " SELECT * FROM e"
 
 def source_external_calls(spark, sf_dir):
     """How many calls of each function leave the files."""
-    inside, _ = _parsed(spark, sf_dir)
+    inside, _ = _parsed(spark, sf_dir, ("path", "symbols", "calls"))
     return structure.external_calls(structure.resolve_calls(inside, structure.symbols(inside)))
 
 
@@ -95,7 +99,7 @@ EDGE_COUNTS = (
 
 def source_signals(spark, sf_dir):
     """Signals of the files' code and comments; an accented letter ends no word."""
-    return signals.code_signals(_parsed(spark, sf_dir)[0]).drop("place")
+    return signals.code_signals(_parsed(spark, sf_dir, ("path", "text", "code", "symbols", "comments", "directives"))[0]).drop("place")
 
 
 _SIGNALS = """s AS (SELECT path, 1 AS start, 'workaround_comment' AS kind, 'comment' AS source, CASE WHEN k % 8 = 1 THEN 'éerrata of the chip, ' ELSE 'see errata of the chip, ' END || k AS snippet, 'errata' AS detail, 3 AS weight FROM p WHERE k % 4 = 1
@@ -106,9 +110,9 @@ SIGNALS = "WITH p AS (SELECT p_partkey AS k, 'lib/m' || p_partkey || '.cpp' AS p
 
 
 def _scored(spark, sf_dir):
-    inside, _ = _parsed(spark, sf_dir)
+    inside, outside = _parsed(spark, sf_dir)
     symbols, found = structure.symbols(inside), signals.code_signals(inside)
-    return symbols, found, signals.score_symbols(symbols, found, _edges(spark, sf_dir))
+    return symbols, found, signals.score_symbols(symbols, found, _edges(spark, sf_dir, inside, outside))
 
 
 def source_scores(spark, sf_dir):
@@ -155,7 +159,7 @@ def change_classes(spark, sf_dir):
         .when(k % 6 == 4, F.replace(old, F.lit("  printf"), F.lit("\n\tprintf")))
     )
     end = F.when(k % 10 == 0, ".md").when(k % 10 == 1, ".py").otherwise(".cpp")
-    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), word, end).alias("path"), old.alias("old_text"), new.alias("new_text"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.concat(F.lit("f"), word, end).alias("path"), old.alias("old_text"), new.alias("new_text"))
     return changes.change_classes(rows).select("path", "change_class")
 
 
