@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import lookup
-from lodestone.plans.common import table
+from lodestone.plans.common import spread, table
 from lodestone.sources import display_diff
 
 
@@ -18,7 +18,7 @@ def _diffs(spark, sf_dir):
         F.lit("diff --git a/x b/y\n--- a/"), "p_name", F.lit("\n+++ "), new, F.lit("\n@@ -"), size.cast("string"), F.lit(",3 +7 @@ f()\n one\n--- two\n"), added, F.lit("\n@@ odd\n last\n\\ No newline at end of file\n@@ -900 +950,0 @@\n-gone\n"),
         F.lit("diff --git a/old.bin b/new.bin\nBinary files a/old.bin and /dev/null differ\n"),
     )
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey").select(F.col("p_partkey").alias("id"), text.alias("text"))
 
 
 def display_diff_files(spark, sf_dir):

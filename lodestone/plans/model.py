@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import claims, components, graph, review
-from lodestone.plans.common import table
+from lodestone.plans.common import spread, table
 from lodestone.sources import c_structure, repository
 
 
@@ -192,7 +192,7 @@ def c_structure_scan(spark, sf_dir):
         F.lit("// part { \n#define SIZE_"), key, F.lit(" 1\n#if A\nclass P"), key, F.lit(" {\n  int get() { return "), F.lit("call(\"}\"); }\n};\n#else\nclass Q {\n#endif\n/* "), "p_name", F.lit("\n*/ void P"), key,
         F.lit("::run(int n)\n{\n"), F.repeat(F.lit("  step(n);\n"), F.col("p_size").cast("int")), F.lit("}\n"),
     )
-    parsed = c_structure.structure(table(spark, sf_dir, "part").select(F.concat(F.lit("p/"), key, F.lit(".cpp")).alias("path"), text.alias("text")), ("path", "symbols", "calls"))
+    parsed = c_structure.structure(spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey").select(F.concat(F.lit("p/"), key, F.lit(".cpp")).alias("path"), text.alias("text")), ("path", "symbols", "calls"))
     return parsed.select("path", F.size("calls").alias("calls"), F.explode("symbols").alias("s")).select("path", "calls", "s.name", "s.kind", "s.start", "s.end")
 
 
