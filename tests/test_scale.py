@@ -1,6 +1,6 @@
 """What keeps steps in proportion to their input: who meets whom, and what is never broadcast."""
 
-from lodestone.operators import intervals, signals, structure
+from lodestone.operators import intervals, search, signals, structure
 from lodestone.sources import c_structure
 
 
@@ -34,6 +34,31 @@ def test_overlaps_are_never_broadcast(spark):
         assert "Broadcast" not in plan(intervals.overlap_join(points, ranges, "path", ("at", "at_end"), ("lo", "hi"), how))
 
 
+def rows_of_joins(df):
+    """The most rows that a join of the executed plan yields."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    top, most, todo = df._jdf.queryExecution().executedPlan(), 0, []
+    todo.append(top)
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        inner = node.executedPlan() if name.startswith("AdaptiveSparkPlan") else node.plan() if "QueryStage" in name else None
+        todo += [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_queries_of_the_same_words_are_searched_once(spark):
+    """500 queries and 500 texts with one word made 250000 rows before the best were taken."""
+    hays = spark.range(500).selectExpr("0 AS step", "id AS nth", "'a timing line' AS hay", "1.0D AS factor", "0.0D AS bonus", "concat('line ', id) AS line")
+    queries = spark.range(500).selectExpr("id AS query_id", "CASE WHEN id % 2 = 0 THEN 'timing line' ELSE 'Line, timing!' END AS query")
+    found = search.search(queries, hays, 3)
+    assert rows_of_joins(found) < 10_000
+    assert sorted((r.query_id, r.place, r.line) for r in found.collect()) == [(q, k + 1, f"line {k}") for q in range(500) for k in range(3)]
+
+
 def test_the_graph_of_files_is_never_broadcast(spark):
     """Parsed and exploded rows are many times as large as estimated."""
     parsed = c_structure.structure(spark.createDataFrame([("a.cpp", "#define LIMIT_A 1\nint f() { return g(LIMIT_A); }\nint g(int n) { return n; }\n")], "path string, text string"))
