@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.intervals import overlap_join
 from lodestone.operators.ranking import top_per_key
 
 # How much of each kind an answer holds.
@@ -65,9 +66,15 @@ def neighbours(edges: DataFrame, nodes: DataFrame, direction: str, order: list[s
 
 
 def signals_for(signals: DataFrame, symbols: DataFrame, targets: DataFrame, order: list[str], most: int = MOST_SIGNALS) -> DataFrame:
-    """Signals of each target (query_id, name): those that begin in its first symbol, or, where no symbol has the name, those of the files with that path or base name."""
+    """Signals of each target (query_id, name): those that begin in its first symbol, or, where no symbol has the name, those of the files with that path or base name.
+
+    Signals meet symbols by their lines. The first signals of a file are chosen
+    once for all targets that name it, so a target adds ``most`` rows at most.
+    """
     first = symbol_lookup(symbols, targets, ["path", "start", "name"], 1).select("query_id", "path", F.col("start").alias("first"), F.col("end").alias("last"))
-    inside = signals.join(first, "path").where("start BETWEEN first AND last").drop("first", "last")
+    within = overlap_join(signals, first, "path", ("start", "start"), ("first", "last")).select("query_id", *(F.col(f"p.{c}") for c in signals.columns))
     files = signals.withColumn("key", F.explode(F.array_distinct(F.array("path", F.substring_index("path", "/", -1)))))
-    named = files.join(targets.select("query_id", F.col("name").alias("key")), "key").join(first, "query_id", "left_anti").drop("key")
-    return top_per_key(inside.unionByName(named), ["query_id"], order, most)
+    told = top_per_key(files, ["key"], order, most)
+    asked = targets.select("query_id", F.col("name").alias("key")).join(first.select("query_id").hint("merge"), "query_id", "left_anti")
+    named = told.join(asked, "key").drop("key")
+    return top_per_key(within.unionByName(named), ["query_id"], order, most)

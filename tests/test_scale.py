@@ -1,6 +1,6 @@
 """What keeps steps in proportion to their input: who meets whom, and what is never broadcast."""
 
-from lodestone.operators import intervals, search, signals, structure
+from lodestone.operators import intervals, lookup, search, signals, structure
 from lodestone.sources import c_structure
 
 
@@ -59,6 +59,17 @@ def test_queries_of_the_same_words_are_searched_once(spark):
     assert sorted((r.query_id, r.place, r.line) for r in found.collect()) == [(q, k + 1, f"line {k}") for q in range(500) for k in range(3)]
 
 
+def test_targets_of_one_file_share_its_first_signals(spark):
+    """1000 targets and 1000 signals of one file made a million rows, for names and for symbols."""
+    marks = spark.range(1000).selectExpr("id AS signal_id", "'src/a.c' AS path", "id * 10 AS start")
+    symbols = spark.range(1000).selectExpr("concat('f', id) AS name", "concat('f', id) AS short_name", "'src/a.c' AS path", "id * 10 AS start", "id * 10 + 5 AS end")
+    targets = spark.range(2000).selectExpr("id AS query_id", "CASE WHEN id < 1000 THEN concat('f', id) ELSE 'a.c' END AS name")
+    found = lookup.signals_for(marks, symbols, targets, ["start", "signal_id"], 3)
+    assert rows_of_joins(found) < 20_000
+    want = [(q, q) for q in range(1000)] + [(q, k) for q in range(1000, 2000) for k in range(3)]
+    assert sorted((r.query_id, r.signal_id) for r in found.collect()) == want
+
+
 def test_the_graph_of_files_is_never_broadcast(spark):
     """Parsed and exploded rows are many times as large as estimated."""
     parsed = c_structure.structure(spark.createDataFrame([("a.cpp", "#define LIMIT_A 1\nint f() { return g(LIMIT_A); }\nint g(int n) { return n; }\n")], "path string, text string"))
