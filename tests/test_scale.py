@@ -1,6 +1,7 @@
 """What keeps steps in proportion to their input: who meets whom, and what is never broadcast."""
 
 from lodestone.operators import intervals, lookup, search, signals, structure
+from lodestone.plans import lookups, sources_model
 from lodestone.sources import c_structure
 
 
@@ -77,3 +78,10 @@ def test_the_graph_of_files_is_never_broadcast(spark):
     edges = structure.edges(parsed, symbols, parsed.select("path"), parsed)
     assert "Broadcast" not in plan(edges)
     assert "Broadcast" not in plan(signals.symbol_factors(symbols, signals.code_signals(parsed), edges))
+
+
+def test_texts_made_of_a_small_table_are_spread(spark):
+    """The key column of a table of parts is one file, which one task read."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for df in (sources_model._files(spark, "/root/testdata/sf0.001"), lookups._diffs(spark, "/root/testdata/sf0.001")):
+        assert df.rdd.getNumPartitions() == parts
