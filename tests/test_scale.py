@@ -1,7 +1,7 @@
 """What keeps steps in proportion to their input: who meets whom, and what is never broadcast."""
 
-from lodestone.operators import intervals, lookup, search, signals, structure
-from lodestone.plans import lookups, sources_model
+from lodestone.operators import cochange, findings, graph_view, intervals, lineage, lookup, meters, search, signals, structure
+from lodestone.plans import history, lookups, sources_model
 from lodestone.sources import c_structure
 
 
@@ -85,3 +85,21 @@ def test_texts_made_of_a_small_table_are_spread(spark):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for df in (sources_model._files(spark, "/root/testdata/sf0.001"), lookups._diffs(spark, "/root/testdata/sf0.001")):
         assert df.rdd.getNumPartitions() == parts
+
+
+def test_reaches_are_never_broadcast(spark, monkeypatch):
+    """Each round sent its front, what was seen and the links to the driver and back."""
+    plans = []
+    monkeypatch.setattr(meters, "cut", lambda df: plans.append(plan(df)) or lineage.cut(df))
+    edges = spark.range(1, 60).selectExpr("id AS src", "id div 2 AS dst", "'calls' AS kind", "'exact' AS method", "'resolved' AS resolution")
+    starts = spark.range(1, 4).selectExpr("id AS start", "id AS node")
+    nodes = spark.range(60).selectExpr("id AS node", "concat('f', id) AS path", "true AS symbol")
+    files = nodes.select("path")
+    found = meters.reach_meter(edges, starts, nodes, files, files.selectExpr("'c' AS component", "path"))
+    assert len(plans) > 5 and not any("BroadcastHash" in p for p in plans)
+    assert "BroadcastHash" not in plan(found)
+    assert [(r.start, r.files, r.symbols, r.components, r.by_depth) for r in found.orderBy("start").collect()] == [
+        (1, 58, 58, 0, [2, 4, 8, 16, 28]),
+        (2, 30, 30, 0, [2, 4, 8, 16]),
+        (3, 26, 26, 0, [2, 4, 8, 12]),
+    ]
