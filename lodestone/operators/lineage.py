@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative plans, and the folder that all machines share."""
+"""Cutting the lineage of iterative plans, the folder that all machines share, and dealing rows out."""
 
 from __future__ import annotations
 
@@ -27,3 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder, so that a lost executor costs a read only."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by its keys to as many tasks as shuffles have.
+
+    A table of parts is a small file that one or two tasks read; what the queries
+    write from each row, and parse again, is many times as large. Small shuffles
+    are put together by their size before a step that makes them larger; these
+    aren't, so a task keeps its share of the rows. Steps on the keys need no
+    shuffle of their own.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

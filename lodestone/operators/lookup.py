@@ -27,16 +27,16 @@ def names_of(name: Column, short_name: Column) -> Column:
 
 
 def matches(symbols: DataFrame, names: DataFrame) -> DataFrame:
-    """All symbols that answer to the names (query_id, name), with the query's id."""
+    """All symbols that answer to the names (query_id, name), with the query's id; names are never broadcast, there may be several a symbol."""
     keyed = symbols.withColumn("key", F.explode(names_of(F.col("name"), F.col("short_name"))))
-    return keyed.join(names.select("query_id", F.trim("name").alias("key")), "key").drop("key")
+    return keyed.join(names.select("query_id", F.trim("name").alias("key")).hint("merge"), "key").drop("key")
 
 
 def symbol_lookup(symbols: DataFrame, names: DataFrame, order: list[str], most: int = MOST_SYMBOLS) -> DataFrame:
     """The first symbols of each name in the given order, and how many there are in all."""
     found = matches(symbols, names)
     total = found.groupBy("query_id").agg(F.count("*").alias("total"))
-    return top_per_key(found, ["query_id"], order, most).join(total, "query_id")
+    return top_per_key(found, ["query_id"], order, most).join(total.hint("merge"), "query_id")
 
 
 def code_window(files: DataFrame, wanted: DataFrame, most: int = MOST_LINES) -> DataFrame:

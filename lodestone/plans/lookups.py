@@ -44,7 +44,7 @@ SELECT 1 AS file_no, * FROM r WHERE row_no <= 30"""
 def symbol_lookup(spark, sf_dir):
     """Parts as symbols of a type and a brand, looked up by each short name, each name of two parts and each whole name."""
     scope, short = F.concat_ws("::", "p_type", "p_brand"), F.concat(F.lit("m"), (F.col("p_partkey") % 97).cast("string"))
-    symbols = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("::", scope, short).alias("name"), short.alias("short_name"), F.concat_ws("::", "p_brand", short).alias("scoped"))
+    symbols = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.concat_ws("::", scope, short).alias("name"), short.alias("short_name"), F.concat_ws("::", "p_brand", short).alias("scoped"))
     names = symbols.select(F.explode(F.array("name", "short_name", "scoped")).alias("name")).distinct().select(F.col("name").alias("query_id"), "name")
     return lookup.symbol_lookup(symbols, names, ["p_partkey"]).select("query_id", "p_partkey", "total")
 

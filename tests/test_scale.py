@@ -103,3 +103,10 @@ def test_reaches_are_never_broadcast(spark, monkeypatch):
         (2, 30, 30, 0, [2, 4, 8, 16]),
         (3, 26, 26, 0, [2, 4, 8, 12]),
     ]
+
+
+def test_names_of_symbols_are_never_broadcast(spark):
+    symbols = spark.range(20).selectExpr("id", "concat('a::f', id) AS name", "concat('f', id) AS short_name")
+    found = lookup.symbol_lookup(symbols, symbols.selectExpr("id AS query_id", "name"), ["id"])
+    assert "Broadcast" not in plan(found)
+    assert found.select("query_id", "id", "total").orderBy("id").collect() == [(i, i, 1) for i in range(20)]
