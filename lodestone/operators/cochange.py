@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.lineage import spread
+
 
 def once(touched: DataFrame) -> DataFrame:
-    """(commit, file) without repeats and nulls."""
-    return touched.dropna(subset=["commit", "file"]).select("commit", "file").distinct()
+    """(commit, file) without repeats and nulls.
+
+    Rows are dealt out by commit first: hardly one repeats, so a task that reads
+    many would hold them all. The pairs of a commit are made where its files are.
+    """
+    return spread(touched.dropna(subset=["commit", "file"]).select("commit", "file"), "commit").distinct()
 
 
 def commit_pairs(touched: DataFrame, max_files: int = 25) -> DataFrame:
@@ -19,7 +25,7 @@ def commit_pairs(touched: DataFrame, max_files: int = 25) -> DataFrame:
     """
     own = once(touched)
     fit = own.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n").between(2, max_files)).select("commit")
-    sets = own.join(fit, "commit", "left_semi").groupBy("commit").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    sets = own.join(fit.hint("merge"), "commit", "left_semi").groupBy("commit").agg(F.array_sort(F.collect_list("file")).alias("files"))
     return sets.select("commit", F.posexplode("files").alias("at", "file_a"), "files").select("commit", "file_a", F.explode(F.expr("slice(files, at + 2, size(files))")).alias("file_b"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import cochange, graph, ranking, review
-from lodestone.plans.common import table
+from lodestone.plans.common import spread, table
 
 _DAY = "yyyy-MM-dd"
 
@@ -50,8 +50,9 @@ SELECT a AS file_a, b AS file_b, string_agg(c::VARCHAR, ',' ORDER BY r) AS commi
 
 
 def _file_commits(spark, sf_dir):
-    once = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    return once.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # Dealt out by commit first: hardly a line repeats, so a task that reads many would hold them all.
+    once = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey").distinct()
+    return once.join(table(spark, sf_dir, "orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def file_history_rollup(spark, sf_dir):

@@ -110,3 +110,18 @@ def test_names_of_symbols_are_never_broadcast(spark):
     found = lookup.symbol_lookup(symbols, symbols.selectExpr("id AS query_id", "name"), ["id"])
     assert "Broadcast" not in plan(found)
     assert found.select("query_id", "id", "total").orderBy("id").collect() == [(i, i, 1) for i in range(20)]
+
+
+def shuffles(df):
+    return [line for line in plan(df).splitlines() if "Exchange" in line]
+
+
+def test_lines_are_dealt_out_before_repeats_are_dropped(spark):
+    """Tasks that read a large table held all their rows, as hardly one repeats."""
+    touched = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1), (2, 2), (3, 2), (3, 1), (4, None)], "commit long, file long")
+    once = cochange.once(touched)
+    assert len(shuffles(once)) == 1 and "REPARTITION_BY_NUM" in shuffles(once)[0]
+    assert len(shuffles(cochange.commit_pairs(touched))) == 2  # one for the files and one for their number, both by commit
+    assert cochange.pairs(touched).collect() == [(1, 2, 3, 1.0)]
+    commits = history._file_commits(spark, "/root/testdata/sf0.001")
+    assert len([s for s in shuffles(commits) if "l_orderkey" in s]) == 1
