@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import graph
 from lodestone.operators.intervals import overlap_join
+from lodestone.operators.lineage import spread
 from lodestone.operators.ranking import top_per_key
 
 # Severities from the mildest, and how many signals of a contract are told.
@@ -59,9 +60,10 @@ def finding_claims(hunks: DataFrame, comments: DataFrame, contracts: DataFrame,
 def findings(claims: DataFrame) -> DataFrame:
     """(review_id, place, severity, title, path, line, claims): findings of each review from the gravest on.
 
-    Those of one severity come in the order of their sort, then by place.
+    Those of one severity come in the order of their sort, then by place. Claims
+    are dealt out by review, which counting and numbering share.
     """
-    one = claims.groupBy("review_id", "part", "severity", "title", "path", "line").agg(F.count("*").alias("claims"))
+    one = spread(claims, "review_id").groupBy("review_id", "part", "severity", "title", "path", "line").agg(F.count("*").alias("claims"))
     grave = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
     order = Window.partitionBy("review_id").orderBy(grave.desc(), "part", "path", "line", "title")
     return one.withColumn("place", F.row_number().over(order)).select("review_id", "place", "severity", "title", "path", "line", "claims")

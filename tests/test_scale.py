@@ -125,3 +125,12 @@ def test_lines_are_dealt_out_before_repeats_are_dropped(spark):
     assert cochange.pairs(touched).collect() == [(1, 2, 3, 1.0)]
     commits = history._file_commits(spark, "/root/testdata/sf0.001")
     assert len([s for s in shuffles(commits) if "l_orderkey" in s]) == 1
+
+
+def test_claims_of_a_review_move_once(spark):
+    """Counting and numbering each had a shuffle, and tasks got as many claims as pack into a size."""
+    rows = "review_id long, part int, severity string, title string, path string, line int, text string"
+    claims = spark.createDataFrame([(1, 1, "STOP", "t", "p", 1, "x"), (1, 1, "STOP", "t", "p", 1, "y"), (1, 2, "INFO", "u", None, None, "z")], rows)
+    found = findings.findings(claims)
+    assert len(shuffles(found)) == 1 and "REPARTITION_BY_NUM" in shuffles(found)[0]
+    assert [(r.place, r.severity, r.claims) for r in found.orderBy("place").collect()] == [(1, "STOP", 2), (2, "INFO", 1)]
