@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.lineage import spread
 from lodestone.operators.ranking import top_per_key
 
 # Symbols of a view, and directories of the outside by level.
@@ -20,7 +21,7 @@ def wanted_symbols(symbols: DataFrame, most: int = MOST_SYMBOLS, file: str | Non
 
 
 def _endpoints(places: DataFrame, files: DataFrame, component_files: DataFrame, symbols: DataFrame, file: str | None) -> DataFrame:
-    """(node, views): what each node of the graph is shown as at every level, null for nothing."""
+    """(node, views): what each node of the graph is shown as at every level of MOST_DIRECTORIES, null for nothing."""
     inside = files.select("path").distinct().withColumn("in", F.lit(True))
     component = component_files.groupBy("path").agg(F.min("component").alias("component"))
     shown = symbols.select(F.col("id").alias("node"), F.lit(True).alias("shown"))
@@ -29,12 +30,12 @@ def _endpoints(places: DataFrame, files: DataFrame, component_files: DataFrame,
     outside, whole = F.concat(F.lit("dir:"), directory), F.concat(F.lit("file:"), F.col("path"))
     away = F.col("path").isNotNull() & F.col("in").isNull()
     beside = F.when((F.col("path") != file), whole) if file is not None else F.lit(None).cast("string")
-    view = lambda level, mapped, boundary: F.struct(F.lit(level).alias("level"), mapped.alias("group"), boundary.alias("boundary"))
+    view = lambda mapped, boundary: F.struct(mapped.alias("group"), boundary.alias("boundary"))
     symbol = F.coalesce("shown", F.lit(False))
     views = F.array(
-        view("component", F.when(away, outside).otherwise(F.col("component")), away),
-        view("file", F.when(away, outside).when(F.col("path").isNotNull(), whole), away),
-        view("symbol", F.when(symbol, F.col("node")).when(away, outside).otherwise(beside), away & ~symbol),
+        view(F.when(away, outside).otherwise(F.col("component")), away),
+        view(F.when(away, outside).when(F.col("path").isNotNull(), whole), away),
+        view(F.when(symbol, F.col("node")).when(away, outside).otherwise(beside), away & ~symbol),
     )
     return own.select("node", views.alias("views"))
 
@@ -59,8 +60,11 @@ def graph_view(edges: DataFrame, places: DataFrame, files: DataFrame, component_
     """
     ends = _endpoints(places, files, component_files, symbols, file)
     own = edges if co_change else edges.where("kind <> 'co_changes'")
-    met = own.join(ends.select(F.col("node").alias("src"), F.col("views").alias("a")), "src").join(ends.select(F.col("node").alias("dst"), F.col("views").alias("b")), "dst")
-    levels = met.select("kind", "resolution", "weight", "ord", F.explode(F.arrays_zip("a", "b")).alias("v")).select("kind", "resolution", "weight", "ord", F.col("v.a.level").alias("level"), "v.a", "v.b")
+    # Views are long texts that pack well: by their packed size too many edges would come to one task.
+    half = spread(own, "src").join(ends.select(F.col("node").alias("src"), F.col("views").alias("a")).hint("merge"), "src")
+    met = spread(half, "dst").join(ends.select(F.col("node").alias("dst"), F.col("views").alias("b")).hint("merge"), "dst")
+    level = F.get(F.array(*map(F.lit, MOST_DIRECTORIES)), F.col("nth")).alias("level")
+    levels = met.select("kind", "resolution", "weight", "ord", F.posexplode(F.arrays_zip("a", "b")).alias("nth", "v")).select("kind", "resolution", "weight", "ord", level, "v.a", "v.b")
     # Every end outside counts, also that of an edge which isn't shown.
     sides = levels.select("level", "ord", F.explode(F.array(F.struct(F.lit(0).alias("side"), "a.group", "a.boundary"), F.struct(F.lit(1).alias("side"), "b.group", "b.boundary"))).alias("e")).where("e.boundary")
     busy = sides.groupBy("level", F.col("e.group").alias("id")).agg(F.count("*").alias("ends"), F.min(F.struct("ord", "e.side")).alias("first"))

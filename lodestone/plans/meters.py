@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph_view, meters
-from lodestone.plans.common import table
+from lodestone.plans.common import spread, table
 
 
 
@@ -119,7 +119,7 @@ BUDGET_COUNTS = (
 
 def _view(spark, sf_dir):
     """Parts as symbols in files of directories by size; those of every fourth directory lie outside."""
-    part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    part, lines = spread(table(spark, sf_dir, "part"), "p_partkey"), table(spark, sf_dir, "lineitem")
     path = F.concat(F.lit("d"), F.col("p_size").cast("string"), F.lit("/f"), (_key() % 9).cast("string"))
     key = F.concat(F.lit("s"), _key().cast("string"))
     places = part.select(key.alias("node"), path.alias("path"))

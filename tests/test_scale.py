@@ -134,3 +134,15 @@ def test_claims_of_a_review_move_once(spark):
     found = findings.findings(claims)
     assert len(shuffles(found)) == 1 and "REPARTITION_BY_NUM" in shuffles(found)[0]
     assert [(r.place, r.severity, r.claims) for r in found.orderBy("place").collect()] == [(1, "STOP", 2), (2, "INFO", 1)]
+
+
+def test_edges_with_views_are_dealt_out(spark):
+    """By their packed size too many edges with texts of views came to one task."""
+    edges = spark.createDataFrame([("a", "b", "calls", 0, 2, 1), ("b", "c", "calls", 1, 3, 2)], "src string, dst string, kind string, resolution int, weight int, ord long")
+    places = spark.createDataFrame([("a", "x/a.c"), ("b", "y/b.c"), ("c", "z/c.c")], "node string, path string")
+    files = places.where("node <> 'c'").select("path")
+    symbols = spark.createDataFrame([("a",), ("b",)], "id string")
+    nodes, shown = graph_view.graph_view(edges, places, files, files.selectExpr("concat('c', left(path, 1)) AS component", "path"), symbols)
+    assert sum("REPARTITION_BY_NUM" in s for s in shuffles(shown)) >= 2
+    assert sorted(map(tuple, shown.where("level = 'component'").collect())) == [("component", "cx", "cy", "calls", 0, 2), ("component", "cy", "dir:z", "calls", 1, 3)]
+    assert nodes.where("boundary").count() == 3
