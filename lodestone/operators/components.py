@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.lineage import cut, spread
 
 # Share of names that make a prefix common, files below which directories are components,
 # members below which a directory stays whole.
@@ -44,8 +45,13 @@ def largest_directories(paths: DataFrame, depth: int, most_files: int = 500, n:
     return paths.where(F.size(parts) > depth).groupBy(F.array_join(F.slice(parts, 1, depth), "/").alias("directory")).agg(F.count("*").alias("files")).where(F.col("files") <= most_files).orderBy(F.desc("files"), "directory").limit(n)
 
 
-def louvain(links: dict[tuple[Hashable, Hashable], float], nodes: list) -> dict:
-    """Communities of an undirected weighted graph by local moves of modularity and merging, in the order of the nodes."""
+def louvain(links: dict[tuple[Hashable, Hashable], float], nodes: list, total: float | None = None) -> dict:
+    """Communities of an undirected weighted graph by local moves of modularity and merging, in the order of the nodes.
+
+    Where the links are those of one connected part of a graph, ``total`` is twice
+    the weight of all of that graph's links: the communities are then those that
+    the whole graph gives, as no move looks beyond a part but for that weight.
+    """
     member = {v: i for i, v in enumerate(nodes)}  # node -> node of the present, merged graph
     graph: dict[int, dict[int, float]] = {i: {} for i in range(len(nodes))}
     for (a, b), w in links.items():
@@ -56,7 +62,7 @@ def louvain(links: dict[tuple[Hashable, Hashable], float], nodes: list) -> dict:
     while True:
         # A loop counts at both of its ends.
         degree = {i: sum(near.values()) + near.get(i, 0) for i, near in graph.items()}
-        total = sum(degree.values())
+        total = sum(degree.values()) if total is None else total
         if not total:
             return member
         of, weight, moved_ever, moved = {i: i for i in graph}, dict(degree), False, True
@@ -87,27 +93,59 @@ def louvain(links: dict[tuple[Hashable, Hashable], float], nodes: list) -> dict:
         member = {v: place[of[i]] for v, i in member.items()}
 
 
+def connected(links: DataFrame) -> DataFrame:
+    """(node, part): the least node that links (a, b) lead to from each node that has any.
+
+    Every round takes the least part of the neighbours and then the part of that
+    part, so that long chains shrink to a half.
+    """
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    parts = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("part")))
+    while True:
+        near = both.join(parts.select(F.col("node").alias("b"), "part").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("part").alias("near"))
+        least = parts.join(near.hint("merge"), "node").select("node", F.col("part").alias("was"), F.least("part", "near").alias("to"))
+        onward = parts.select(F.col("node").alias("to"), F.col("part").alias("next"))
+        found = cut(least.join(onward.hint("merge"), "to").select("node", "was", F.least("to", "next").alias("part")))
+        if found.where("part <> was").isEmpty():
+            return found.select("node", "part")
+        parts = found.select("node", "part")
+
+
 def communities(files: DataFrame, links: DataFrame) -> DataFrame:
     """(directory, path, community) of the files of each directory.
 
     ``links`` has a, b and weight; only those within a directory count. A task
-    takes a directory at a time, whose files are what is bounded here; small
-    ones and those without links stay whole.
+    takes a connected part of a directory at a time, whose files are what is
+    bounded here; small directories and those without links stay whole.
+    Communities are numbered in the order of their first files.
     """
-    placed = files.select(T.dirname(F.col("path")).alias("directory"), "path").distinct()
+    placed = cut(files.select(T.dirname(F.col("path")).alias("directory"), "path").distinct())
     pairs = links.where("a <> b").select(T.dirname(F.col("a")).alias("directory"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight", T.dirname(F.col("b")).alias("other"))
-    inside = pairs.where("directory = other").groupBy("directory", "a", "b").agg(F.sum("weight").cast("double").alias("weight"))
-
-    def group(key, nodes, edges):
+    summed = pairs.where("directory = other").groupBy("directory", "a", "b").agg(F.sum("weight").cast("double").alias("weight"))
+    known = lambda end: placed.select(F.col("path").alias(end)).hint("merge")
+    inside = cut(summed.join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi"))
+    sizes = placed.groupBy("directory").agg(F.count("*").alias("files"))
+    large = inside.groupBy("directory").agg((F.sum("weight") * 2).alias("total")).join(sizes.hint("merge"), "directory").where(F.col("files") >= SMALL_DIRECTORY).select("directory", "total")
+    parts = connected(inside)
+    linked = inside.join(large.hint("merge"), "directory").join(parts.withColumnRenamed("node", "a").hint("merge"), "a")
+
+    def group(edges):
         import pandas as pd
 
-        paths = sorted(nodes["path"])
-        known = set(paths)
-        near = {(a, b): w for a, b, w in zip(edges["a"], edges["b"], edges["weight"], strict=True) if a in known and b in known}
-        found = louvain(near, paths) if near and len(paths) >= SMALL_DIRECTORY else dict.fromkeys(paths, 0)
-        return pd.DataFrame({"directory": key[0], "path": paths, "community": [int(found[p]) for p in paths]})
-
-    return placed.groupBy("directory").cogroup(inside.groupBy("directory")).applyInPandas(group, "directory string, path string, community long")
+        near = {(a, b): w for a, b, w in zip(edges["a"], edges["b"], edges["weight"], strict=True)}
+        paths = sorted({*edges["a"], *edges["b"]})
+        found = louvain(near, paths, edges["total"][0])
+        first: dict[int, str] = {}
+        for p in paths:
+            first.setdefault(found[p], p)
+        return pd.DataFrame({"path": paths, "first": [first[found[p]] for p in paths]})
+
+    grouped = spread(linked, "part").groupBy("part").applyInPandas(group, "path string, first string")
+    # A file without links is a community of its own in a directory that has any, and of its directory else.
+    first = F.when(F.col("total").isNotNull(), F.coalesce("first", "path")).otherwise("")
+    firsts = placed.join(large.hint("merge"), "directory", "left").join(grouped.hint("merge"), "path", "left").select("directory", "path", first.alias("first"))
+    nth = F.dense_rank().over(Window.partitionBy("directory").orderBy("first")) - 1
+    return firsts.select("directory", "path", nth.cast("long").alias("community"))
 
 
 def components(files: DataFrame, links: DataFrame, scope_path: str = "") -> DataFrame:

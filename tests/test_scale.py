@@ -1,6 +1,8 @@
 """What keeps steps in proportion to their input: who meets whom, and what is never broadcast."""
 
-from lodestone.operators import cochange, findings, graph_view, intervals, lineage, lookup, meters, search, signals, structure
+from pyspark.sql import functions as F
+
+from lodestone.operators import cochange, components, findings, graph_view, history_rules, intervals, lineage, lookup, meters, search, signals, structure
 from lodestone.plans import history, lookups, sources_model
 from lodestone.sources import c_structure
 
@@ -146,3 +148,27 @@ def test_edges_with_views_are_dealt_out(spark):
     assert sum("REPARTITION_BY_NUM" in s for s in shuffles(shown)) >= 2
     assert sorted(map(tuple, shown.where("level = 'component'").collect())) == [("component", "cx", "cy", "calls", 0, 2), ("component", "cy", "dir:z", "calls", 1, 3)]
     assert nodes.where("boundary").count() == 3
+
+
+def test_connected_parts_have_the_communities_of_their_directory(spark, monkeypatch):
+    """One task took a whole directory, though its connected parts don't bear on each other."""
+    links = {}
+    for part in range(3):  # two triangles with a bridge, three times, mixed by name, and a heavier one
+        at = lambda k, part=part: f"d/{k}{part}"
+        for a, b in ((0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5), (2, 3)):
+            links[at(a), at(b)] = 1.0 + part * (a + b)
+    paths = sorted({p for pair in links for p in pair} | {"d/alone"})
+    whole = components.louvain(links, paths)
+    files = spark.createDataFrame([(p,) for p in [*paths, "e/a", "e/b", "e/c", "e/d"]], "path string")
+    pairs = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "a string, b string, weight double")
+    parts = {r.node: r.part for r in components.connected(pairs).collect()}
+    assert parts == {p: f"d/0{p[-1]}" for p in paths if p != "d/alone"}
+    found = components.communities(files, pairs)
+    assert "part" in next(line for line in plan(found).splitlines() if "FlatMapGroupsInPandas" in line)
+    assert {r.path: r.community for r in found.where("directory = 'd'").collect()} == whole
+    assert [r.community for r in found.where("directory = 'e'").collect()] == [0] * 4
+
+
+def test_chains_are_one_part(spark):
+    chain = spark.range(40).selectExpr("format_string('%03d', id) AS a", "format_string('%03d', id + 1) AS b")
+    assert components.connected(chain).where("part = '000'").count() == 41
