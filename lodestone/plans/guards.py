@@ -180,7 +180,7 @@ def floor_reasons(spark, sf_dir):
     signals = lines.select("case_id", "nth", where, pick(F.col("l_suppkey"), "isr", "bus_io", "timing", "hw_access").alias("kind"))
     touched = lines.where("l_linenumber < 6").select("case_id", "nth", subject.alias("name"), pick(F.col("l_partkey"), "low", "medium", "high").alias("level"))
     reasons = history_rules.floor_reasons(cases, history, comments, signals, touched)
-    return reasons.join(history_rules.floors(reasons), "case_id").select("case_id", "place.step", F.when(F.col("place.step").between(1, 4), F.col("place.nth")).otherwise(0).alias("nth"), "rule", "verdict", "detail", "floor")
+    return history_rules.with_floors(reasons).select("case_id", "place.step", F.when(F.col("place.step").between(1, 4), F.col("place.nth")).otherwise(0).alias("nth"), "rule", "verdict", "detail", "floor")
 
 
 FLOOR = """WITH l AS (SELECT l_orderkey AS case_id, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, l_returnflag AS f, l_linestatus AS st, 'p:' || l_partkey AS w,

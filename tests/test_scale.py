@@ -172,3 +172,16 @@ def test_connected_parts_have_the_communities_of_their_directory(spark, monkeypa
 def test_chains_are_one_part(spark):
     chain = spark.range(40).selectExpr("format_string('%03d', id) AS a", "format_string('%03d', id + 1) AS b")
     assert components.connected(chain).where("part = '000'").count() == 41
+
+
+def test_rules_of_a_floor_are_worked_out_once(spark):
+    """The floor and the cases without a rule each worked all rules out again."""
+    cases = spark.createDataFrame([(1, True, "complete", 1), (2, False, "partial", 0), (3, False, "complete", 2), (3, False, "complete", 2), (None, True, "complete", 1)], "case_id long, behaviour_free boolean, completeness string, related_tests int")
+    none = spark.createDataFrame([], "case_id long, nth int, where string, sha string, subject string, revert boolean, bugfix boolean, rationale boolean, explicit boolean, comment string, kind string, name string, level string")
+    reasons = history_rules.floor_reasons(cases, none, none, none, none)
+    both = history_rules.with_floors(reasons)
+    assert len(shuffles(both)) == len(shuffles(reasons))
+    assert sum("no_rule" in line for line in plan(both).splitlines()) == 1
+    want = sorted(map(str, reasons.join(history_rules.floors(reasons).withColumnRenamed("case_id", "c"), F.col("case_id").eqNullSafe(F.col("c"))).select("case_id", "rule", "verdict", "floor").collect()))
+    assert sorted(map(str, both.select("case_id", "rule", "verdict", "floor").collect())) == want
+    assert sorted((r.case_id or 0, r.rule) for r in both.collect()) == [(0, "change_class"), (0, "no_rule"), (1, "change_class"), (2, "no_related_tests"), (3, "no_rule"), (3, "no_rule")]
