@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,9 +143,47 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.join(F.broadcast(starts), "_part").withColumn(name, place).drop("_part", "_at", "_start")
 
 
+PART_BYTES = 1 << 22  # of a column that a task takes up at once
+
+
+def text_parts(batches: Iterable[pa.RecordBatch], at: int, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices with about ``size`` bytes in column ``at``; a larger value stands alone.
+
+    A batch holds thousands of texts, and a task's strings and results are
+    several times as large as these.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(int(np.searchsorted(ends, before + size, "right")), lo + 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library and Arrow still hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow``, which keeps texts out of pandas."""
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow``, which keeps texts out of pandas.
+
+    Spark keeps a Python worker for later tasks, so one gives back what it no
+    longer uses: else an executor holds it through all stages that follow.
+    """
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 class Bounded(dict):

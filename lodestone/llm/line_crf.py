@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from lodestone.llm.common import WORD, held_out, labelled_sample, quoted
+from lodestone.llm.common import WORD, held_out, labelled_sample, map_batches, quoted, text_parts
 
 CHUNK_CHARS = 1 << 20  # characters whose lines are measured together
 LONGEST_CHAIN = 4096  # lines of the longest document that the chain is learned from; scoring takes all
@@ -368,12 +368,12 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     at = own.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in text_parts(batches, at):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             found = np.concatenate([shared.value.scores(c) for c in chunks(texts)]) if texts else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
 
-    return plain.mapInArrow(run, StructType([*plain.schema.fields]).add("score", DoubleType())).toDF(*own, name)
+    return map_batches(plain, run, StructType([*plain.schema.fields]).add("score", DoubleType())).toDF(*own, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 1500) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stash
+from lodestone.llm.common import map_batches, stash, text_parts
 from lodestone.llm.graph import components
 from lodestone.llm.pretokens import SHORT, SHORT_MASKS
 
@@ -122,7 +122,7 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, set, grams, labels, bits) of each document; null set where no word is."""
 
     def run(batches):
-        for batch in batches:
+        for batch in text_parts(batches, 1):
             rows = []
             for text in batch.column(1).to_pylist():
                 found = grams(text, n)
@@ -131,7 +131,7 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
             types = (pa.binary(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "set", "grams", "labels", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, set binary, grams long, labels binary, bits binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, set binary, grams long, labels binary, bits binary")
 
 
 def _near(one: np.ndarray, two: np.ndarray, screen: int, threshold: tuple[int, int]) -> np.ndarray:
@@ -279,7 +279,7 @@ def _forest(nodes: DataFrame, depth: int, screen: int, threshold: tuple[int, int
             yield pa.RecordBatch.from_arrays([u, v, *none], names)
 
     def across(batches):
-        for batch in batches:
+        for batch in text_parts(batches, 0):
             edges = []
             for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
                 one, two = (np.frombuffer(x.as_py(), np.uint64).reshape(-1, 4) for x in (one, two))
@@ -290,14 +290,14 @@ def _forest(nodes: DataFrame, depth: int, screen: int, threshold: tuple[int, int
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], ["u", "v"])
 
-    found = stash(ordered.mapInArrow(run, "u long, v long, key binary, block binary, least long, most long, rows binary"), "forest")
+    found = stash(map_batches(ordered, run, "u long, v long, key binary, block binary, least long, most long, rows binary"), "forest")
     blocks = found.where("key IS NOT NULL")
     up, down = threshold
     sides = [blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "least", "most"))) for side in "ab"]
     pairs = sides[0].join(sides[1], "key").where(f"block_a < block_b AND {up} * least_b <= {down} * most_a AND {up} * least_a <= {down} * most_b").select("block_a", "block_b")
     one, two = (blocks.select(F.col("block").alias(f"block_{side}"), F.col("rows").alias(name)) for side, name in (("a", "one"), ("b", "two")))
     met = pairs.join(one, "block_a").join(two, "block_b").repartition("block_a", "block_b").select("one", "two")
-    return found.where("key IS NULL").select("u", "v").unionByName(met.mapInArrow(across, "u long, v long"))
+    return found.where("key IS NULL").select("u", "v").unionByName(map_batches(met, across, "u long, v long"))
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -383,7 +383,7 @@ def _verified(members: DataFrame, docs: DataFrame, n: int, threshold: tuple[int,
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["node", "links", "root"])
 
-        for batch in batches:
+        for batch in text_parts(batches, 7):
             columns = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "node", "set", "side", "copies", "text")]
             for cluster, i, j, node, digest, where, copies, text in zip(*columns, strict=True):
                 if key != (cluster, i, j):
@@ -399,7 +399,7 @@ def _verified(members: DataFrame, docs: DataFrame, n: int, threshold: tuple[int,
         if block:
             yield from done()
 
-    return rows.mapInArrow(run, "node long, links long, root long")
+    return map_batches(rows, run, "node long, links long, root long")
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), target: float = 0.9999) -> DataFrame:

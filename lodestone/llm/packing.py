@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import pretokens
-from lodestone.llm.common import stash
+from lodestone.llm.common import map_batches, stash, text_parts
 
 
 class Counts:
@@ -230,7 +230,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) ->
     def run(batches):
         encode = _tokenizers.get(path) or _tokenizers.setdefault(path, WordTokenizer(path))
         end, task, seen = end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in batches:
+        for batch in text_parts(batches, 1):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 packed = memoryview(ids + end)
@@ -244,7 +244,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, names.values(), strict=True)], list(names))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, at long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def assign(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -275,7 +275,7 @@ def assign(pieces: DataFrame, capacity: int) -> DataFrame:
             nth, inside = np.divmod(rank - lo, each)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(first + nth), pa.array(offset + inside * length)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_batches(ranked, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
