@@ -50,6 +50,11 @@ class Counts:
         self.next, self.end = ends[:-1].tolist(), ends[1:].tolist()
         self.triple_parts: dict[int, list[int]] = {}  # of a sum, the largest first
 
+    @property
+    def no_triple(self) -> set[int]:
+        """The sums asked for that no triple makes any more."""
+        return {total for total, alive in self.triple_parts.items() if not alive}
+
     def take(self, pattern: tuple[int, ...], times: int) -> None:
         for n in pattern:
             self.left[n] -= times
