@@ -206,3 +206,14 @@ def test_a_long_chain_of_renames_and_a_name_that_is_used_again(spark):
     rows = spark.createDataFrame(chain, "commit int, change int, status string, path string, old_path string")
     found = {(r["commit"], r["change"]): r["file"] for r in renames.follow_renames(rows, spark.createDataFrame([("n0",), ("n9",)], "path string")).collect()}
     assert found[40, 0] == found[41, 0] == "n0" and found[2, 1] == "n9" and found[9, 0] == "n0"
+
+
+def test_rounds_follow_the_blocks_not_the_renames(spark, monkeypatch):
+    """A file that went by two names in turn, 600 renames long, is followed through 8 blocks in a few rounds."""
+    written = []
+    monkeypatch.setattr(renames, "stored", lambda df, name, real=renames.stored: written.append(name) or real(df, name))
+    rows = [(2 * k + step, 0, "R" if step else "M", f"n{k % 2}", f"n{(k + 1) % 2}" if step else None) for k in range(600) for step in (0, 1)]
+    changes = spark.createDataFrame(rows, "commit long, change int, status string, path string, old_path string")
+    found = renames.follow_renames(changes, spark.createDataFrame([("n0",)], "path string")).collect()
+    assert sorted((r["commit"], r["file"]) for r in found) == [(c, "n0") for c in range(1200)]
+    assert written.count("heads") <= 5
