@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators.lineage import cut, spread
+from lodestone.operators.lineage import spread, stored
 
 # Share of names that make a prefix common, files below which directories are components,
 # members below which a directory stays whole.
 MAJORITY, SMALL_SCOPE, SMALL_DIRECTORY = 0.6, 30, 4
+#: Links whose connected parts one task finds.
+FEW_LINKS = 200_000
 
 
 def prefix_lengths(names: DataFrame, keys: list[str], parts: Column, share: float) -> DataFrame:
@@ -66,20 +68,32 @@ def louvain(links: dict[tuple[Hashable, Hashable], float], nodes: list, total: f
         if not total:
             return member
         of, weight, moved_ever, moved = {i: i for i in graph}, dict(degree), False, True
+        # A node stays where it is while no community of its neighbours, nor its own, has changed since it was looked at.
+        now, changed, looked = 0, dict.fromkeys(graph, 0), dict.fromkeys(graph, -1)
         while moved:
             moved = False
             for i, near in graph.items():
+                home, before = of[i], looked[i]
+                if changed[home] <= before and all(changed[of[j]] <= before for j in near):
+                    continue
                 into: dict[int, float] = {}
                 for j, w in near.items():
                     if j != i:
-                        into[of[j]] = into.get(of[j], 0) + w
-                home = of[i]
-                weight[home] -= degree[i]
-                gain = lambda c, into=into, i=i: into.get(c, 0) - degree[i] * weight[c] / total
-                best = max(sorted(into), key=gain, default=home)
-                if gain(best) > gain(home) + 1e-12:
-                    of[i], moved, moved_ever = best, True, True
-                weight[of[i]] += degree[i]
+                        c = of[j]
+                        into[c] = into.get(c, 0) + w
+                own = degree[i]
+                weight[home] -= own
+                stay = into.get(home, 0) - own * weight[home] / total
+                best, most = home, stay
+                for c, w in into.items():  # the least of those that tie
+                    gain = w - own * weight[c] / total
+                    if gain > most or (gain == most and c < best):
+                        best, most = c, gain
+                if most > stay + 1e-12:
+                    of[i], moved, moved_ever, now = best, True, True, now + 1
+                    changed[home] = changed[best] = now
+                weight[of[i]] += own
+                looked[i] = now
         if not moved_ever:
             return member
         place = {c: k for k, c in enumerate(dict.fromkeys(of.values()))}
@@ -93,22 +107,59 @@ def louvain(links: dict[tuple[Hashable, Hashable], float], nodes: list, total: f
         member = {v: place[of[i]] for v, i in member.items()}
 
 
+def _parts_of_few(links: DataFrame) -> DataFrame:
+    """(node, part) of links (a, b) that one task holds; a part is named by any of its nodes."""
+
+    def run(frames):
+        import pandas as pd
+
+        over: dict = {}
+
+        def root(x):
+            while over.setdefault(x, x) != x:
+                over[x] = over[over[x]]
+                x = over[x]
+            return x
+
+        for frame in frames:
+            for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+                a, b = root(a), root(b)
+                over[a] = b
+        nodes = list(over)
+        if nodes:
+            yield pd.DataFrame({"node": nodes, "part": [root(x) for x in nodes]})
+
+    kind = dict(links.dtypes)["a"]
+    return links.repartition(1).mapInPandas(run, f"node {kind}, part {kind}")
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, part): the least node that links (a, b) lead to from each node that has any.
 
-    Every round takes the least part of the neighbours and then the part of that
-    part, so that long chains shrink to a half.
+    Every round puts each node together with the one of itself and its neighbours
+    that comes first by a hash of that round, and goes on with the links between
+    those that are left: they shrink by a share a round, whatever the length of
+    chains and the size of parts. One task does the rest once it is small.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    parts = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("part")))
-    while True:
-        near = both.join(parts.select(F.col("node").alias("b"), "part").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("part").alias("near"))
-        least = parts.join(near.hint("merge"), "node").select("node", F.col("part").alias("was"), F.least("part", "near").alias("to"))
-        onward = parts.select(F.col("node").alias("to"), F.col("part").alias("next"))
-        found = cut(least.join(onward.hint("merge"), "to").select("node", "was", F.least("to", "next").alias("part")))
-        if found.where("part <> was").isEmpty():
-            return found.select("node", "part")
-        parts = found.select("node", "part")
+    apart = F.col("a") != F.col("b")
+    left = stored(links.where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    rounds: list[DataFrame] = []
+    while left.count() > FEW_LINKS:
+        rank = lambda c, k=len(rounds): F.struct(F.xxhash64(c, F.lit(k)), F.col(c).alias("node"))
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy("a").agg(F.min(rank("b")).alias("near")).select(F.col("a").alias("node"), F.least("near", rank("a"))["node"].alias("part"))
+        first = stored(first, "firsts")
+        to = lambda end: first.select(F.col("node").alias(end), F.col("part").alias(f"to_{end}")).hint("merge")  # noqa: E731, B023
+        moved = left.join(to("a"), "a").join(to("b"), "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        left = stored(moved.where(apart).distinct(), "links")
+        rounds.append(first)
+    found = _parts_of_few(left)
+    for first in reversed(rounds):  # a node without links in later rounds is its part
+        later = found.select(F.col("node").alias("part"), F.col("part").alias("last"))
+        found = first.join(later.hint("merge"), "part", "left").select("node", F.coalesce("last", "part").alias("part"))
+    found = stored(found, "parts")
+    least = found.groupBy("part").agg(F.min("node").alias("least"))
+    return found.join(least.hint("merge"), "part").select("node", F.col("least").alias("part"))
 
 
 def communities(files: DataFrame, links: DataFrame) -> DataFrame:
@@ -119,31 +170,34 @@ def communities(files: DataFrame, links: DataFrame) -> DataFrame:
     bounded here; small directories and those without links stay whole.
     Communities are numbered in the order of their first files.
     """
-    placed = cut(files.select(T.dirname(F.col("path")).alias("directory"), "path").distinct())
+    # Files are numbers in the order of their paths from here on.
+    each = files.select(T.dirname(F.col("path")).alias("directory"), "path").distinct()
+    placed = stored(each.repartitionByRange("directory", "path").sortWithinPartitions("directory", "path").withColumn("id", F.monotonically_increasing_id()), "files")
     pairs = links.where("a <> b").select(T.dirname(F.col("a")).alias("directory"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight", T.dirname(F.col("b")).alias("other"))
     summed = pairs.where("directory = other").groupBy("directory", "a", "b").agg(F.sum("weight").cast("double").alias("weight"))
-    known = lambda end: placed.select(F.col("path").alias(end)).hint("merge")
-    inside = cut(summed.join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi"))
+    known = lambda end: placed.select(F.col("path").alias(end), F.col("id").alias(f"id_{end}")).hint("merge")
+    inside = stored(summed.join(known("a"), "a").join(known("b"), "b").select("directory", F.col("id_a").alias("a"), F.col("id_b").alias("b"), "weight"), "inside")
     sizes = placed.groupBy("directory").agg(F.count("*").alias("files"))
-    large = inside.groupBy("directory").agg((F.sum("weight") * 2).alias("total")).join(sizes.hint("merge"), "directory").where(F.col("files") >= SMALL_DIRECTORY).select("directory", "total")
+    large = stored(inside.groupBy("directory").agg((F.sum("weight") * 2).alias("total")).join(sizes.hint("merge"), "directory").where(F.col("files") >= SMALL_DIRECTORY).select("directory", "total"), "directories")
     parts = connected(inside)
     linked = inside.join(large.hint("merge"), "directory").join(parts.withColumnRenamed("node", "a").hint("merge"), "a")
 
     def group(edges):
         import pandas as pd
 
-        near = {(a, b): w for a, b, w in zip(edges["a"], edges["b"], edges["weight"], strict=True)}
-        paths = sorted({*edges["a"], *edges["b"]})
-        found = louvain(near, paths, edges["total"][0])
-        first: dict[int, str] = {}
-        for p in paths:
-            first.setdefault(found[p], p)
-        return pd.DataFrame({"path": paths, "first": [first[found[p]] for p in paths]})
+        a, b = edges["a"].tolist(), edges["b"].tolist()
+        near = dict(zip(zip(a, b, strict=True), edges["weight"].tolist(), strict=True))
+        ids = sorted({*a, *b})
+        found = louvain(near, ids, float(edges["total"].iloc[0]))
+        first: dict[int, int] = {}
+        for i in ids:
+            first.setdefault(found[i], i)
+        return pd.DataFrame({"id": ids, "first": [first[found[i]] for i in ids]})
 
-    grouped = spread(linked, "part").groupBy("part").applyInPandas(group, "path string, first string")
+    grouped = spread(linked, "part").groupBy("part").applyInPandas(group, "id long, first long")
     # A file without links is a community of its own in a directory that has any, and of its directory else.
-    first = F.when(F.col("total").isNotNull(), F.coalesce("first", "path")).otherwise("")
-    firsts = placed.join(large.hint("merge"), "directory", "left").join(grouped.hint("merge"), "path", "left").select("directory", "path", first.alias("first"))
+    first = F.when(F.col("total").isNotNull(), F.coalesce("first", "id")).otherwise(-1)
+    firsts = placed.join(large.hint("merge"), "directory", "left").join(grouped.hint("merge"), "id", "left").select("directory", "path", first.alias("first"))
     nth = F.dense_rank().over(Window.partitionBy("directory").orderBy("first")) - 1
     return firsts.select("directory", "path", nth.cast("long").alias("community"))
 

@@ -203,12 +203,19 @@ CASE k WHEN 0 THEN 2 WHEN 1 THEN 6 WHEN 2 THEN 5 ELSE 13 + p_size END AS "end" F
 
 def louvain_components(spark, sf_dir):
     """Communities of each brand's parts by the orders that hold them: how many and how large."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("/", F.lit("b"), "p_brand", F.col("p_partkey").cast("string")).alias("path"), "p_brand")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct().join(part, "l_partkey")
+    path = lambda key: F.concat_ws("/", F.lit("b"), "p_brand", F.col(key).cast("string"))
+    part = table(spark, sf_dir, "part").select(path("p_partkey").alias("path"))
+    brands = table(spark, sf_dir, "part").groupBy(F.col("p_partkey").alias("l_partkey"), "p_brand").agg(F.count("*").alias("times"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(brands.hint("merge"), "l_partkey")
+    lines = spread(lines.withColumn("h", F.xxhash64("l_orderkey", "p_brand")), "h")
+    # Few orders hold two parts of a brand: the others go before lists are made.
+    several = lines.groupBy("h").agg(F.min("l_partkey").alias("lo"), F.max("l_partkey").alias("hi")).where("lo < hi").select("h")
+    sets = lines.join(several.hint("shuffle_hash"), "h", "left_semi").groupBy("h", "l_orderkey", "p_brand").agg(F.collect_set(F.struct("l_partkey", "times")).alias("parts"))
+    sets = sets.select("p_brand", F.array_sort("parts").alias("parts")).where("size(parts) > 1")
     # An order holds a few lines, so its pairs are few.
-    sets = lines.groupBy("l_orderkey", "p_brand").agg(F.array_sort(F.collect_list("path")).alias("paths")).where("size(paths) > 1")
-    pairs = sets.select(F.posexplode("paths").alias("at", "a"), "paths").select("a", F.explode(F.expr("slice(paths, at + 2, size(paths))")).alias("b")).groupBy("a", "b").agg(F.count("*").alias("weight"))
-    found = components.communities(part.select("path"), pairs)
+    pairs = sets.select("p_brand", F.posexplode("parts").alias("at", "x"), "parts").select("p_brand", "x", F.explode(F.expr("slice(parts, at + 2, size(parts))")).alias("y"))
+    pairs = pairs.groupBy("p_brand", F.col("x.l_partkey").alias("x"), F.col("y.l_partkey").alias("y")).agg(F.sum(F.expr("x.times * y.times")).alias("weight")).select(path("x").alias("a"), path("y").alias("b"), "weight")
+    found = components.communities(part, pairs)
     return found.groupBy("directory", "community").agg(F.count("*").alias("files")).groupBy("directory").agg(F.count("*").alias("communities"), F.max("files").alias("largest"))
 
 

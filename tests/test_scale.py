@@ -174,6 +174,26 @@ def test_chains_are_one_part(spark):
     assert components.connected(chain).where("part = '000'").count() == 41
 
 
+def test_links_shrink_from_round_to_round(spark, monkeypatch):
+    """Every round went over all links, and each was worked out twice."""
+    pairs = [(f"c{k:03d}", f"c{k + 1:03d}") for k in range(60)] + [("hub", f"s{k:02d}") for k in range(30)] + [("x", "y"), ("y", "z"), ("z", "x"), ("x", "x"), ("y", "x"), (None, "x")]
+    links = spark.createDataFrame(pairs, "a string, b string")
+    want = {**{f"c{k:03d}": "c000" for k in range(61)}, "hub": "hub", **{f"s{k:02d}": "hub" for k in range(30)}, **dict.fromkeys("xyz", "x")}
+    sizes, kept = [], components.stored
+
+    def stored(df, name):
+        out = kept(df, name)
+        sizes.extend([out.count()] if name == "links" else [])
+        return out
+
+    monkeypatch.setattr(components, "stored", stored)
+    assert {r.node: r.part for r in components.connected(links).collect()} == want and sizes == [93]
+    monkeypatch.setattr(components, "FEW_LINKS", 0)
+    assert {r.node: r.part for r in components.connected(links).collect()} == want
+    rounds = sizes[1:]
+    assert len(rounds) > 2 and rounds[-1] == 0 and all(b < a for a, b in zip(rounds, rounds[1:])) and sum(rounds) < 4 * rounds[0]
+
+
 def test_rules_of_a_floor_are_worked_out_once(spark):
     """The floor and the cases without a rule each worked all rules out again."""
     cases = spark.createDataFrame([(1, True, "complete", 1), (2, False, "partial", 0), (3, False, "complete", 2), (3, False, "complete", 2), (None, True, "complete", 1)], "case_id long, behaviour_free boolean, completeness string, related_tests int")
