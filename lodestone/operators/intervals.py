@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -19,20 +20,29 @@ def _level(start: Column, end: Column) -> Column:
     return F.least(F.ceil(bits / F.lit(STEP)).cast("int") * STEP, F.lit(TOP))
 
 
-def _in_cells(df: DataFrame, key: str, span: tuple[str, str], side: str, only_own: bool) -> DataFrame:
+def _in_cells(df: DataFrame, key: str, span: tuple[str, str], side: str, only_own: bool, where: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """A row for every cell that an interval touches: of its own length, and of all longer ones unless ``only_own``.
 
     An interval touches two cells of a length at most, but for the longest cells.
+    ``where`` says of a length, and an interval's own one, whether cells of it are needed.
     """
     start, end = (F.col(c).cast("long") for c in span)
     own = df.withColumns({f"_from_{side}": start, f"_to_{side}": end, f"_own_{side}": _level(start, end)})
     levels = F.array(F.col(f"_own_{side}")) if only_own else F.sequence(F.col(f"_own_{side}"), F.lit(TOP), F.lit(STEP))
+    if where:
+        levels = F.filter(levels, lambda at: where(at, F.col(f"_own_{side}")))
     cells = own.where((F.col(f"_from_{side}") <= F.col(f"_to_{side}")) & F.col(key).isNotNull()).withColumn("_level", F.explode(levels))
     first = F.expr(f"shiftright(_from_{side}, _level)")
     return cells.withColumn(f"_first_{side}", first).withColumn("_cell", F.explode(F.sequence(first, F.expr(f"shiftright(_to_{side}, _level)"))))
 
 
-def _meeting(points: DataFrame, ranges: DataFrame, key: str, p: tuple[str, str], r: tuple[str, str]) -> tuple[DataFrame, DataFrame, list[str]]:
+def lengths(df: DataFrame, span: tuple[str, str]) -> list[int]:
+    """The lengths of cells, in bits, that the intervals of a table have as their own."""
+    start, end = (F.col(c).cast("long") for c in span)
+    return sorted(df.where(start <= end).select(_level(start, end).alias("at")).distinct().toPandas()["at"].tolist())
+
+
+def _meeting(points: DataFrame, ranges: DataFrame, key: str, p: tuple[str, str], r: tuple[str, str], known: tuple[list[int], list[int]] | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides in their cells, and the columns on which they meet.
 
     The longer of two intervals is in cells of its own length: ``_meet`` is 0
@@ -40,12 +50,19 @@ def _meeting(points: DataFrame, ranges: DataFrame, key: str, p: tuple[str, str],
     intervals never meet in long cells, which all of a key share.
     """
     longer = lambda side: F.col("_level") > F.col(f"_own_{side}")
-    left = _in_cells(points, key, p, "p", r[0] == r[1]).withColumn("_meet", longer("p").cast("int"))
-    right = _in_cells(ranges, key, r, "r", p[0] == p[1]).withColumn("_meet", F.explode(F.when(longer("r"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    of_left = of_right = None
+    if known:
+        of_p, of_r = known
+        of_left = lambda at, own: (at == own) | at.isin(*of_r)
+        of_right = lambda at, own: at.isin(*of_p) | ((at == own) & (at > min(of_p, default=TOP)))
+    left = _in_cells(points, key, p, "p", r[0] == r[1], of_left).withColumn("_meet", longer("p").cast("int"))
+    right = _in_cells(ranges, key, r, "r", p[0] == p[1], of_right).withColumn("_meet", F.explode(F.when(longer("r"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    if known:
+        right = right.where(F.when(F.col("_meet") == 0, F.col("_level").isin(*of_p)).otherwise(F.col("_level") > min(of_p, default=TOP)))
     return left, right, [key, "_level", "_cell", "_meet"]
 
 
-def overlap_join(points: DataFrame, ranges: DataFrame, key: str, p: tuple[str, str], r: tuple[str, str], how: str = "inner") -> DataFrame:
+def overlap_join(points: DataFrame, ranges: DataFrame, key: str, p: tuple[str, str], r: tuple[str, str], how: str = "inner", known: tuple[list[int], list[int]] | None = None) -> DataFrame:
     """Rows of two tables with one key whose closed integer intervals overlap.
 
     The result has both tables' columns, those of ``points`` as ``p.`` and those
@@ -56,9 +73,11 @@ def overlap_join(points: DataFrame, ranges: DataFrame, key: str, p: tuple[str, s
     never all of them. Empty intervals and null ends or keys meet nothing.
 
     Neither side is ever broadcast: sizes are estimated without the rows that
-    the cells add.
+    the cells add. ``known`` has the ``lengths`` of both sides: intervals are then
+    in cells of those lengths only that the other side has, mostly one row each
+    where they else have one for every length.
     """
-    left, right, on = _meeting(points, ranges, key, p, r)
+    left, right, on = _meeting(points, ranges, key, p, r, known)
     left, right = left.alias("p"), right.alias("r")
     meets = (F.col("_from_p") <= F.col("_to_r")) & (F.col("_to_p") >= F.col("_from_r"))
     once = F.col("p._cell") == F.greatest("_first_p", "_first_r")

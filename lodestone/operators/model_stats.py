@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators.intervals import overlap_join, overlap_length
+from lodestone.operators.intervals import lengths, overlap_join, overlap_length
+from lodestone.operators.lineage import spread
 from lodestone.operators.ranking import top_per_key
 
 # Weights of a commit's lines, kinds of assumptions and how many are told of a function, lists' lengths, a reason's length.
@@ -15,6 +16,8 @@ ASSUMED, MOST_ASSUMED = ("timing", "timing_constant", "hw_register", "watchdog",
 MOST_SCANS, MOST_REVIEWS = 20, 30
 LEAST_REASON, MOST_REASON = 10, 1000
 STATES = ("SAFE", "RISKY", "DANGEROUS", "STOP")
+#: Commits that are sent to every task; more are dealt out.
+FEW_COMMITS = 100_000
 
 
 def structure_stats(files: DataFrame, symbols: DataFrame, edges: DataFrame, external: DataFrame, reference_files: DataFrame) -> DataFrame:
@@ -49,10 +52,16 @@ def key_commit_in(ranges: DataFrame, blame: DataFrame, commits: DataFrame) -> Da
     """
     times = F.when(F.col("revert"), REVERT).when(F.col("rationale"), RATIONALE).when(F.col("bugfix"), BUGFIX).otherwise(1)
     weights = commits.select("sha", times.alias("times"))
+    few = weights.limit(FEW_COMMITS + 1).count() <= FEW_COMMITS
     owned = blame.select("path", F.col("start").alias("s"), F.col("end").alias("e"), "sha")
-    met = overlap_join(ranges.select("id", "path", "start", "end"), owned, "path", ("start", "end"), ("s", "e")).join(weights, "sha")
+    asked = ranges.select("id", "path", "start", "end")
+    known = lengths(asked, ("start", "end")), lengths(owned, ("s", "e"))
+    weighed = owned.join(F.broadcast(weights) if few else weights.hint("merge"), "sha")
+    met = overlap_join(asked, weighed, "path", ("start", "end"), ("s", "e"), known=known)
     lines = overlap_length((F.col("start"), F.col("end")), (F.col("s"), F.col("e")))
-    points = met.groupBy("id", "sha").agg(F.sum(lines * F.col("times")).alias("points"), F.min("s").alias("first"))
+    # One shuffle by range serves both steps.
+    own = spread(met.select("id", "sha", "s", (lines * F.col("times")).alias("points")), "id")
+    points = own.groupBy("id", "sha").agg(F.sum("points").alias("points"), F.min("s").alias("first"))
     return points.groupBy("id").agg(F.max_by(F.struct("sha", "points"), F.struct("points", -F.col("first"), "sha")).alias("k")).select("id", "k.*")
 
 
